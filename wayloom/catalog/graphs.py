@@ -39,8 +39,8 @@ def edge_score_votes(spark, d):
     return scoring.vote_edges(fx.pair_scores(spark, d), 0.5).withColumn("score", F.round("score", 6))
 
 
-ORDER_PATH = """pts AS (SELECT l_orderkey AS tile_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)-1 AS node_id,
-  40.0+(l_partkey%100)/100.0 AS lat, -71.0+(l_suppkey%5)/8.0 AS lon FROM lineitem)"""
+ORDER_PATH = """pts AS (SELECT l_orderkey AS tile_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey%100, l_suppkey%5)-1 AS node_id,
+  40.0::double+(l_partkey%100)/100.0::double AS lat, -71.0::double+(l_suppkey%5)/8.0::double AS lon FROM lineitem)"""
 
 
 @query("graph_json_nodes", sql("", "WITH " + ORDER_PATH + """
@@ -60,9 +60,9 @@ def graph_json_edges(spark, d):
 
 def _order_documents(spark, d):
     li = fx.table(spark, d, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "format_string('[%.4f, %.4f]', 40.0+(l_partkey%100)/100.0D, -71.0+(l_suppkey%5)/8.0D) AS p")
-    # an order has at most seven line items
-    g = li.groupBy(F.col("l_orderkey").alias("tile_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p"))).alias("_l"))
+        "l_orderkey", "l_linenumber", "l_partkey%100 AS a", "l_suppkey%5 AS b", "format_string('[%.4f, %.4f]', 40.0+(l_partkey%100)/100.0D, -71.0+(l_suppkey%5)/8.0D) AS p")
+    # a document is one text value by nature; an order has few line items
+    g = li.groupBy(F.col("l_orderkey").alias("tile_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "a", "b", "p"))).alias("_l"))
     nodes = F.concat_ws(",", F.transform("_l", lambda e: e["p"]))
     edges = F.when(F.size("_l") > 1, F.concat_ws(",", F.transform(
         F.sequence(F.lit(0), F.size("_l") - 2), lambda i: F.format_string("[%d, %d]", i, i + 1)))).otherwise(F.lit(""))
@@ -119,7 +119,7 @@ fst AS (SELECT tile_id, min((s,t)) AS m FROM und GROUP BY tile_id)"""
 
 @query("graph_json_sink", sql("gt", """
 SELECT tile_id, 0 AS part, i AS a, 0 AS b, (CASE WHEN i=0 THEN '[[' ELSE ',' END)
-  || printf('[%.10f, %.10f]', 41.0-y/111111.0, -71.0+x/111111.0/cos(radians(41.0))) AS line FROM num
+  || printf('[%.9f, %.9f]', 41.0-y/111111.0, -71.0+x/111111.0/cos(radians(41.0))) AS line FROM num
 UNION ALL SELECT tile_id, 1, 0, 0, '],[' FROM (SELECT DISTINCT tile_id FROM num) UNION ALL
 SELECT tile_id, 3, 0, 0, ']]' FROM (SELECT DISTINCT tile_id FROM num) UNION ALL
 SELECT u.tile_id, 2, s, t, (CASE WHEN (s,t)=m THEN '' ELSE ',' END) || printf('[%d, %d]', s, t) FROM und u JOIN fst USING (tile_id)""", NUM))
@@ -144,7 +144,8 @@ def adjacency_sink(spark, d):
 
 
 def _forest(spark, d):
-    li = fx.table(spark, d, "lineitem")
+    li = fx.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     first = li.filter("l_linenumber = 1").selectExpr("l_orderkey AS tree_id", "l_suppkey%10 AS tile_id")
     return li.selectExpr(
         "l_orderkey AS tree_id", "cast(l_linenumber-1 as bigint) AS id", "l_partkey*1.0D AS lat", "l_suppkey*1.0D AS lon",
@@ -152,10 +153,11 @@ def _forest(spark, d):
         "cast(0 as bigint) AS similar_id", "CASE WHEN l_partkey%13=0 THEN 1 ELSE 0 END AS out_region").join(first, "tree_id")
 
 
-FOREST = """forest AS (SELECT f.tile_id, l_orderkey AS tree_id, l_linenumber-1 AS id, l_partkey*1.0 AS lat, l_suppkey*1.0 AS lon,
+FOREST = """li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL),
+forest AS (SELECT f.tile_id, l_orderkey AS tree_id, l_linenumber-1 AS id, l_partkey::double AS lat, l_suppkey::double AS lon,
   greatest(l_linenumber-2,0) AS parent, CASE WHEN l_partkey%11=0 THEN l_orderkey ELSE -1 END AS similar_tree, 0 AS similar_id,
-  CASE WHEN l_partkey%13=0 THEN 1 ELSE 0 END AS out_region FROM lineitem
-  JOIN (SELECT l_orderkey, l_suppkey%10 AS tile_id FROM lineitem WHERE l_linenumber=1) f USING (l_orderkey)),
+  CASE WHEN l_partkey%13=0 THEN 1 ELSE 0 END AS out_region FROM li
+  JOIN (SELECT l_orderkey, l_suppkey%10 AS tile_id FROM li WHERE l_linenumber=1) f USING (l_orderkey)),
 full_f AS (SELECT f.*, p.lat AS plat, p.lon AS plon, s.lat AS slat, s.lon AS slon FROM forest f
   JOIN forest p ON p.tree_id=f.tree_id AND p.id=f.parent LEFT JOIN forest s ON s.tree_id=f.similar_tree AND s.id=f.similar_id
   WHERE f.lat BETWEEN 10 AND 1800),
@@ -174,8 +176,9 @@ def forest_edges(spark, d):
 
 
 @query("forest_nodes", sql("", "WITH " + FOREST + """
-SELECT tile_id, node_id, min(lat) AS lat, min(lon) AS lon FROM (SELECT tile_id, src AS node_id, plat AS lat, plon AS lon FROM fe
- UNION ALL SELECT tile_id, dst, lat, lon FROM fe) GROUP BY ALL"""))
+SELECT tile_id, node_id, m.lat AS lat, m.lon AS lon FROM (
+ SELECT tile_id, node_id, min({'lat': lat, 'lon': lon}) AS m FROM (SELECT tile_id, src AS node_id, plat AS lat, plon AS lon FROM fe
+ UNION ALL SELECT tile_id, dst, lat, lon FROM fe) GROUP BY ALL)"""))
 def forest_nodes(spark, d):
     return src.load_forest(_forest(spark, d), (10.0, -1e9, 1800.0, 1e9))[0]
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import byte_score, rotate_pixel
-from ..functions.geometry import point_segment_distance
 from ..session import keep, keep_counted
 from .graph import degrees, with_ends
 from .select import suppress_near
@@ -97,11 +96,19 @@ def _inside(size: int | None) -> str:
     return "true" if size is None else f"x >= 0 and y >= 0 and x < {size} and y < {size}"
 
 
+def spread_out(df: DataFrame, *cols: str) -> DataFrame:
+    """Distinct rows dealt over all shuffle partitions: for compact rows that are about to grow into many pixels,
+    where small input would otherwise be packed into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*cols).repartition(n, *cols).distinct()
+
+
 def draw_discs(points: DataFrame, radius: int, size: int | None = None) -> DataFrame:
     """Pixels (tile_id, y, x) covered by filled discs: all within ``radius`` of a centre at whole coordinates."""
     spots = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spots])
-    px = points.select(*KEY, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct()
+    px = points.select(*KEY, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    px = spread_out(px, *KEY, "x", "y")
     px = px.withColumn("_o", F.explode(offsets))
     return px.select(*KEY, (F.col("y") + F.col("_o.j")).alias("y"), (F.col("x") + F.col("_o.i")).alias("x")).filter(
         _inside(size)).distinct()
@@ -114,20 +121,31 @@ def draw_lines(segments: DataFrame, width: float, size: int | None = None) -> Da
     length and not with the area of its box.
     """
     half = width / 2.0
-    steep = F.abs(F.col("by") - F.col("ay")) > F.abs(F.col("bx") - F.col("ax"))
-    s = segments.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]).distinct()
+    ends = ("ax", "ay", "bx", "by")
+    s = segments.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ends])
+    s = spread_out(s, *KEY, *ends)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    steep = F.abs(dy) > F.abs(dx)
     pick = lambda a, b: F.when(steep, F.col(b)).otherwise(F.col(a))
-    s = s.withColumns({"ua": pick("ax", "ay"), "ub": pick("bx", "by"), "va": pick("ay", "ax"), "vb": pick("by", "bx"), "steep": steep})
+    slope = F.coalesce(F.when(steep, dx / F.nullif(dy, F.lit(0.0))).otherwise(dy / F.nullif(dx, F.lit(0.0))), F.lit(0.0))
+    s = s.withColumns({
+        "ua": pick("ax", "ay"), "ub": pick("bx", "by"), "va": pick("ay", "ax"), "slope": slope, "steep": steep,
+        "dx": dx, "dy": dy, "n": dx * dx + dy * dy})
     s = s.withColumn("u", F.explode(F.sequence(
         F.floor(F.least("ua", "ub") - half).cast("bigint"), F.ceil(F.greatest("ua", "ub") + half).cast("bigint"))))
-    slope = F.coalesce((F.col("vb") - F.col("va")) / F.nullif(F.col("ub") - F.col("ua"), F.lit(0.0)), F.lit(0.0))
     on = F.least(F.greatest(F.col("u").cast("double"), F.least("ua", "ub")), F.greatest("ua", "ub"))
-    mid = F.col("va") + (on - F.col("ua")) * slope
-    band = half * 1.5 + 1.0
+    mid = F.col("va") + (on - F.col("ua")) * F.col("slope")
+    # at a slope of at most 1 the band is half * sqrt(2) wide on either side
+    band = half * 1.4143
     s = s.withColumn("v", F.explode(F.sequence(F.floor(mid - band).cast("bigint"), F.ceil(mid + band).cast("bigint"))))
-    s = s.withColumns({"x": F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")), "y": F.when(F.col("steep"), F.col("u")).otherwise(F.col("v"))})
-    d = point_segment_distance(*[F.col(c) for c in ("ax", "ay", "bx", "by", "x", "y")])
-    return s.filter(d <= half).filter(_inside(size)).select(*KEY, "y", "x").distinct()
+    s = s.select(
+        *KEY, F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("x"),
+        F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("y"), *ends, "dx", "dy", "n")
+    near = F.expr(
+        "CASE WHEN (x-ax)*dx+(y-ay)*dy <= 0 THEN (x-ax)*(x-ax)+(y-ay)*(y-ay) "
+        "WHEN (x-ax)*dx+(y-ay)*dy >= n THEN (x-bx)*(x-bx)+(y-`by`)*(y-`by`) "
+        "ELSE ((x-ax)*dy-(y-ay)*dx)*((x-ax)*dy-(y-ay)*dx)/n END") <= half * half
+    return s.filter(near).filter(_inside(size)).select(*KEY, "y", "x").distinct()
 
 
 def draw_graph(nodes: DataFrame, edges: DataFrame, dilation: int, size: int) -> DataFrame:

@@ -36,7 +36,7 @@ def graph_json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     at = F.when(F.col("node_id") == 0, F.lit("[[")).otherwise(F.lit(","))
     rows = n.select(
         *KEY, F.lit(0).alias("part"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"),
-        F.concat(at, F.format_string("[%.10f, %.10f]", lat, lon)).alias("line"))
+        F.concat(at, F.format_string("[%.9f, %.9f]", lat, lon)).alias("line"))
     lead = e.groupBy(*KEY).agg(F.min(F.struct("src", "dst")).alias("_m"))
     first = e.join(lead, list(KEY)).withColumn("_f", F.struct("src", "dst") == F.col("_m"))
     links = first.select(
