@@ -1 +1,48 @@
+"""Queries for the composite jobs: extraction, labels, graph comparison."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.coords import to_latlon
+from ..plans import apls, topo
+from ..sources import graphs as src
+from . import fixtures as fx
+from . import query
+from .fixtures import sql
+
+r6 = lambda c: F.round(c, 6)
+
+
+def _latlon(nodes):
+    la, lo = to_latlon(F.col("y"), F.col("x"))
+    return nodes.select("tile_id", "node_id", la.alias("lat"), lo.alias("lon"))
+
+
+def _graphs(spark, d):
+    gn, ge = fx.gt(spark, d)
+    pn, pe = fx.pred(spark, d)
+    both = lambda e: e.unionByName(e.select("tile_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    region = src.road_graph(src.adjacency_table(gn.select("tile_id", "node_id", F.col("y").alias("r"), F.col("x").alias("c")), ge))[2]
+    return (_latlon(gn), both(ge)), (_latlon(pn), both(pe)), region
+
+
+@query("topo_starting_points")
+def topo_starting_points(spark, d):
+    t, _, region = _graphs(spark, d)
+    s = topo.starting_points(*t, region)
+    return s.select("tile_id", "start.s0", "start.s1", "start.i", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "n1", "n2", "d1", "d2")
+
+
+@query("topo_tiles")
+def topo_tiles(spark, d):
+    """Marble-and-hole comparison per tile, with a short reach and a coarse step for the small grid."""
+    t, p, region = _graphs(spark, d)
+    tiles = topo.compare_graphs(t, p, region, step=0.0001, reach=0.0015)[2]
+    return tiles.select("tile_id", "starts", "kept", *[r6(c).alias(c) for c in ("precision", "recall", "coverage", "overall_recall")])
+
+
+@query("apls_tiles")
+def apls_tiles(spark, d):
+    t, p, _ = _graphs(spark, d)
+    return apls.compare_graphs(t, p).select("tile_id", *[r6(c).alias(c) for c in ("gt_to_prop", "prop_to_gt", "apls")])

@@ -226,14 +226,15 @@ def components(pairs: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, so long paths close in a logarithmic number of rounds. Every step is
     a grouped minimum joined back; hub nodes are dealt over several tasks by the sliced join.
     """
-    state = keep(pairs.filter("a <> b").select(*KEY, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    first = pairs.filter("a <> b").select(*KEY, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    state, seen = keep_counted(first, "pairs", n=F.count(F.lit(1)))
     mark = None
     for _ in range(MOST_ROUNDS):
         both = state.unionByName(state.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*KEY, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = sliced_join(both.filter("b > a"), low, [*KEY, "a"]).select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sliced_join(both.filter("b > a"), low, [*KEY, "a"], rows=seen["n"]).select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy(*KEY, "a").agg(F.min("b").alias("m"))
-        moved = sliced_join(large, low2, [*KEY, "a"])
+        moved = sliced_join(large, low2, [*KEY, "a"], rows=seen["n"])
         small = moved.filter("b <> m").select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low2.select(*KEY, "a", F.col("m").alias("b"))).distinct()
         state, seen = keep_counted(

@@ -50,7 +50,7 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
         def around(heads):
             wide = heads.withColumn("_i", F.explode(ring)).withColumn("_j", F.explode(ring)).withColumns(
                 {"_cx": F.col("_cx") + F.col("_i"), "_cy": F.col("_cy") + F.col("_j")}).drop("_i", "_j")
-            near = sliced_join(undecided, wide, [*KEY, "_cx", "_cy"])
+            near = sliced_join(undecided, wide, [*KEY, "_cx", "_cy"], rows=n["n"])
             d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
             return near.filter(d2 <= float(radius) ** 2)
 

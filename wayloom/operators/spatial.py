@@ -41,8 +41,15 @@ def slice_hot_keys(left, right, keys: Sequence[str], rows_per_slice: int = ROWS_
     return left, right
 
 
-def sliced_join(left, right, keys: Sequence[str], how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Equi-join in which keys crowded on the left are dealt over several tasks."""
+def sliced_join(
+    left, right, keys: Sequence[str], how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None
+) -> DataFrame:
+    """Equi-join in which keys crowded on the left are dealt over several tasks.
+
+    ``rows`` is the known number of left rows, if any: no more than one slice's worth cannot crowd a key.
+    """
+    if rows is not None and rows <= rows_per_slice:
+        return left.join(right, list(keys), how)
     left, right = slice_hot_keys(left, right, keys, rows_per_slice)
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
 
