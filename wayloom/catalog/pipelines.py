@@ -46,3 +46,225 @@ def topo_tiles(spark, d):
 def apls_tiles(spark, d):
     t, p, _ = _graphs(spark, d)
     return apls.compare_graphs(t, p).select("tile_id", *[r6(c).alias(c) for c in ("gt_to_prop", "prop_to_gt", "apls")])
+
+
+@query("topo_dataset")
+def topo_dataset(spark, d):
+    """Both forms of the data-set figure over all tiles."""
+    t, p, region = _graphs(spark, d)
+    tiles = topo.compare_graphs(t, p, region, step=0.0001, reach=0.0015)[2]
+    a = topo.dataset_summary(tiles).withColumn("form", F.lit("mean of F1"))
+    b = topo.dataset_summary(tiles, mean_of_f1=False).withColumn("form", F.lit("F1 of means"))
+    return a.unionByName(b).select("form", *[r6(c).alias(c) for c in ("topo", "precision", "recall")])
+
+
+SCORES = """tiles AS (SELECT c_custkey AS tile_id, (c_custkey%97)/97.0::double AS precision, CASE WHEN c_custkey%11=0 THEN 0.0::double ELSE (c_custkey%89)/89.0::double END AS overall_recall FROM customer)"""
+
+
+@query("topo_summary_forms", "WITH " + SCORES + """
+SELECT 'mean of F1' AS form, round(avg(CASE WHEN precision+overall_recall>0 THEN 2*precision*overall_recall/(precision+overall_recall) ELSE 0 END),6) AS topo,
+ round(avg(precision),6) AS precision, round(avg(overall_recall),6) AS recall FROM tiles
+UNION ALL SELECT 'F1 of means', round(2*p*r/(p+r),6), round(p,6), round(r,6) FROM (SELECT avg(precision) AS p, avg(overall_recall) AS r FROM tiles WHERE precision+overall_recall<>0)""")
+def topo_summary_forms(spark, d):
+    tiles = fx.table(spark, d, "customer").selectExpr(
+        "c_custkey AS tile_id", "(c_custkey%97)/97.0D AS precision", "CASE WHEN c_custkey%11=0 THEN 0.0D ELSE (c_custkey%89)/89.0D END AS overall_recall")
+    a = topo.dataset_summary(tiles).withColumn("form", F.lit("mean of F1"))
+    b = topo.dataset_summary(tiles, mean_of_f1=False).withColumn("form", F.lit("F1 of means"))
+    return a.unionByName(b).select("form", *[r6(c).alias(c) for c in ("topo", "precision", "recall")])
+
+
+@query("topo_tile_summary", """
+SELECT s.tile_id, s.starts, coalesce(k.kept,0) AS kept, round(coalesce(p,0),6) AS precision, round(coalesce(r,0),6) AS recall, round(coalesce(k.kept,0)*1.0::double/s.starts,6) AS coverage,
+ round(coalesce(r,0)*coalesce(k.kept,0)/s.starts,6) AS overall_recall FROM (SELECT o_custkey AS tile_id, count(*) AS starts FROM orders GROUP BY ALL) s
+LEFT JOIN (SELECT o_custkey AS tile_id, count(*) AS kept, avg((o_orderkey%100)/100.0::double) AS p, avg((o_orderkey%83)/83.0::double) AS r FROM orders WHERE o_orderkey%3<>0 GROUP BY ALL) k USING (tile_id)""")
+def topo_tile_summary(spark, d):
+    s = fx.table(spark, d, "orders").selectExpr("o_custkey AS tile_id", "o_orderkey AS start", "(o_orderkey%100)/100.0D AS precision", "(o_orderkey%83)/83.0D AS recall")
+    out = topo.tile_summary(s.filter("start%3<>0"), s)
+    return out.select("tile_id", "starts", "kept", *[r6(c).alias(c) for c in ("precision", "recall", "coverage", "overall_recall")])
+
+
+@query("apls_summary", """
+SELECT round(avg(CASE WHEN c_custkey%7<>0 THEN (c_custkey%97)/97.0::double END),6) AS apls, count(*) FILTER (c_custkey%7<>0) AS tiles FROM customer""")
+def apls_summary(spark, d):
+    tiles = fx.table(spark, d, "customer").selectExpr("c_custkey AS tile_id", "CASE WHEN c_custkey%7<>0 THEN (c_custkey%97)/97.0D END AS apls")
+    return apls.dataset_summary(tiles).select(r6("apls").alias("apls"), "tiles")
+
+
+@query("apls_pair_score", """
+WITH p AS (SELECT c_nationkey::bigint AS tile_id, c_custkey AS id, c_custkey%4<>0 AS ok, (c_custkey*53)%700 AS pos FROM customer),
+n AS (SELECT tile_id, count(*) AS n, count(*) FILTER (ok) AS m FROM p GROUP BY ALL),
+q AS (SELECT a.tile_id, abs(a.pos-b.pos) AS d1, CASE WHEN (a.id+b.id)%5<>0 THEN abs(a.pos-b.pos)*(80+(a.id+b.id)%50)//100 ELSE 0 END AS d2
+  FROM p a JOIN p b ON a.tile_id=b.tile_id AND a.id<b.id WHERE a.ok AND b.ok AND abs(a.pos-b.pos)>100),
+s AS (SELECT tile_id, sum(least(1.0, abs(d1-d2)/d1::double)) AS s, count(*) AS q FROM q GROUP BY ALL)
+SELECT tile_id, round(1-((n*(n-1)-m*(m-1))/2.0::double+coalesce(s,0))/((n*(n-1)-m*(m-1))/2.0::double+coalesce(q,0)),6) AS score FROM n LEFT JOIN s USING (tile_id)""")
+def apls_pair_score(spark, d):
+    p = fx.table(spark, d, "customer").selectExpr("cast(c_nationkey as bigint) AS tile_id", "c_custkey AS node_id", "c_custkey%4<>0 AS ok", "(c_custkey*53)%700 AS pos")
+    snapped = p.filter("ok").select("tile_id", "node_id", F.col("node_id").alias("other"))
+    a = p.filter("ok").selectExpr("tile_id", "node_id AS source", "pos AS p")
+    b = p.filter("ok").selectExpr("tile_id", "node_id AS target", "pos AS q")
+    both = a.join(b, "tile_id").filter("source < target")
+    d1 = both.selectExpr("tile_id", "source", "target", "abs(p-q)*100 AS d")
+    d2 = both.filter("(source+target)%5<>0").selectExpr("tile_id", "source", "target", "(abs(p-q)*(80+(source+target)%50) div 100)*100 AS d")
+    return apls.pair_score(p, snapped, d1, d2, 100.0).withColumn("score", r6("score"))
+
+
+@query("control_points")
+def control_points(spark, d):
+    from ..operators.graph import densify
+
+    t, _, _ = _graphs(spark, d)
+    n, e = densify(*t)
+    return apls.control_points(n, e)
+
+
+@query("edge_matches")
+def edge_matches(spark, d):
+    t, p, region = _graphs(spark, d)
+    s = topo.starting_points(*t, region)
+    return topo.match_edges(s, t[0], *p).select("tile_id", "start.s0", "start.s1", "start.i", "n1", "n2", "d1", "d2")
+
+
+NODE_MATCH = """ll AS MATERIALIZED (SELECT tile_id, node_id, 41.0-y/111111.0 AS lat, -71.0+x/111111.0/cos(radians(41.0)) AS lon FROM fx_gt_nodes),
+pl AS MATERIALIZED (SELECT tile_id, node_id, 41.0-y/111111.0 AS lat, -71.0+x/111111.0/cos(radians(41.0)) AS lon FROM fx_pred_nodes),
+pb AS MATERIALIZED (SELECT tile_id, src, dst FROM fx_pred_edges UNION SELECT tile_id, dst, src FROM fx_pred_edges),
+da AS (SELECT e.tile_id, e.src AS id, (b.lat-a.lat)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS u, (b.lon-a.lon)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS v FROM pb e
+ JOIN pl a ON a.tile_id=e.tile_id AND a.node_id=e.src JOIN pl b ON b.tile_id=e.tile_id AND b.node_id=e.dst),
+db AS (SELECT e.tile_id, e.src AS id, (b.lat-a.lat)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS u, (b.lon-a.lon)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS v FROM fx_both e
+ JOIN ll a ON a.tile_id=e.tile_id AND a.node_id=e.src JOIN ll b ON b.tile_id=e.tile_id AND b.node_id=e.dst),
+near AS (SELECT p.tile_id, p.node_id, g.node_id AS other_id, sqrt((p.lat-g.lat)^2+((p.lon-g.lon)*cos(radians(p.lat)))^2) AS d FROM pl p JOIN ll g ON p.tile_id=g.tile_id
+ AND abs(p.lat-g.lat)<=0.0001 AND abs(p.lon-g.lon)<=0.0001),
+ok AS (SELECT DISTINCT n.* FROM near n JOIN da ON da.tile_id=n.tile_id AND da.id=n.node_id JOIN db ON db.tile_id=n.tile_id AND db.id=n.other_id
+ WHERE d<=0.0001 AND (sqrt((da.u-db.u)^2+(da.v-db.v)^2)<0.1 OR sqrt((da.u+db.u)^2+(da.v+db.v)^2)<0.1)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, node_id ORDER BY d, other_id) AS k FROM ok) WHERE k=1)"""
+
+
+@query("node_matches", sql("gt both pred", """
+SELECT tile_id, node_id, other_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, other_id ORDER BY d, node_id) AS j FROM best) WHERE j=1""", NODE_MATCH))
+def node_matches(spark, d):
+    t, p, _ = _graphs(spark, d)
+    return topo.match_nodes(*p, *t).select("tile_id", "node_id", "other_id")
+
+
+@query("walk_from_nodes")
+def walk_from_nodes(spark, d):
+    t, _, _ = _graphs(spark, d)
+    s = t[0].select("tile_id", F.col("node_id").alias("start"), "node_id")
+    w = topo.walk_from_nodes(*t, s, 0.0002, 0.0012)
+    return w.select("tile_id", "start", "u", "v", "o", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query("topo_from_nodes")
+def topo_from_nodes(spark, d):
+    """Node starts given by direction-checked node matches."""
+    t, p, _ = _graphs(spark, d)
+    s = topo.compare_from_nodes(t, p, topo.match_nodes(*p, *t), 0.0001, 0.0012)
+    return s.select("tile_id", "start.node_id", "start.other_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query("topo_from_random_nodes")
+def topo_from_random_nodes(spark, d):
+    t, p, _ = _graphs(spark, d)
+    draws = topo.random_node_pairs(t[0], *p, 20, 0.0002, seed=4)
+    s = topo.compare_from_nodes(t, p, draws.select("tile_id", "node_id", "other_id").distinct(), 0.0001, 0.0012, 0.0002, longer_holes=True)
+    per = draws.join(s.select("tile_id", "start.node_id", "start.other_id", "precision", "recall"), ["tile_id", "node_id", "other_id"])
+    return per.groupBy("tile_id").agg(r6(F.avg("precision")).alias("precision"), r6(F.avg("recall")).alias("recall"))
+
+
+@query("soft_topo")
+def soft_topo(spark, d):
+    t, p, region = _graphs(spark, d)
+    s = topo.starting_points(*t, region)
+    out = topo.soft_scores(t, p, s, topo.match_edges(s, t[0], *p), 0.0001, 0.0012)
+    return topo.soft_summary(out).select("tile_id", F.round("score", 9).alias("score"), r6("f").alias("f"), "holes")
+
+
+def near_is_linked(batches):
+    """Stub pair scorer: the nearer, the higher."""
+    import pyarrow as pa
+
+    for b in batches:
+        cols = {k: [] for k in ("tile_id", "patch_id", "src", "dst", "score")}
+        for row in b.to_pylist():
+            for t in row["targets"]:
+                dx, dy = t["vec"][-2], t["vec"][-1]
+                for k in ("tile_id", "patch_id", "src"):
+                    cols[k].append(row[k])
+                cols["dst"].append(t["dst"])
+                cols["score"].append(1.0 / (1.0 + (dx * dx + dy * dy) / 400.0))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(cols.values(), kinds)], names=list(cols))
+
+
+def bright_is_road(batches):
+    """Stub patch scorer for packed 16 x 16 patches of one band."""
+    import pyarrow as pa
+
+    for b in batches:
+        cols = {k: [] for k in ("tile_id", "patch_id", "py", "px", "keypoint", "road")}
+        for row in b.to_pylist():
+            for i, v in enumerate(row["values"]):
+                for k, x in zip(cols, (row["tile_id"], row["patch_id"], i // 16, i % 16, v / 2.0, v)):
+                    cols[k].append(x)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(cols.values(), kinds)], names=list(cols))
+
+
+def _extraction_patches(scores):
+    return scores.select("tile_id").distinct().selectExpr(
+        "tile_id", "explode(sequence(0L, 3L)) AS patch_id").selectExpr(
+        "tile_id", "patch_id", "(patch_id%2)*24 AS x0", "(patch_id div 2)*16 AS y0", "(patch_id%2)*24+40 AS x1", "(patch_id div 2)*16+32 AS y1")
+
+
+@query("extracted_graph")
+def extracted_graph(spark, d):
+    """Fuse, thin, pair, score with a stub, vote."""
+    from ..plans import extraction
+
+    s = fx.wide_patch_scores(spark, d)
+    opt = extraction.Options(road_radius=4.0, keypoint_radius=2.0, neighbour_radius=16.0)
+    _, edges = extraction.extract_graph(s, _extraction_patches(s), near_is_linked, opt, patch_size=40.0)
+    return edges.select("tile_id", "src", "dst", r6("score").alias("score"))
+
+
+@query("extracted_points")
+def extracted_points(spark, d):
+    """Graph points with scores brought to 0..1, so that each thinning step takes part."""
+    from ..operators import raster
+    from ..plans import extraction
+
+    masks = extraction.fused_masks(fx.wide_patch_scores(spark, d))
+    return raster.extract_points(masks, 0.248, 0.364, 2.0, 4.0, score_scale="unit")
+
+
+
+
+@query("scored_patches")
+def scored_patches(spark, d):
+    """Patches cut from a mosaic of road scores, scored by a stub; holes in the mosaic count as zero."""
+    from ..plans import extraction
+
+    g = fx.patch_scores(spark, d).filter("band = 'road'").groupBy("tile_id", "y", "x").agg(F.max("score").alias("v"))
+    canvas = g.select("tile_id").distinct().selectExpr("tile_id", "explode(sequence(0L, 47L)) AS y").selectExpr("tile_id", "y", "explode(sequence(0L, 63L)) AS x")
+    px = canvas.join(g, ["tile_id", "y", "x"], "left").select("tile_id", "y", "x", F.lit("road").alias("band"), F.coalesce("v", F.lit(0.0)).alias("value"))
+    patches = g.select("tile_id").distinct().selectExpr("tile_id", "explode(sequence(0L, 11L)) AS patch_id").selectExpr(
+        "tile_id", "patch_id", "(patch_id%4)*16 AS x0", "(patch_id div 4)*16 AS y0", "(patch_id%4)*16+16 AS x1", "(patch_id div 4)*16+16 AS y1")
+    out = extraction.scored_patches(px, patches, bright_is_road, "tile_id bigint, patch_id bigint, py int, px int, keypoint double, road double")
+    return out.select("tile_id", "patch_id", "y", "x", r6("road").alias("road"), r6("keypoint").alias("keypoint"))
+
+
+def _label_patches(spark, d, options):
+    gn, ge = fx.gt(spark, d)
+    tiles = gn.groupBy("tile_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    spread = tiles.selectExpr("tile_id", "explode(sequence(0L, mx div 400)) AS i", "my").selectExpr("tile_id", "i", "explode(sequence(0L, my div 400)) AS j")
+    p = spread.selectExpr("tile_id", "i*100000+j AS patch_id", "i*400 AS x0", "j*400 AS y0", "i*400+512 AS x1", "j*400+512 AS y1", "(i+j)%4 AS turns")
+    return gn.select("tile_id", "node_id", "x", "y"), ge, p
+
+
+@query("label_samples")
+def label_samples(spark, d):
+    """Pairs with their connected flag for patches that cover each tile."""
+    from ..plans import labels
+
+    opt = labels.Options(samples=32)
+    n, e, p = _label_patches(spark, d, opt)
+    return labels.patch_samples(n, e, p, 17, opt)[1]
