@@ -238,7 +238,10 @@ def extracted_points(spark, d):
 
 
 
-@query("scored_patches")
+@query("scored_patches", sql("patch", """
+SELECT c.tile_id, (c.y//16)*4+c.x//16 AS patch_id, c.y, c.x, round(coalesce(v,0)::float::double,6) AS road, round(coalesce(v,0)::float::double/2,6) AS keypoint
+FROM (SELECT * FROM (SELECT DISTINCT tile_id FROM fx_patch WHERE band='road'), range(48) a(y), range(64) b(x)) c
+LEFT JOIN (SELECT tile_id, y, x, max(score) AS v FROM fx_patch WHERE band='road' GROUP BY ALL) g USING (tile_id, y, x)"""))
 def scored_patches(spark, d):
     """Patches cut from a mosaic of road scores, scored by a stub; holes in the mosaic count as zero."""
     from ..plans import extraction

@@ -41,7 +41,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.json(path, multiLine=True)
     names = {"train": "train", "valid": "validation", "validation": "validation", "test": "test"}
     parts = [
-        doc.select(F.explode(c).cast("string").alias("tile_id"), F.lit(names[c]).alias("split"))
+        doc.select(F.explode(F.col(c).cast("array<string>")).alias("tile_id"), F.lit(names[c]).alias("split"))
         for c in doc.columns if c in names
     ]
     out = parts[0]
