@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import metre_distance, native_to_xy
 from ..functions.geometry import crossing_point, point_segment_distance, segment_box
 from ..session import keep, keep_counted
-from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_start, sliced_join
+from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_start, sliced_join, spread_out
 
 MOST_ROUNDS = 10_000
 
@@ -166,7 +166,7 @@ def subdivide(nodes: DataFrame, edges: DataFrame, resolution: float) -> tuple[Da
     n = F.greatest(F.lit(1), (F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2) / resolution).cast("int"))
     cut = with_ends(edges, nodes).withColumn("_n", n)
     base = nodes.groupBy(*KEY).agg((F.max("node_id") + 1).alias("_base"))
-    cut = running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off", id_chunk("src", 4096)).join(base, list(KEY))
+    cut = sliced_join(running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off", id_chunk("src", 4096)), base, KEY)
     piece = cut.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     first = F.col("_base") + F.col("_off") - 1
     t = F.col("_i") / F.col("_n")
@@ -196,26 +196,27 @@ def densify(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Nodes need (lat, lon). Isolated nodes vanish. The result's edges are undirected.
     """
-    e = with_ends(edges, nodes, ("lat", "lon"))
-    d = metre_distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    n = F.when(d > 3.0, (d / 2.0).cast("int") + 1).otherwise(1)
-    piece = e.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    ends = ("ax", "ay", "bx", "by")
+    e = spread_out(with_ends(edges.select(*KEY, "src", "dst"), nodes, ("lat", "lon")), *KEY, *ends)
+    d = metre_distance(*[F.col(c) for c in ends])
+    e = e.withColumn("_n", F.when(d > 3.0, (d / 2.0).cast("int") + 1).otherwise(1))
 
-    def at(i):
+    def place(i):
         w = i / F.col("_n")
         lat = F.when(i == 0, F.col("ax")).when(i == F.col("_n"), F.col("bx")).otherwise(F.col("ax") * (1 - w) + F.col("bx") * w)
         lon = F.when(i == 0, F.col("ay")).when(i == F.col("_n"), F.col("by")).otherwise(F.col("ay") * (1 - w) + F.col("by") * w)
         return F.struct(lat.alias("lat"), lon.alias("lon"))
 
-    links = piece.select(*KEY, at(F.col("_i") - 1).alias("p"), at(F.col("_i")).alias("q"))
-    links = links.select(
-        *KEY, location_id(F.col("p.lat"), F.col("p.lon")).alias("src"), location_id(F.col("q.lat"), F.col("q.lon")).alias("dst"), "p", "q")
-    both = links.select(*KEY, F.explode(F.array(
-        F.struct(F.col("src").alias("node_id"), F.col("p").alias("at")),
-        F.struct(F.col("dst").alias("node_id"), F.col("q").alias("at")))).alias("_e"))
-    dense = both.groupBy(*KEY, "_e.node_id").agg(F.min("_e.at").alias("_at"))
+    # one row per edge with its places in order, as many as its length asks for
+    places = F.transform(F.sequence(F.lit(0), F.col("_n")), place)
+    pieces = e.select(*KEY, "_n", places.alias("_at")).select(
+        *KEY, "_n", F.transform("_at", lambda p: F.struct(location_id(p["lat"], p["lon"]).alias("node_id"), p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("_p"))
+    pieces = keep(pieces, "pieces")
+    dense = pieces.select(*KEY, F.explode("_p").alias("_e")).groupBy(*KEY, "_e.node_id").agg(F.min(F.struct("_e.lat", "_e.lon")).alias("_at"))
     dense = dense.select(*KEY, "node_id", F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"))
-    return dense, undirected(links, self_loops=False)
+    pair = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.struct(
+        F.element_at("_p", i)["node_id"].alias("src"), F.element_at("_p", i + 1)["node_id"].alias("dst")))
+    return dense, undirected(pieces.select(*KEY, F.explode(pair).alias("_e")).select(*KEY, "_e.src", "_e.dst"), self_loops=False)
 
 
 # ---- components, merging, splitting ----------------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..functions.coords import byte_score, rotate_pixel
 from ..session import keep, keep_counted
 from .graph import degrees, with_ends
 from .select import suppress_near
-from .spatial import KEY, box_join, radius_join
+from .spatial import KEY, box_join, radius_join, spread_out
 
 
 def fuse_masks(patch_scores: DataFrame, bands: tuple[str, ...] = ("keypoint", "road")) -> DataFrame:
@@ -96,13 +96,6 @@ def _inside(size: int | None) -> str:
     return "true" if size is None else f"x >= 0 and y >= 0 and x < {size} and y < {size}"
 
 
-def spread_out(df: DataFrame, *cols: str) -> DataFrame:
-    """Distinct rows dealt over all shuffle partitions: for compact rows that are about to grow into many pixels,
-    where small input would otherwise be packed into one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*cols).repartition(n, *cols).distinct()
-
-
 def draw_discs(points: DataFrame, radius: int, size: int | None = None) -> DataFrame:
     """Pixels (tile_id, y, x) covered by filled discs: all within ``radius`` of a centre at whole coordinates."""
     spots = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]

@@ -55,6 +55,11 @@ def all_split_tiles(splits: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def first_tiles(tiles: DataFrame, k: int = 4) -> DataFrame:
+    """The first k tiles, for a trial run."""
+    return tiles.select(*KEY).distinct().orderBy(*KEY).limit(k)
+
+
 def patch_grid(tiles: DataFrame, size: int, patch: int, margin: int, per_edge: int) -> DataFrame:
     """Evenly spread patches per tile, corners rounded half to even, x first: (tile_id, patch_id, x0, y0, x1, y1)."""
     low, high = margin, size - (patch + margin)

@@ -197,6 +197,13 @@ def dense_ids(df: DataFrame, order: Sequence[str], name: str, chunk: Sequence[Co
     return running_start(df, order, F.lit(1), name, chunk, by)
 
 
+def spread_out(df: DataFrame, *cols: str) -> DataFrame:
+    """Distinct rows dealt over all shuffle partitions: for compact rows that are about to grow into many,
+    where small input would otherwise be packed into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*cols).repartition(n, *cols).distinct()
+
+
 def id_chunk(col: str, size: int = 65_536) -> list[Column]:
     return [F.floor(F.col(col) / size)]
 

@@ -18,7 +18,7 @@ from ..operators.graph import symmetric, with_ends
 from ..operators.paths import position_distances, spread
 from ..operators.sampling import uniform
 from ..operators.select import cheapest_matching, greedy_keep
-from ..operators.spatial import KEY, box_join, dense_ids, id_chunk
+from ..operators.spatial import KEY, box_join, dense_ids, id_chunk, sliced_join
 from ..session import keep
 
 PICO = 1e12
@@ -77,7 +77,7 @@ def starting_points(
     if region is None:
         return out
     box = [F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]
-    placed = out.join(region.select(*KEY, "min_lat", "min_lon", "max_lat", "max_lon"), list(KEY))
+    placed = sliced_join(out, region.select(*KEY, "min_lat", "min_lon", "max_lat", "max_lon"), KEY)
     if mask is None:
         return placed.filter(inside_margin(F.col("lat"), F.col("lon"), *box, margin)).select(*out.columns)
     pixels, rows, cols = mask
@@ -170,7 +170,7 @@ def match_nodes(
         r, c = latlon_to_pixel(F.col("lat2"), F.col("lon2"), *[F.col(k) for k in ("min_lat", "min_lon", "max_lat", "max_lon")], rows, cols)
         lit = pixels.select(*KEY, F.col("r").cast("int").alias("_r"), F.col("c").cast("int").alias("_c"))
         lit = lit.filter(f"_r > 0 and _r < {rows} and _c > 0 and _c < {cols}")
-        targets = targets.join(region, list(KEY)).withColumns({"_r": r, "_c": c}).join(lit, [*KEY, "_r", "_c"], "left_semi").select(
+        targets = sliced_join(targets, region, KEY).withColumns({"_r": r, "_c": c}).join(lit, [*KEY, "_r", "_c"], "left_semi").select(
             *KEY, "other_id", "lat2", "lon2")
 
     def directions(n, e, key, name):
