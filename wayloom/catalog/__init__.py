@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import evaluation, graphs, joins, loops, pipelines, scalars, selections  # noqa: F401
+    from . import composites, evaluation, graphs, joins, loops, scalars, selections  # noqa: F401

@@ -83,15 +83,14 @@ def epoch_length(size: int, patch: int, small: bool = False) -> int:
 
 def random_patches(tiles: DataFrame, n: int, size: int, patch: int, margin: int, seed: int) -> DataFrame:
     """n patches with uniform tile, corner and quarter turn: (patch_id, tile_id, x0, y0, x1, y1, turns)."""
-    listed = tiles.select(*KEY).distinct().withColumn("_all", F.lit(0))
-    numbered = dense_ids(listed, ["tile_id"], "_t", [F.floor(F.xxhash64("tile_id") / (1 << 50))], by=("_all",))
-    total = listed.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    listed = tiles.select(*KEY).distinct()
+    numbered = dense_ids(listed.withColumn("_all", F.lit(0)), ["tile_id"], "_t", [F.floor(F.xxhash64("tile_id") / (1 << 50))], by=("_all",))
+    total = listed.count()
     span = size - (patch + margin) - margin + 1
-    draw = tiles.sparkSession.range(n).withColumnRenamed("id", "patch_id").withColumn("_all", F.lit(0))
-    draw = draw.join(F.broadcast(total), "_all")
+    draw = tiles.sparkSession.range(n).withColumnRenamed("id", "patch_id")
     pick = lambda salt, m: F.floor(uniform(seed, "patch_id", F.lit(salt)) * m)
     draw = draw.withColumns({
-        "_t": pick("tile", F.col("_n")).cast("bigint"), "x0": (pick("x", span) + margin).cast("int"),
+        "_t": pick("tile", total).cast("bigint"), "x0": (pick("x", span) + margin).cast("int"),
         "y0": (pick("y", span) + margin).cast("int"), "turns": pick("turn", 4).cast("int")})
     out = draw.join(numbered.select("_t", *KEY), "_t")
     return out.select("patch_id", *KEY, "x0", "y0", (F.col("x0") + patch).alias("x1"), (F.col("y0") + patch).alias("y1"), "turns")
@@ -140,12 +139,11 @@ def pad_points(points: DataFrame, patches: DataFrame, group: Sequence[str] = ("t
     """
     lists = points.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pid", "px", "py"))).alias("_l"))
     all_ = patches.select(*group).distinct().join(lists, list(group), "left").withColumn("_l", F.coalesce("_l", F.array().cast(lists.schema["_l"].dataType)))
-    longest = all_.agg(F.greatest(F.max(F.size("_l")), F.lit(1)).alias("_m")).withColumn("_one", F.lit(0))
-    out = all_.withColumn("_one", F.lit(0)).join(F.broadcast(longest), "_one")
-    zero = F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), F.col("_m").cast("int"))
+    longest = max(1, all_.agg(F.max(F.size("_l"))).first()[0] or 0)
+    zero = F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), longest)
     xy = F.transform("_l", lambda e: F.array(e["px"].cast("double"), e["py"].cast("double")))
-    return out.select(
-        *group, F.transform("_l", lambda e: e["pid"]).alias("pids"), F.slice(F.concat(xy, zero), F.lit(1), F.col("_m").cast("int")).alias("points"))
+    return all_.select(
+        *group, F.transform("_l", lambda e: e["pid"]).alias("pids"), F.slice(F.concat(xy, zero), 1, longest).alias("points"))
 
 
 def empty_patch_samples(patches: DataFrame, samples: DataFrame, n: int, width: int, group: Sequence[str] = ("tile_id", "patch_id")) -> DataFrame:

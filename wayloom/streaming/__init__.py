@@ -1 +1,2 @@
-
+"""Nothing here is specific to streams: inputs are whole files. ``operators.raster.fuse_masks`` and
+``operators.scoring.vote_edges`` are plain grouped means, so they also accept a streaming DataFrame of patches."""
