@@ -27,11 +27,30 @@ def _graphs(spark, d):
     return (_latlon(gn), both(ge)), (_latlon(pn), both(pe)), region
 
 
-@query("topo_starting_points")
+PLACES = """deg AS MATERIALIZED (SELECT tile_id, src, count(*) AS c FROM fx_both GROUP BY ALL),
+walk(tile_id, s0, s1, seq, a, b) AS (SELECT e.tile_id, e.src, e.dst, 0::bigint, e.src, e.dst FROM fx_both e JOIN deg g ON g.tile_id=e.tile_id AND g.src=e.src WHERE g.c<>2
+ UNION ALL SELECT w.tile_id, w.s0, w.s1, w.seq+1, w.b, e.dst FROM walk w JOIN deg g ON g.tile_id=w.tile_id AND g.src=w.b AND g.c=2
+  JOIN fx_both e ON e.tile_id=w.tile_id AND e.src=w.b AND e.dst<>w.a),
+last AS MATERIALIZED (SELECT w.* FROM walk w JOIN deg g ON g.tile_id=w.tile_id AND g.src=w.b WHERE g.c<>2 AND (s0<b OR (s0=b AND s1<=a))),
+gl AS MATERIALIZED (SELECT tile_id, node_id, 41.0::double-y/111111.0::double AS lat, -71.0::double+x/111111.0::double/cos(radians(41.0::double)) AS lon FROM fx_gt_nodes),
+wl AS (SELECT w.*, p.lat AS alat, p.lon AS alon, q.lat AS blat, q.lon AS blon, cast(round(sqrt((p.lat-q.lat)*(p.lat-q.lat)
+   +((p.lon-q.lon)*cos(radians(CASE WHEN w.a<w.b THEN p.lat ELSE q.lat END)))*((p.lon-q.lon)*cos(radians(CASE WHEN w.a<w.b THEN p.lat ELSE q.lat END))))*1e12) as bigint) AS len
+ FROM walk w JOIN last l ON l.tile_id=w.tile_id AND l.s0=w.s0 AND l.s1=w.s1 JOIN gl p ON p.tile_id=w.tile_id AND p.node_id=w.a JOIN gl q ON q.tile_id=w.tile_id AND q.node_id=w.b),
+wo AS (SELECT *, greatest(total//500000000, 1) AS n FROM (SELECT *, (sum(len) OVER (PARTITION BY tile_id,s0,s1 ORDER BY seq)-len)::bigint AS off, (sum(len) OVER (PARTITION BY tile_id,s0,s1))::bigint AS total FROM wl)
+ WHERE total*2>=500000000),
+box AS (SELECT tile_id, min(lat)-300.0::double/111111.0 AS min_lat, -71.0::double-500.0::double/111111.0 AS min_lon, 41.0::double+300.0::double/111111.0 AS max_lat, max(lon)+500.0::double/111111.0 AS max_lon FROM gl GROUP BY tile_id),
+spots AS MATERIALIZED (SELECT * FROM (SELECT p.*, (1-d1/len::double)*alat+d1/len::double*blat AS lat, (1-d1/len::double)*alon+d1/len::double*blon AS lon FROM
+  (SELECT *, i*total//(n+1)-off AS d1, off+len-i*total//(n+1) AS d2 FROM (SELECT *, unnest(range(1, n+1)) AS i FROM wo) WHERE off*(n+1)<i*total AND i*total<=(off+len)*(n+1)) p) JOIN box USING (tile_id)
+ WHERE lat-min_lat>0.07*(max_lat-min_lat) AND max_lat-lat>0.07*(max_lat-min_lat) AND lon-min_lon>0.07*(max_lon-min_lon) AND max_lon-lon>0.07*(max_lon-min_lon))"""
+
+
+@query("topo_starting_points", sql("gt both", """
+SELECT tile_id, s0, s1, i, round(lat,8) AS lat, round(lon,8) AS lon, a AS n1, b AS n2, round(d1/1e12::double,8) AS d1, round(d2/1e12::double,8) AS d2 FROM spots""", PLACES))
 def topo_starting_points(spark, d):
     t, _, region = _graphs(spark, d)
     s = topo.starting_points(*t, region)
-    return s.select("tile_id", "start.s0", "start.s1", "start.i", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "n1", "n2", "d1", "d2")
+    return s.select("tile_id", "start.s0", "start.s1", "start.i", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "n1", "n2",
+                    F.round(F.col("d1") / 1e12, 8).alias("d1"), F.round(F.col("d2") / 1e12, 8).alias("d2"))
 
 
 @query("topo_tiles")
@@ -117,11 +136,23 @@ def control_points(spark, d):
     return apls.control_points(n, e)
 
 
-@query("edge_matches")
+MATCH = """pl AS MATERIALIZED (SELECT tile_id, node_id, 41.0::double-y/111111.0::double AS lat, -71.0::double+x/111111.0::double/cos(radians(41.0::double)) AS lon FROM fx_pred_nodes),
+pe AS (SELECT e.tile_id, e.src, e.dst, a.lat AS la, a.lon AS lo, b.lat AS lb, b.lon AS lp FROM (SELECT tile_id, src, dst FROM fx_pred_edges UNION SELECT tile_id, dst, src FROM fx_pred_edges) e
+ JOIN pl a ON a.tile_id=e.tile_id AND a.node_id=e.src JOIN pl b ON b.tile_id=e.tile_id AND b.node_id=e.dst),
+cand AS (SELECT s.tile_id, s.s0, s.s1, s.i, e.src, e.dst, e.lb-e.la AS q0, (e.lp-e.lo)*cos(radians(e.la)) AS q1, s.lat-e.la AS p0, (s.lon-e.lo)*cos(radians(e.la)) AS p1,
+  e.lb-e.la AS u0, (e.lp-e.lo)*cos(radians(40.0::double)) AS u1, s.blat-s.alat AS v0, (s.blon-s.alon)*cos(radians(40.0::double)) AS v1
+ FROM spots s JOIN pe e ON e.tile_id=s.tile_id AND s.lat BETWEEN least(la,lb)-0.0002 AND greatest(la,lb)+0.0002 AND s.lon BETWEEN least(lo,lp)-0.0002 AND greatest(lo,lp)+0.0002),
+near AS (SELECT *, sqrt((p0-t*q0)^2+(p1-t*q1)^2) AS dist FROM (SELECT *, greatest(0.0, least(1.0, (p0*q0+p1*q1)/(q0*q0+q1*q1))) AS t FROM cand)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY tile_id, s0, s1, i ORDER BY round(dist,12), src, dst) AS k FROM near
+ WHERE dist<0.0001 AND 1-abs((u0*v0+u1*v1)/(sqrt(u0*u0+u1*u1)*sqrt(v0*v0+v1*v1)))<0.04)"""
+
+
+@query("edge_matches", sql("gt both pred", "SELECT tile_id, s0, s1, i, least(src,dst) AS n1, greatest(src,dst) AS n2 FROM hit WHERE k=1", PLACES, MATCH))
 def edge_matches(spark, d):
     t, p, region = _graphs(spark, d)
     s = topo.starting_points(*t, region)
-    return topo.match_edges(s, t[0], *p).select("tile_id", "start.s0", "start.s1", "start.i", "n1", "n2", "d1", "d2")
+    m = topo.match_edges(s, t[0], *p)
+    return m.select("tile_id", "start.s0", "start.s1", "start.i", F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"))
 
 
 NODE_MATCH = """ll AS MATERIALIZED (SELECT tile_id, node_id, 41.0-y/111111.0 AS lat, -71.0+x/111111.0/cos(radians(41.0)) AS lon FROM fx_gt_nodes),
