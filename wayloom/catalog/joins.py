@@ -162,14 +162,15 @@ def line_of_sight(spark, d):
 
 
 @query("feature_sampling", sql("points patch", """
-SELECT p.tile_id, p.patch_id, p.pid, round(sum(w*v1),6) AS v1, round(sum(w*v2),6) AS v2 FROM (
+SELECT p.tile_id, p.patch_id, p.pid, round(sum(w*v1),12) AS v1, round(sum(w*v2),12) AS v2 FROM (
  SELECT tile_id, patch_id, pid, floor(gx)+i AS fx, floor(gy)+j AS fy, (1-abs(gx-(floor(gx)+i)))*(1-abs(gy-(floor(gy)+j))) AS w FROM (
   SELECT tile_id%3 AS tile_id, pid%4 AS patch_id, pid, (x%256)/256.0::double*16-0.5 AS gx, (y%256)/256.0::double*16-0.5 AS gy FROM fx_points), range(2) a(i), range(2) b(j)) p
 JOIN (SELECT tile_id, patch_id, x%16 AS fx, y%16 AS fy, max(score) AS v1, min(score) AS v2 FROM fx_patch GROUP BY ALL) f
  ON f.tile_id=p.tile_id AND f.patch_id=p.patch_id AND f.fx=p.fx AND f.fy=p.fy GROUP BY ALL"""))
 def feature_sampling(spark, d):
+    # scores of four decimals times multiples of 1/256 end at twelve decimals, so no rounding falls on a tie
     v = _sampled(spark, d).filter("vec is not null")
-    return v.select("tile_id", "patch_id", "pid", r6(F.col("vec")[0]).alias("v1"), r6(F.col("vec")[1]).alias("v2"))
+    return v.select("tile_id", "patch_id", "pid", F.round(F.col("vec")[0], 12).alias("v1"), F.round(F.col("vec")[1], 12).alias("v2"))
 
 
 def _local_points(spark, d):
