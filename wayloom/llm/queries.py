@@ -68,3 +68,30 @@ def main_text(spark, d):
     from .html_main import extract_main_text
 
     return extract_main_text(table(spark, d, "pages"))
+
+
+@query("op5_hash_forest")
+def hash_forest(spark, d):
+    from .hash_forest import nearest
+
+    rows = table(spark, d, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 20 = 0")).selectExpr("query_id", "rank", "vec_id", "score")
+
+
+@query("op10_decontamination", """
+WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) END) AS s FROM w),
+bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) END) AS s FROM i),
+n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
+held AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS found FROM ds JOIN bs USING (s) GROUP BY ds.id, bs.id),
+full_hits AS (SELECT doc_id, item_id, found, n FROM held JOIN n ON n.id = held.item_id WHERE found * 100 >= n * 80)
+SELECT d.doc_id, count(item_id) AS n_items, min(item_id) AS first_item, coalesce(max(found * 100 // n), 0) AS best_percent,
+  count(item_id) > 0 AS contaminated
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN full_hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id""")
+def decontamination(spark, d):
+    from .decontaminate import contamination
+
+    return contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
