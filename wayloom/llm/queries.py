@@ -95,3 +95,10 @@ def decontamination(spark, d):
     from .decontaminate import contamination
 
     return contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op1_near_dedup")
+def near_dedup(spark, d):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, d, "documents"))
