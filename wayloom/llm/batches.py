@@ -123,6 +123,14 @@ class Rolling:
             np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
         return out
 
+    def sums_of(self, codes: np.ndarray) -> np.ndarray:
+        """The same for code points."""
+        self._powers(len(codes) + 1)
+        out = np.zeros(len(codes) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(mix64(codes + self.values[0]) * self.up[: len(codes)], out=out[1:])
+        return out
+
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((sums[end] - sums[start]) * self.down[start])

@@ -102,3 +102,15 @@ def near_dedup(spark, d):
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, d, "documents"))
+
+
+@query("op6_line_dedup")
+def line_dedup(spark, d):
+    from pyspark.sql import functions as F
+
+    from .line_dedup import without_repeated_lines
+
+    docs = table(spark, d, "documents")
+    lines = F.size(F.split("text", "\n", -1)).cast("bigint")
+    return without_repeated_lines(docs.select("doc_id", "text")).select(
+        "doc_id", "lines_removed", F.when(F.col("text").isNull(), 0).otherwise(lines).alias("lines_left"), F.sha2("text", 256).alias("text_sha256"))
