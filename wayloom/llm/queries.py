@@ -114,3 +114,10 @@ def line_dedup(spark, d):
     lines = F.size(F.split("text", "\n", -1)).cast("bigint")
     return without_repeated_lines(docs.select("doc_id", "text")).select(
         "doc_id", "lines_removed", F.when(F.col("text").isNull(), 0).otherwise(lines).alias("lines_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op2_suffix_dedup")
+def suffix_dedup(spark, d):
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, d, "documents"), digest=True)
