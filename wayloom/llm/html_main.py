@@ -141,7 +141,7 @@ def main_text(page: str) -> str:
         last: dict[int, tuple[int, str]] = {}
         for k in way:
             if labels[k] in ("good", "bad"):
-                last[got[k][3]] = (k, labels[k])
+                last[0 if got[k][2] else got[k][3]] = (k, labels[k])  # what is never text does not count inside an article
             else:
                 found[k] = last.get(got[k][3])
     for k, label in enumerate(labels):

@@ -162,8 +162,7 @@ def held_out(id_col: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
     """A model from at most ``sample`` labelled documents that are not held out, picked by a hash of their ids.
 
-    Labels that are null, and labels without a document, are passed over. Without both labels the model scores by the
-    labels' share alone. Only the sample's line features reach the driver.
+    Labels that are null, and labels without a document, are passed over. Without any label every score is 0.5. Only the sample's line features reach the driver.
     """
     picked = labels.filter(F.col("quality").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(sample)
