@@ -290,7 +290,7 @@ def _label_patches(spark, d, options):
     gn, ge = fx.gt(spark, d)
     tiles = gn.groupBy("tile_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     spread = tiles.selectExpr("tile_id", "explode(sequence(0L, mx div 400)) AS i", "my").selectExpr("tile_id", "i", "explode(sequence(0L, my div 400)) AS j")
-    p = spread.selectExpr("tile_id", "i*100000+j AS patch_id", "i*400 AS x0", "j*400 AS y0", "i*400+512 AS x1", "j*400+512 AS y1", "(i+j)%4 AS turns")
+    p = spread.selectExpr("tile_id", "i*4294967296+j AS patch_id", "i*400 AS x0", "j*400 AS y0", "i*400+512 AS x1", "j*400+512 AS y1", "(i+j)%4 AS turns")
     return gn.select("tile_id", "node_id", "x", "y"), ge, p
 
 

@@ -22,7 +22,7 @@ def points(spark, d):
 
 def patch_scores(spark, d):
     return table(spark, d, "events").selectExpr(
-        "user_id%3 AS tile_id", "event_id%4 AS patch_id", "cast(floor(event_id/64) as bigint)%48 AS y", "event_id%64 AS x",
+        "cast(floor(event_id/12288) as bigint)*3 + user_id%3 AS tile_id", "event_id%4 AS patch_id", "cast(floor(event_id/64) as bigint)%48 AS y", "event_id%64 AS x",
         "CASE WHEN event_type IN ('signup','error') THEN 'keypoint' ELSE 'road' END AS band",
         "least(value/100.0, 1.0) AS score")
 
@@ -37,7 +37,7 @@ def wide_patch_scores(spark, d):
 
 def pair_scores(spark, d):
     return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey%8 AS tile_id", "l_orderkey AS patch_id", "l_partkey%40 AS src", "100+l_suppkey%25 AS dst",
+        "cast(floor(l_orderkey/65536) as bigint)*8 + l_orderkey%8 AS tile_id", "l_orderkey AS patch_id", "l_partkey%40 AS src", "100+l_suppkey%25 AS dst",
         "l_discount*10 AS score")
 
 
@@ -75,11 +75,11 @@ PARTS = {
   cast(floor((cast(embedding[1] as double)+1)*256) as bigint) AS x,
   cast(floor((cast(embedding[2] as double)+1)*256) as bigint) AS y,
   cast((vec_id*7919)%1000 as double)/1000 AS score FROM embeddings)""",
-    "patch": """fx_patch AS (SELECT user_id%3 AS tile_id, event_id%4 AS patch_id,
+    "patch": """fx_patch AS (SELECT cast(floor(event_id/12288) as bigint)*3 + user_id%3 AS tile_id, event_id%4 AS patch_id,
   cast(floor(event_id/64) as bigint)%48 AS y, event_id%64 AS x,
   CASE WHEN event_type IN ('signup','error') THEN 'keypoint' ELSE 'road' END AS band,
   least(value/100.0, 1.0) AS score FROM events)""",
-    "pairs": """fx_pairs AS (SELECT l_orderkey%8 AS tile_id, l_orderkey AS patch_id, l_partkey%40 AS src,
+    "pairs": """fx_pairs AS (SELECT cast(floor(l_orderkey/65536) as bigint)*8 + l_orderkey%8 AS tile_id, l_orderkey AS patch_id, l_partkey%40 AS src,
   100+l_suppkey%25 AS dst, l_discount*10 AS score FROM lineitem)""",
     "gt": """fx_gt_nodes AS MATERIALIZED (SELECT tile_id, node_id, 60+(k%16)*120+((node_id*37)%11) AS x,
   60+cast(floor(k/16) as bigint)*45+((node_id*101)%11) AS y, k

@@ -130,11 +130,12 @@ def segment_crossing(spark, d):
 
 
 @query("ray_hits", """
-SELECT l_orderkey, l_linenumber, round(ix,6) AS x, round(iy,6) AS y, round(sqrt(t*(bx-ax)*t*(bx-ax)+t*(b_y-ay)*t*(b_y-ay)),6) AS reach
-FROM (SELECT *, ax+t*(bx-ax) AS ix, ay+t*(b_y-ay) AS iy FROM (
-  SELECT *, CASE WHEN det<>0 THEN num*1.0/det END AS t FROM (SELECT *, (bx-ax)*(cy-dy)+(b_y-ay)*(dx-cx) AS det,
-    dx*cy-cx*dy+ax*(dy-cy)+ay*(cx-dx) AS num FROM (""" + SEG.split("AS (", 1)[1] + """)))
-WHERE t>=0 AND (ix-cx)*(dx-ix)+(iy-cy)*(dy-iy)>=0""")
+SELECT l_orderkey, l_linenumber, round(px,6) AS x, round(py,6) AS y, round(sqrt((px-ax)*(px-ax)+(py-ay)*(py-ay)),6) AS reach
+FROM (SELECT *, cx+f*(dx-cx) AS px, cy+f*(dy-cy) AS py FROM (
+  -- heights of the segment's ends over the ray's line; f is where on the segment the height is zero
+  SELECT *, CASE WHEN hc<>hd THEN hc*1.0/(hc-hd) END AS f FROM (
+    SELECT *, (bx-ax)*cy-(b_y-ay)*cx-((bx-ax)*ay-(b_y-ay)*ax) AS hc, (bx-ax)*dy-(b_y-ay)*dx-((bx-ax)*ay-(b_y-ay)*ax) AS hd FROM (""" + SEG.split("AS (", 1)[1] + """)))
+WHERE f BETWEEN 0 AND 1 AND (px-ax)*(bx-ax)+(py-ay)*(b_y-ay)>=0""")
 def ray_hits(spark, d):
     s = _segments(spark, d)
     c = {k: F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")}

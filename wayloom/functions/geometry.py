@@ -46,10 +46,11 @@ def crossing_point(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 
 def ray_hit(base_x, base_y, dir_x, dir_y, ax, ay, bx, by) -> Column:
     """Where a ray meets the segment a-b, as struct(x, y, reach); NULL when it does not."""
-    det = dir_x * (ay - by) + dir_y * (bx - ax)
-    num = bx * ay - ax * by + base_x * (by - ay) + base_y * (ax - bx)
-    t = num / F.nullif(det * 1.0, F.lit(0.0))
-    x, y = base_x + t * dir_x, base_y + t * dir_y
-    between = (x - ax) * (bx - x) + (y - ay) * (by - y)
-    reach = F.sqrt(t * dir_x * t * dir_x + t * dir_y * t * dir_y)
-    return F.when((t >= 0) & (between >= 0), F.struct(x.alias("x"), y.alias("y"), reach.alias("reach")))
+    tip_x, tip_y = base_x + dir_x, base_y + dir_y
+    away = _turn(ax, ay, bx, by, base_x, base_y)  # how far the base is off the segment's line, and how fast the ray nears it
+    nears = F.nullif((away - _turn(ax, ay, bx, by, tip_x, tip_y)) * 1.0, F.lit(0.0))
+    side_a, side_b = _turn(base_x, base_y, tip_x, tip_y, ax, ay), _turn(base_x, base_y, tip_x, tip_y, bx, by)
+    t = away / nears
+    meets = (t >= 0) & (F.least(side_a, side_b) <= 0) & (F.greatest(side_a, side_b) >= 0)
+    return F.when(meets, F.struct(
+        (base_x + t * dir_x).alias("x"), (base_y + t * dir_y).alias("y"), (t * F.hypot(dir_x * 1.0, dir_y * 1.0)).alias("reach")))

@@ -12,7 +12,6 @@ from ..functions.geometry import crossing_point, point_segment_distance, segment
 from ..session import keep, keep_counted
 from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_start, sliced_join, spread_out
 
-MOST_ROUNDS = 10_000
 
 
 # ---- edge sets -------------------------------------------------------------------------------------------
@@ -230,7 +229,7 @@ def components(pairs: DataFrame) -> DataFrame:
     first = pairs.filter("a <> b").select(*KEY, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state, seen = keep_counted(first, "pairs", n=F.count(F.lit(1)))
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = state.unionByName(state.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*KEY, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = sliced_join(both.filter("b > a"), low, [*KEY, "a"], rows=seen["n"]).select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -289,7 +288,7 @@ def split_edges(nodes: DataFrame, edges: DataFrame, distance: float, cell: float
     seen: list[DataFrame] = []
     final: list[DataFrame] = []
     point = nodes.select(*KEY, F.col("node_id").alias("nid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         e = with_ends(todo, nodes)
         dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
         length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -278,7 +280,7 @@ def connected_over_pixels(points: DataFrame, walk_cost: DataFrame, radius: float
     ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     near = lambda u, v: (F.col("x") - F.col(u)) ** 2 + (F.col("y") - F.col(v)) ** 2 <= free_radius ** 2
     hits.append(front.filter("x = x2 and y = y2").select(*KEY, "src", "dst"))
-    for _ in range(1, int(radius) - 1):
+    for _ in range(1, math.ceil(radius)):  # the start is no step
         step = front.withColumn("_o", F.explode(ring)).withColumns({"x": F.col("x") + F.col("_o.i"), "y": F.col("y") + F.col("_o.j")}).drop("_o")
         step = step.distinct().join(seen, keys, "left_anti")
         open_ = step.join(free, [*KEY, "y", "x"], "left_semi")

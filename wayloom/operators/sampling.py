@@ -96,37 +96,42 @@ def random_patches(tiles: DataFrame, n: int, size: int, patch: int, margin: int,
     return out.select("patch_id", *KEY, "x0", "y0", (F.col("x0") + patch).alias("x1"), (F.col("y0") + patch).alias("y1"), "turns")
 
 
+#: Units that a weight of one is cut into.
+WEIGHT_UNITS = 1_000_000
+
+
 def weighted_draws(points: DataFrame, n: int, seed: int, group: Sequence[str] = ("tile_id", "patch_id"), bins: int = 64) -> DataFrame:
     """n draws with replacement per group, by ``weight``: (group, sample_id, pid).
 
-    Weights run up inside a group (a patch after thinning, so a bounded number of points). Draws meet the points
-    whose interval shares their bin of [0, 1), not every point of the group.
+    Weights run up inside a group (a patch after thinning, so a bounded number of points), in whole numbers of a
+    millionth. Draws meet the points whose interval shares their bin, not every point of the group; each draw meets one.
     """
     group = list(group)
     before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*group)
-    spans = points.select(*group, "pid", F.sum("weight").over(before).alias("_hi"), "weight", F.sum("weight").over(whole).alias("_w"))
-    spans = spans.select(*group, "pid", ((F.col("_hi") - F.col("weight")) / F.col("_w")).alias("_lo"), (F.col("_hi") / F.col("_w")).alias("_hi"))
-    spans = spans.withColumn("_bin", F.explode(F.sequence(
-        F.floor(F.col("_lo") * bins).cast("int"), F.least(F.floor(F.col("_hi") * bins), F.lit(bins - 1)).cast("int"))))
-    draws = points.select(*group).distinct().withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_u", uniform(seed, *group, "sample_id"))
-    draws = draws.withColumn("_bin", F.floor(F.col("_u") * bins).cast("int"))
-    hit = draws.join(spans, [*group, "_bin"]).filter("_u >= _lo and _u < _hi")
-    # rounding may leave a hair's gap or overlap between neighbours: one point per draw
-    return hit.groupBy(*group, "sample_id").agg(F.min("pid").alias("pid"))
+    # whole numbers leave no gap between neighbours and none at the end; a group without any weight draws evenly
+    parts = points.select(*group, "pid", F.round(F.coalesce("weight", F.lit(0.0)) * WEIGHT_UNITS).cast("bigint").alias("_k"))
+    parts = parts.withColumn("_k", F.when(F.sum("_k").over(Window.partitionBy(*group)) > 0, F.col("_k")).otherwise(F.lit(1)))
+    spans = parts.select(*group, "pid", F.sum("_k").over(before).alias("_hi"), "_k", F.sum("_k").over(Window.partitionBy(*group)).alias("_all"))
+    spans = spans.filter("_k > 0").withColumn("_lo", F.col("_hi") - F.col("_k"))
+    totals = spans.groupBy(*group).agg(F.max("_all").alias("_all"))
+    spans = spans.withColumn("_bin", F.explode(F.expr(f"sequence(_lo * {bins} div _all, (_hi - 1) * {bins} div _all)")))
+    draws = totals.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = draws.withColumn("_u", F.least(F.floor(uniform(seed, *group, "sample_id") * F.col("_all")).cast("bigint"), F.col("_all") - 1))
+    draws = draws.withColumn("_bin", F.expr(f"_u * {bins} div _all")).drop("_all")
+    return draws.join(spans, [*group, "_bin"]).filter("_u >= _lo and _u < _hi").select(*group, "sample_id", "pid")
 
 
 def pad_samples(pairs: DataFrame, width: int, group: Sequence[str] = ("tile_id", "patch_id", "sample_id", "src")) -> DataFrame:
     """One row per sample with exactly ``width`` targets: real ones by rank, then (src, not connected, not valid).
 
-    ``pairs``: (group, rank, dst, connected), at most ``width`` per sample; dst may be NULL for a sample without
-    targets.
+    ``pairs``: (group, rank, dst, connected), at most ``width`` per sample, else the query fails; dst may be NULL for a
+    sample without targets.
     """
     e = F.when(F.col("dst").isNotNull(), F.struct("rank", "dst", "connected", F.lit(True).alias("valid")))
     lists = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(e)).alias("_l"))
     filler = F.struct(F.lit(None).cast("bigint").alias("rank"), F.col("src").alias("dst"), F.lit(False).alias("connected"), F.lit(False).alias("valid"))
     full = F.slice(F.concat("_l", F.array_repeat(filler, width)), 1, width)
+    full = F.when(F.size("_l") > width, F.raise_error(F.lit(f"a sample has more than {width} targets"))).otherwise(full)
     return lists.withColumn("_l", full).select(
         *group, F.transform("_l", lambda x: x["dst"]).alias("targets"),
         F.transform("_l", lambda x: x["connected"]).alias("connected"), F.transform("_l", lambda x: x["valid"]).alias("valid"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import tie_hash
 from ..session import keep, keep_counted
-from .graph import MOST_ROUNDS
 from .spatial import KEY, radius_join, sliced_join
 
 
@@ -41,7 +40,7 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
             {"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)}), "open", n=F.count(F.lit(1)))
     won: list[DataFrame] = [forced.select(*KEY, "_id")]
     ring = F.array(*[F.lit(i) for i in (-2, -1, 0, 1, 2)])
-    for _ in range(MOST_ROUNDS):
+    while True:
         if not n["n"]:
             break
         best = undecided.groupBy(*KEY, "_cx", "_cy").agg(F.min(F.struct("rank", "x", "y")).alias("_b"))
@@ -84,7 +83,7 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     state, n = keep_counted(
         items.filter("not always").select(*KEY, "id").join(hit, [*KEY, "id"], "left_anti"), "open", n=F.count(F.lit(1)))
     won = [sure]
-    for _ in range(MOST_ROUNDS):
+    while True:
         if not n["n"]:
             break
         live = pairs.join(state.withColumnRenamed("id", "first"), [*KEY, "first"], "left_semi").join(
@@ -107,7 +106,7 @@ def cheapest_matching(pairs: DataFrame) -> DataFrame:
     left = keep(pairs.select(*KEY, "a", "b", "cost"), "pairs")
     taken: list[DataFrame] = []
     order = F.struct("cost", "a", "b")
-    for _ in range(MOST_ROUNDS):
+    while True:
         by_a = left.groupBy(*KEY, "a").agg(F.min(order).alias("m"))
         by_b = left.groupBy(*KEY, "b").agg(F.min(order).alias("m"))
         both = by_a.join(by_b.select(*KEY, F.col("b").alias("_b"), F.col("m").alias("_m")),

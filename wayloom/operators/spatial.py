@@ -13,21 +13,18 @@ from pyspark.sql import functions as F
 
 KEY = ("tile_id",)
 ROWS_PER_SLICE = 200_000
-MOST_SLICED_KEYS = 4_096
 
 
 def slice_hot_keys(left, right, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE):
     """Add a ``_slice`` column to both sides so that (keys, _slice) joins to the same pairs as ``keys``.
 
-    The list of hot keys is cut at MOST_SLICED_KEYS rows, so it can be broadcast whatever the data size; keys
-    beyond it keep one slice and are still joined in full.
+    All hot keys are in the list that is broadcast. It has one row for more than ``rows_per_slice`` rows of data, so
+    its size is bounded: some megabytes for a thousand million rows.
     """
     hot = (
         left.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_slice)
-        .orderBy(F.desc("_n"))
-        .limit(MOST_SLICED_KEYS)
         .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
     )
     slices = F.coalesce("_slices", F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coords import in_crop, location_key, to_latlon
+from ..functions.coords import METRES_PER_DEGREE, in_crop, location_key, to_latlon
 from ..operators.graph import symmetric
 from ..operators.spatial import KEY, cell_chunk, dense_ids
 
@@ -78,9 +78,9 @@ def road_graph(adjacency: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = edges.distinct().withColumn("edge_score", F.lit(100))
     klat, klon = to_latlon(F.col("node.r"), F.col("node.c"))
     region = adjacency.groupBy(*KEY).agg(F.min(klat).alias("low"), F.max(klon).alias("high")).select(
-        *KEY, (F.least(F.col("low"), F.lit(41.0)) - 300 * 1.0 / 111111.0).alias("min_lat"),
-        F.lit(-71.0 - 500 * 1.0 / 111111.0).alias("min_lon"), F.lit(41.0 + 300 * 1.0 / 111111.0).alias("max_lat"),
-        (F.greatest(F.col("high"), F.lit(-71.0)) + 500 * 1.0 / 111111.0).alias("max_lon"))
+        *KEY, (F.least(F.col("low"), F.lit(41.0)) - 300 / METRES_PER_DEGREE).alias("min_lat"),
+        F.lit(-71.0 - 500 / METRES_PER_DEGREE).alias("min_lon"), F.lit(41.0 + 300 / METRES_PER_DEGREE).alias("max_lat"),
+        (F.greatest(F.col("high"), F.lit(-71.0)) + 500 / METRES_PER_DEGREE).alias("max_lon"))
     return nodes, edges, region
 
 
@@ -98,10 +98,11 @@ def load_forest(forest: DataFrame, box: tuple[float, float, float, float] | None
     """Forest dump to (nodes, edges, terminals).
 
     ``forest``: (tile_id, tree_id, id, lat, lon, parent, similar_tree, similar_id, out_region); a node is named
-    tree_id * 10000000 + id. A row with an alias (similar_tree <> -1) takes the alias's name and place; rows
+    tree_id * 10000000 + id (longer ids fail). A row with an alias (similar_tree <> -1) takes the alias's name and place; rows
     outside ``box`` (min_lat, min_lon, max_lat, max_lon) are skipped; ``out_region`` marks the parent terminal.
     """
-    name = lambda t, i: F.col(t) * 10_000_000 + F.col(i)
+    fits = lambda i: F.when((F.col(i) >= 0) & (F.col(i) < 10_000_000), F.col(i)).otherwise(F.raise_error(F.lit("an id in a tree has more than seven digits")))
+    name = lambda t, i: F.col(t) * 10_000_000 + fits(i)
     spot = forest.select(*KEY, "tree_id", F.col("id").alias("_i"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     rows = forest
     if box is not None:
