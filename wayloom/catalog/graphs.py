@@ -262,7 +262,7 @@ def without_isolated(spark, d):
 
 
 PARTS2 = """pn AS (SELECT tile_id, 0 AS part, row_number() OVER (PARTITION BY tile_id ORDER BY node_id)-1 AS node_id, node_id AS old, x, y FROM fx_gt_nodes
-  UNION ALL SELECT tile_id, 1, row_number() OVER (PARTITION BY tile_id ORDER BY node_id)-1, node_id, x, y FROM fx_pred_nodes WHERE x%2=0),
+  UNION ALL SELECT tile_id, 1, row_number() OVER (PARTITION BY tile_id ORDER BY node_id)-1, node_id, x, y FROM fx_pred_nodes),
 sz AS (SELECT tile_id, part, count(*) AS n FROM pn GROUP BY ALL),
 off AS (SELECT tile_id, part, coalesce(sum(n) OVER (PARTITION BY tile_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::bigint AS o FROM sz)"""
 
@@ -275,7 +275,7 @@ def combined_graphs(spark, d):
     gn, ge = fx.gt(spark, d)
     pn, pe = fx.pred(spark, d)
     a = graph.renumber(gn.select("tile_id", "node_id", "x", "y"), ge)
-    b = graph.keep_nodes(pn.select("tile_id", "node_id", "x", "y"), pe, F.col("x") % 2 == 0)
+    b = graph.renumber(pn.select("tile_id", "node_id", "x", "y"), pe)
     tag = lambda df, i: df.withColumn("part", F.lit(i))
     _, e = graph.combine(tag(a[0], 0).unionByName(tag(b[0], 1)), tag(a[1], 0).unionByName(tag(b[1], 1)))
     return e

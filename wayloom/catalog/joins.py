@@ -31,14 +31,14 @@ def radius_pairs(spark, d):
     return spatial.radius_join(p.withColumnRenamed("pid", "a"), o, 16.0).filter("a < b").select("tile_id", "a", "b")
 
 
-BOXES = """boxes AS (SELECT tile_id, i*8+j AS patch_id, i*48 AS x0, j*48 AS y0, i*48+128 AS x1, j*48+128 AS y1
- FROM (SELECT DISTINCT tile_id FROM fx_points), range(8) a(i), range(8) b(j))"""
+BOXES = """boxes AS (SELECT tile_id, i*9+j AS patch_id, i*48 AS x0, j*48 AS y0, i*48+128 AS x1, j*48+128 AS y1
+ FROM (SELECT DISTINCT tile_id FROM fx_points), range(9) a(i), range(9) b(j))"""
 
 
 def _boxes(spark, d):
-    axis = F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))
+    axis = F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))
     t = fx.points(spark, d).select("tile_id").distinct().withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
-    return t.selectExpr("tile_id", "i*8+j AS patch_id", "i*48 AS x0", "j*48 AS y0", "i*48+128 AS x1", "j*48+128 AS y1")
+    return t.selectExpr("tile_id", "i*9+j AS patch_id", "i*48 AS x0", "j*48 AS y0", "i*48+128 AS x1", "j*48+128 AS y1")
 
 
 @query("points_in_boxes", sql("points", """
@@ -165,11 +165,11 @@ def line_of_sight(spark, d):
 SELECT p.tile_id, p.patch_id, p.pid, round(sum(w*v1),12) AS v1, round(sum(w*v2),12) AS v2 FROM (
  SELECT tile_id, patch_id, pid, floor(gx)+i AS fx, floor(gy)+j AS fy, (1-abs(gx-(floor(gx)+i)))*(1-abs(gy-(floor(gy)+j))) AS w FROM (
   SELECT tile_id%3 AS tile_id, pid%4 AS patch_id, pid, (x%256)/256.0::double*16-0.5 AS gx, (y%256)/256.0::double*16-0.5 AS gy FROM fx_points), range(2) a(i), range(2) b(j)) p
-JOIN (SELECT tile_id, patch_id, x%16 AS fx, y%16 AS fy, max(score) AS v1, min(score) AS v2 FROM fx_patch GROUP BY ALL) f
+LEFT JOIN (SELECT tile_id, patch_id, x%16 AS fx, y%16 AS fy, max(score) AS v1, min(score) AS v2 FROM fx_patch GROUP BY ALL) f
  ON f.tile_id=p.tile_id AND f.patch_id=p.patch_id AND f.fx=p.fx AND f.fy=p.fy GROUP BY ALL"""))
 def feature_sampling(spark, d):
     # scores of four decimals times multiples of 1/256 end at twelve decimals, so no rounding falls on a tie
-    v = _sampled(spark, d).filter("vec is not null")
+    v = _sampled(spark, d)
     return v.select("tile_id", "patch_id", "pid", F.round(F.col("vec")[0], 12).alias("v1"), F.round(F.col("vec")[1], 12).alias("v2"))
 
 
