@@ -29,6 +29,9 @@ def test_graph_documents_go_out_and_come_back(spark, frame, tmp_path):
     text = "".join(p.read_text() for p in parts)
     nodes, edges = json.loads(text)
     assert len(nodes) == 3 and edges == [[0, 1], [1, 2]]
+    back_nodes, back_edges = src.read_graph_json(spark, str(tmp_path / "out"))
+    assert {(r.tile_id, r.node_id) for r in back_nodes.collect()} == {(1, 0), (1, 1), (1, 2)}
+    assert {(r.tile_id, r.src, r.dst) for r in back_edges.collect()} == {(1, 0, 1), (1, 1, 2)}
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "tile_a.json").write_text(text)
     n2, e2 = src.read_graph_json(spark, str(tmp_path / "docs"))

@@ -86,6 +86,14 @@ def adjacency_nodes(spark, d):
     return src.from_adjacency(src.adjacency_table(_rc(n), e))[0]
 
 
+@query("adjacency_nodes_native", sql("gt both", "SELECT tile_id, node_id, c AS x, 400-r AS y FROM dense", DENSE))
+def adjacency_nodes_native(spark, d):
+    from ..functions.coords import native_to_xy
+
+    n, e = fx.gt(spark, d)
+    return src.from_adjacency(src.adjacency_table(_rc(n), e), native_to_xy)[0]
+
+
 @query("adjacency_edges", sql("gt both", "SELECT tile_id, src, dst FROM dedges", DENSE))
 def adjacency_edges(spark, d):
     n, e = fx.gt(spark, d)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import metre_distance, native_to_xy
+from ..functions.coords import metre_distance
 from ..functions.geometry import crossing_point, point_segment_distance, segment_box
 from ..session import keep, keep_counted
 from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_start, sliced_join, spread_out
@@ -351,16 +351,6 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int, stops: DataFrame | N
     return reduce(DataFrame.unionByName, found)
 
 
-def reachable_within(edges: DataFrame, sources: DataFrame, steps: int) -> DataFrame:
-    """The k-hop neighbourhood as a table: what a per-node action would be called on."""
-    return reach(edges, sources, steps)
-
-
-def native_nodes(nodes: DataFrame, size: int = 400) -> DataFrame:
-    x, y = native_to_xy(F.col("r"), F.col("c"), size)
-    return nodes.withColumns({"x": x, "y": y}).drop("r", "c")
-
-
 def metre_weight(lat1, lon1, lat2, lon2) -> Column:
     """Edge length in whole centimetres, cut off, so that path sums are exact."""
     return (metre_distance(lat1, lon1, lat2, lon2) * 100.0).cast("bigint")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 # Fixed values of the focal loss.
 FOCAL_ALPHA, FOCAL_GAMMA = 0.25, 2.0
 
@@ -28,16 +30,21 @@ def f1(scored: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> Dat
     return scored.filter("valid").groupBy(*by).agg(_share(2 * hit, made + real).alias("f1"))
 
 
+def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with the number ``_band`` of their range of ``order``; written down, as ranges are drawn by a sample."""
+    return keep(rows.repartitionByRange(*order).withColumn("_band", F.spark_partition_id()), "ranges")
+
+
 def precision_recall_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score: precision and recall of the rows at or above it.
 
-    Rows are counted per score first. Counts then run up over coarse score bands and inside each band, so no
-    task ever orders all scores.
+    Rows are counted per score first. The scores are parted by range, so that each part holds about as many of them
+    wherever they crowd; counts run up over one row for each part, and inside each part.
     """
     by = list(by)
     per = scored.groupBy(*by, F.col("score").alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("target") == 1, 1).otherwise(0)).alias("pos"))
-    per = per.withColumn("_band", F.floor(F.col("threshold") * 1024))
+    per = in_ranges(per, [*by, "threshold"])
     later = Window.partitionBy(*by).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = per.groupBy(*by, "_band").agg(F.sum("n").alias("_bn"), F.sum("pos").alias("_bp")).select(
         *by, "_band", F.coalesce(F.sum("_bn").over(later), F.lit(0)).alias("_n0"),

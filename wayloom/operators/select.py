@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import tie_hash
 from ..session import keep, keep_counted
+from .scoring import in_ranges
 from .spatial import KEY, radius_join, sliced_join
 
 
@@ -143,7 +144,7 @@ def worst_share(rows: DataFrame, score: str, share: float, id_col: str) -> DataF
 
     Scores are counted first and the limit is read from the running counts, so the rows themselves are not sorted.
     """
-    per = rows.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.floor(F.col("_s") * 1024))
+    per = in_ranges(rows.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")), ["_s"]).withColumnRenamed("_band", "_c")
     above = Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
     coarse = per.groupBy("_c").agg(F.sum("_n").alias("_cn")).select(
         "_c", F.coalesce(F.sum("_cn").over(above), F.lit(0)).alias("_cs"),

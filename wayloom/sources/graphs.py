@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import METRES_PER_DEGREE, in_crop, location_key, to_latlon
@@ -13,10 +15,16 @@ GRAPH_JSON = "array<array<array<double>>>"
 
 
 def read_graph_json(spark: SparkSession, path: str, tile: str = r"([^/]+)\.json$") -> tuple[DataFrame, DataFrame]:
-    """Files with one graph each, [[[lat, lon], …], [[i, j], …]]; the tile name is taken from the file name."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), tile, 1).alias("tile_id"), F.col("value").alias("doc"))
-    return parse_graph_json(docs)
+    """Files with one graph each, [[[lat, lon], …], [[i, j], …]]; the tile name is taken from the file name.
+
+    What ``write_graph_json`` has written, a folder per tile whose part files make up the document, is read as well.
+    """
+    files = spark.read.text(path, wholetext=True)
+    if "tile_id" in files.columns:
+        named = files.withColumn("_file", F.input_file_name())
+        parts = named.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_file", "value"))).alias("_p"))
+        return parse_graph_json(parts.select(*KEY, F.array_join(F.transform("_p", lambda p: p["value"]), "").alias("doc")))
+    return parse_graph_json(files.select(F.regexp_extract(F.input_file_name(), tile, 1).alias("tile_id"), F.col("value").alias("doc")))
 
 
 def parse_graph_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,16 +53,22 @@ def adjacency_table(nodes: DataFrame, edges: DataFrame, cols: tuple[str, str] =
     return out.select(*KEY, "node", F.coalesce("nbrs", F.array().cast(sets.schema["nbrs"].dataType)).alias("nbrs"))
 
 
-def from_adjacency(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
+def from_adjacency(
+    adjacency: DataFrame, transform: Callable[[Column, Column], tuple[Column, Column]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Adjacency to nodes (tile_id, node_id, r, c) and directed edges, which are not deduplicated.
 
     Neighbours that are no keys become nodes too. Ids are dense, by position: rows have no order of first sight.
+    ``transform`` makes new (x, y) coordinates of the nodes from (r, c), which they take the place of.
     """
     links = adjacency.select(*KEY, "node", F.explode("nbrs").alias("nbr"))
     spots = adjacency.select(*KEY, "node").unionByName(links.select(*KEY, F.col("nbr").alias("node"))).distinct()
     nodes = dense_ids(spots.select(*KEY, "node.r", "node.c"), ["r", "c"], "node_id", cell_chunk("r", "c")).select(*KEY, "node_id", "r", "c")
     at = lambda name, key: nodes.select(*KEY, F.struct("r", "c").alias(name), F.col("node_id").alias(key))
     edges = links.join(at("node", "src"), [*KEY, "node"]).join(at("nbr", "dst"), [*KEY, "nbr"]).select(*KEY, "src", "dst")
+    if transform is not None:
+        x, y = transform(F.col("r"), F.col("c"))
+        nodes = nodes.select(*KEY, "node_id", x.alias("x"), y.alias("y"))
     return nodes, edges
 
 
