@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .batches import map_text
 
-CACHE = 1 << 18
+#: Words and chunks that a worker remembers; a full table is emptied.
+CACHE = 1 << 19
 #: ASCII white space; chunks between such characters are encoded on their own, as the normaliser and patterns never join them.
 CHUNKS = r"[^ \t\n\r\f\v]+"
 
