@@ -326,29 +326,34 @@ def merge_into_large_graph(nodes: DataFrame, edges: DataFrame, merge_distance: f
 
 # ---- bounded search --------------------------------------------------------------------------------------
 
-def reach(edges: DataFrame, sources: DataFrame, depth: int, stops: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, depth: int, stops: DataFrame | Column | None = None) -> DataFrame:
     """Breadth-first search from many sources: (source, node, depth), at most ``depth`` hops, edges undirected.
 
-    ``sources``: (tile_id, source, node). ``stops``: (tile_id, source, node) that are entered but not left.
+    ``sources``: (tile_id, source, node). ``stops``: (tile_id, source, node) that are entered but not left, or a
+    condition on these columns. Back over an undirected edge lies one of the last two fronts or a stop, so a step is held
+    against these alone.
     """
     links = keep(symmetric(edges.select(*KEY, "src", "dst")).filter("src <> dst").distinct(), "links")
     links = links.select(*KEY, F.col("src").alias("node"), F.col("dst").alias("next"))
     at = [*KEY, "source", "node"]
-    front = keep(sources.select(*at).distinct().withColumn("depth", F.lit(0)), "front")
-    if stops is not None:
-        stops = keep(stops.select(*at).distinct(), "stops")
+    listed = keep(stops.select(*at).distinct().withColumn("_in", F.lit(True)), "stops") if isinstance(stops, DataFrame) else None
+
+    def marked(rows: DataFrame) -> DataFrame:
+        if listed is not None:
+            return rows.join(listed, at, "left").withColumn("_stop", F.coalesce("_in", F.lit(False))).drop("_in")
+        return rows.withColumn("_stop", F.lit(False) if stops is None else F.coalesce(stops, F.lit(False)))
+
+    front = keep(marked(sources.select(*at).distinct().withColumn("depth", F.lit(0))), "front")
     found = [front]
     for hop in range(1, depth + 1):
-        leaving = front
-        if stops is not None:
-            leaving = front.join(stops, at, "left_anti")
-        stepped = leaving.join(links, [*KEY, "node"]).select(*KEY, "source", F.col("next").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, found).select(*at)
-        front, n = keep_counted(stepped.join(known, at, "left_anti").withColumn("depth", F.lit(hop)), "front", n=F.count(F.lit(1)))
+        stepped = front.filter("not _stop").join(links, [*KEY, "node"]).select(*KEY, "source", F.col("next").alias("node")).distinct()
+        known = [f.select(*at) for f in found[-2:]] + ([f.filter("_stop").select(*at) for f in found[:-2]] if stops is not None else [])
+        fresh = stepped.join(reduce(DataFrame.unionByName, known), at, "left_anti").withColumn("depth", F.lit(hop))
+        front, n = keep_counted(marked(fresh), "front", n=F.count(F.lit(1)))
         if not n["n"]:
             break
         found.append(front)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).drop("_stop")
 
 
 def metre_weight(lat1, lon1, lat2, lon2) -> Column:
