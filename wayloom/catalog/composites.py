@@ -277,13 +277,49 @@ def scored_patches(spark, d):
     """Patches cut from a mosaic of road scores, scored by a stub; holes in the mosaic count as zero."""
     from ..plans import extraction
 
+    px, patches = _mosaic(spark, d)
+    out = extraction.scored_patches(px, patches, bright_is_road, "tile_id bigint, patch_id bigint, py int, px int, keypoint double, road double")
+    return out.select("tile_id", "patch_id", "y", "x", r6("road").alias("road"), r6("keypoint").alias("keypoint"))
+
+
+def _mosaic(spark, d):
+    """(pixels, patches) of 48 x 64 canvases of road scores."""
     g = fx.patch_scores(spark, d).filter("band = 'road'").groupBy("tile_id", "y", "x").agg(F.max("score").alias("v"))
     canvas = g.select("tile_id").distinct().selectExpr("tile_id", "explode(sequence(0L, 47L)) AS y").selectExpr("tile_id", "y", "explode(sequence(0L, 63L)) AS x")
     px = canvas.join(g, ["tile_id", "y", "x"], "left").select("tile_id", "y", "x", F.lit("road").alias("band"), F.coalesce("v", F.lit(0.0)).alias("value"))
     patches = g.select("tile_id").distinct().selectExpr("tile_id", "explode(sequence(0L, 11L)) AS patch_id").selectExpr(
         "tile_id", "patch_id", "(patch_id%4)*16 AS x0", "(patch_id div 4)*16 AS y0", "(patch_id%4)*16+16 AS x1", "(patch_id div 4)*16+16 AS y1")
-    out = extraction.scored_patches(px, patches, bright_is_road, "tile_id bigint, patch_id bigint, py int, px int, keypoint double, road double")
-    return out.select("tile_id", "patch_id", "y", "x", r6("road").alias("road"), r6("keypoint").alias("keypoint"))
+    return px, patches
+
+
+def bright_with_features(batches):
+    """Stub patch scorer that yields a feature map as well: one vector of two figures for each pixel."""
+    import pyarrow as pa
+
+    for b in bright_is_road(batches):
+        n = b.num_rows
+        none = lambda kind: pa.nulls(n, kind)
+        at = lambda c: b.column(c)
+        yield pa.RecordBatch.from_arrays(
+            [at("tile_id"), at("patch_id"), at("py"), at("px"), at("keypoint"), at("road"), none(pa.int32()), none(pa.int32()), none(pa.list_(pa.float32()))],
+            names=IMAGE_COLUMNS)
+        vec = pa.array([[v, 1.0 - v] for v in at("road").to_pylist()], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays(
+            [at("tile_id"), at("patch_id"), none(pa.int32()), none(pa.int32()), none(pa.float64()), none(pa.float64()), at("py"), at("px"), vec], names=IMAGE_COLUMNS)
+
+
+IMAGE_COLUMNS = ["tile_id", "patch_id", "py", "px", "keypoint", "road", "fy", "fx", "vec"]
+
+
+@query("image_adjacency")
+def image_adjacency(spark, d):
+    """From pixels to adjacency in one call, with stub scorers; the pair scorer gets sampled features."""
+    from ..plans import extraction
+
+    px, patches = _mosaic(spark, d)
+    opt = extraction.Options(road_radius=4.0, keypoint_radius=2.0, neighbour_radius=16.0)
+    out = extraction.image_graph(px, patches, bright_with_features, near_is_linked, opt, patch_size=16.0, grid=16)[2]
+    return out.select("tile_id", "node", "nbrs")
 
 
 def _label_patches(spark, d, options):

@@ -12,8 +12,10 @@ from ..operators.raster import extract_points, fuse_masks, pack_patches, pair_fe
 from ..operators.scoring import clean_pair_scores, vote_edges
 from ..operators.spatial import KEY, nearest_neighbours, point_in_box_join
 from ..session import keep
+from ..sources.sinks import rounded_adjacency
 
 PATCH = ("tile_id", "patch_id")
+IMAGE_SCHEMA = "tile_id bigint, patch_id bigint, py int, px int, keypoint double, road double, fy int, fx int, vec array<float>"
 PAIR_SCHEMA = "tile_id bigint, patch_id bigint, src bigint, dst bigint, score double"
 
 
@@ -42,6 +44,32 @@ def scored_patches(pixels: DataFrame, patches: DataFrame, scorer: Callable, sche
         *PATCH, (F.col("py") + F.col("y0")).alias("y"), (F.col("px") + F.col("x0")).alias("x"), "keypoint", "road")
 
 
+def image_graph(
+    pixels: DataFrame,
+    patches: DataFrame,
+    patch_scorer: Callable,
+    pair_scorer: Callable,
+    options: Options = Options(),
+    patch_size: float = 512.0,
+    grid: int = 32,
+    schema: str = IMAGE_SCHEMA,
+    pair_schema: str = PAIR_SCHEMA,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image pixels to (nodes, edges, adjacency) in one call.
+
+    ``patch_scorer`` yields rows of two kinds in ``schema``: scores of a pixel (py, px, keypoint, road) with the rest null,
+    and cells of its feature map (fy, fx, vec) with the rest null. The features are sampled at the points of each pair and
+    handed to ``pair_scorer``. Patches are scored once; the rows are written to the shared folder.
+    """
+    local = keep(score_patches(pack_patches(pixels, patches), patch_scorer, schema), "image-scores")
+    at = patches.select(*PATCH, "x0", "y0")
+    scores = local.filter("fy is null").join(at, list(PATCH)).select(
+        *PATCH, (F.col("py") + F.col("y0")).alias("y"), (F.col("px") + F.col("x0")).alias("x"), "keypoint", "road")
+    features = local.filter("fy is not null").select(*PATCH, "fy", "fx", "vec")
+    nodes, edges = extract_graph(scores, patches, pair_scorer, options, features, patch_size, grid, pair_schema)
+    return nodes, edges, rounded_adjacency(nodes, edges)
+
+
 def fused_masks(patch_scores: DataFrame) -> DataFrame:
     """Byte masks; means are rounded to 9 decimals so that the order of summation cannot change a byte."""
     bands = ("keypoint", "road")

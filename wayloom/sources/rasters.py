@@ -25,13 +25,15 @@ def read_image_pixels(spark: SparkSession, path: str, tile: str = r"([^/]+)\.[A-
             for row in batch.to_pylist():
                 h, w, n = row["height"], row["width"], row["nChannels"]
                 names = [gray_band] if n == 1 else ["blue", "green", "red"]
-                cube = np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, n)
-                ys, xs = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
-                for i, band in enumerate(names):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["tile_id"]] * (h * w)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)),
-                         pa.array([band] * (h * w)), pa.array(cube[:, :, i].reshape(-1).astype(np.float64))],
-                        names=["tile_id", "y", "x", "band", "value"])
+                cube = np.frombuffer(row["data"], dtype=np.uint8).reshape(h * w, n)
+                for lo in range(0, h * w, 1 << 18):  # some rows of the image at a time
+                    at = np.arange(lo, min(h * w, lo + (1 << 18)), dtype=np.int32)
+                    y, x = np.divmod(at, np.int32(w))
+                    for i, band in enumerate(names):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(pa.scalar(row["tile_id"], pa.string()), len(at)), pa.array(y), pa.array(x),
+                             pa.repeat(pa.scalar(band, pa.string()), len(at)), pa.array(cube[at, i].astype(np.float64))],
+                            names=["tile_id", "y", "x", "band", "value"])
 
     return img.mapInArrow(unfold, PIXEL_SCHEMA)
 
