@@ -17,6 +17,7 @@ from .components import components
 TOKENS = 64
 _rolling = Rolling()
 _SEEDS = (mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))[:, None]
+_SHIFTS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
 
 
 def normal_words(text: str | None) -> bytes:
@@ -41,7 +42,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     out = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for lo in range(0, len(shingles), 4096):  # in pieces that stay in the processor's cache
-            h = shingles[lo:lo + 4096] * _SEEDS
+            h = shingles[lo:lo + 4096] * _SEEDS + _SHIFTS
             h ^= h >> np.uint64(31)
             out = np.minimum(out, ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).min(1).astype(np.uint32))
     return out
@@ -54,7 +55,8 @@ def _node(parent: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.n
 
 
 def branch(rows: DataFrame, paths: int, first: list[int] | None = None) -> DataFrame:
-    """Children of (``node``, ``v``, ``sig``): one for each token that the node selects; of the root, for tokens ``first``."""
+    """Children of (``node``, ``v``, ``n``, ``size``, ``sig``): one for each token that the node selects; of the root, for tokens ``first``.
+    ``above`` is the size of the parent."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -64,9 +66,9 @@ def branch(rows: DataFrame, paths: int, first: list[int] | None = None) -> DataF
             for p in range(len(first) if first else paths):
                 pick = np.full(len(node), first[p]) if first else (mix64(node.astype(np.uint64) + np.uint64(p + 1)) % np.uint64(TOKENS)).astype(np.int64)
                 child = _node(node, pick, sig[np.arange(len(node)), pick])
-                yield pa.RecordBatch.from_arrays([pa.array(child), b.column("v")], ["node", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(child), b.column("v"), b.column("n"), b.column("size")], ["node", "v", "n", "above"])
 
-    return rows.select("node", "v", "sig").mapInArrow(run, "node bigint, v bigint")
+    return rows.select("node", "v", "n", "size", "sig").mapInArrow(run, "node bigint, v bigint, n int, above bigint")
 
 
 def _unpacked(t: pa.Table) -> np.ndarray:
@@ -117,20 +119,20 @@ def _links(t: pa.Table, percent: int) -> dict | None:
     return out if out["a"] else None
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 4, paths: int = 2, small: int = 400, depth: int = 8,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 4, paths: int = 2, small: int = 3000,
+                    shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``n_shingles``, ``component_id`` and ``kept`` of each document; links are pairs of sets with intersection * 100 >= union * ``percent``.
 
     Documents with the same words are one set, whose links its smallest id stands for. A signature of minwise tokens makes
     the paths: below the root, each of ``trees`` trees takes ``paths`` tokens, and documents with an equal token share a
-    node; a node of more than ``small`` sets branches again over ``paths`` tokens that it selects itself. Small nodes are
+    node; a node of more than ``small`` sets, or with more than ``shingles`` of them in all, branches again over ``paths`` tokens that it selects itself. Small nodes are
     compared exhaustively: signatures first, then the full sets of those that agree in nearly as many tokens as linked sets
     would. A link of similarity 0.85 is missed in all paths with a probability below 1e-5.
 
     A first tree of one path runs before the others; its links join most groups, and from then on only nodes that hold sets of
     different groups matter. That, and comparing the members of a large node with two of its members, keeps large groups of
-    near copies from being branched again and again. What is still large after ``depth`` levels is compared whole, in
-    blocks: nothing is cut off.
+    near copies from being branched again and again. A large node that branching leaves at over 0.7 of its parent's size holds
+    sets that are alike, though not linked: it is compared whole, in blocks. Nothing is cut off.
 
     Empty and null texts have 0 shingles and no links. Rows of a null id have no links, a null component, and are kept. Rows
     with equal ids are one document: each row shows its own text's shingles, all share the component. An empty table gives
@@ -151,20 +153,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     rows = keep(map_text(docs.withColumn("_id", F.col(id_col).cast("bigint")), "_id", text_col, describe, "id bigint, key binary, n int, sig binary"), "texts")
     sets = keep(rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
 
+    def parts(size, total):
+        """Units of bounded size that a node is cut into; more than one if it is large."""
+        return F.greatest(F.ceil(size / small), F.ceil(total / shingles)).cast("int")
+
     def occupied(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Rows of nodes that hold two sets or more, of different groups if these are known; with the node's ``size``."""
+        """Rows of nodes that hold two sets or more, of different groups if these are known; with the node's ``size``,
+        and whether it is ``dense``: large, and branching has hardly made it smaller."""
         named = nodes.withColumn("root", F.col("v")) if roots is None else nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        stat = named.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        stat = named.groupBy("node").agg(F.count("*").alias("size"), parts(F.count("*"), F.sum("n")).alias("parts"), F.max("above").alias("_above"), F.min("root").alias("lo"), F.max("root").alias("hi"),
                                          F.min_by("v", F.xxhash64("v")).alias("one"), F.max_by("v", F.xxhash64("v")).alias("two"))
         stat = stat.filter("size > 1 and lo <> hi")
-        return named.join(stat.drop("lo", "hi"), "node")
+        dense = (F.col("parts") > 1) & (F.col("size") > 0.7 * F.col("_above"))
+        return named.join(stat.withColumn("dense", dense).drop("lo", "hi", "_above"), "node")
 
     def sliced(nodes: DataFrame) -> DataFrame:
         """Units of bounded size: a small node whole; of a large one slices, each with the same two members."""
-        parts = F.ceil(F.col("size") / small).cast("int")
-        own = nodes.select("node", hash_part("v", parts).cast("int").alias("part"), "v")
-        lead = nodes.filter(F.col("size") > small).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.explode(F.array("one", "two")).alias("v"))
-        return own.unionAll(lead.distinct()).distinct()
+        own = nodes.select("node", hash_part("v", F.col("parts")).cast("int").alias("part"), "v")
+        lead = nodes.filter("parts > 1").groupBy("node", "one", "two").agg(F.max("parts").alias("parts"))
+        lead = lead.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "one", "two").select(
+            "node", "part", F.explode(F.array("one", "two")).alias("v"))
+        return own.unionAll(lead).distinct()
+
+    def blocked(nodes: DataFrame) -> DataFrame:
+        """Units of every two blocks of a node."""
+        blocks = 2 * F.col("parts")
+        mine = nodes.withColumn("i", hash_part("v", blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return mine.select(F.xxhash64("node", F.least("i", "j")).alias("node"), F.greatest("i", "j").alias("part"), "v").distinct()
 
     def signed(units: DataFrame) -> DataFrame:
         return units.join(sets.select("v", "n", "sig"), "v")
@@ -187,49 +202,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
             have = have.join(mixed, ["node", "part"], "left_semi")
         return by_group(have, ["node", "part"], ["v"], lambda t: _links(t, percent), "a bigint, b bigint")
 
-    root = sets.withColumn("node", F.lit(0).cast("bigint"))
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """``roots`` after further links: only the groups that these touch are gone through again."""
+        side = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+        named = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        up = components(named)
+        moved = roots.join(up.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left")
+        return keep(moved.select("v", F.coalesce("to", "root").alias("root")).unionAll(up.select("v", "root")), "groups")
+
+    root = sets.withColumns({"node": F.lit(0).cast("bigint"), "size": F.lit(1 << 60).cast("bigint")})
     # all trees' nodes below the root; a tree's first tokens are its own
     near: list[DataFrame] = []
     for name, tokens in (("first", [0]), ("paths", list(range(1, 1 + trees * paths)))):
         spread = occupied(branch(root, paths, tokens), None)
-        nodes, seen = keep_counted(spread, f"{name}-nodes", large=F.sum((F.col("size") > small).cast("bigint")))
+        nodes, seen = keep_counted(spread, f"{name}-nodes", large=F.count_if(F.col("parts") > 1))
         near.append(keep(active(sliced(nodes)), name))
         if name == "paths":
-            large, n_large = nodes.filter(F.col("size") > small), seen["large"]
-    full = keep(whole_sets(near[0].select("v").unionAll(near[1].select("v"))), "full")
-    edges = keep(links(near[0], full, None), "links")
-    roots = keep(components(edges).select("v", "root"), "groups")
-    found = [edges, keep(links(near[1], full, roots), "links")]
-    if n_large:
-        roots = keep(components(found[0].unionAll(found[1])), "groups")
-    level = 0
+            large, n_large = nodes.filter("parts > 1"), seen["large"]
+    full = keep(whole_sets(near[0].select("v").unionAll(near[1].select("v")).unionAll(large.select("v"))), "full")
+    roots = keep(components(links(near[0], full, None)), "groups")
+    roots = joined(roots, links(near[1], full, roots))
     while n_large:
-        level += 1
-        mixed = occupied(large.select("node", "v"), roots)
-        if level < depth:
-            spread = occupied(branch(mixed.select("node", "v").join(sets.select("v", "sig"), "v"), paths), roots)
-            nodes, seen = keep_counted(spread, "nodes", large=F.sum((F.col("size") > small).cast("bigint")))
-            units = sliced(nodes)
-            large, n_large = nodes.filter(F.col("size") > small), seen["large"]
-        else:  # every two blocks of what is left side by side
-            blocks = F.ceil(F.col("size") / (small / 2)).cast("int")
-            mine = mixed.withColumn("i", hash_part("v", blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            units = mine.select(F.xxhash64("node", F.least("i", "j")).alias("node"), F.greatest("i", "j").alias("part"), "v").distinct()
-            n_large = 0
+        mixed = occupied(large.select("node", "v", "n", "above"), roots)
+        spread = occupied(branch(mixed.select("node", "v", "size").join(sets.select("v", "n", "sig"), "v"), paths), roots)
+        nodes, seen = keep_counted(spread, "nodes", large=F.count_if((F.col("parts") > 1) & ~F.col("dense")))
+        units = sliced(nodes.filter("not dense")).unionAll(blocked(nodes.filter("dense")))
+        large, n_large = nodes.filter("parts > 1 and not dense"), seen["large"]
         some = keep(active(units, roots), "near")
-        found.append(keep(links(some, whole_sets(some), roots), "links"))
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionAll(f)
-        roots = keep(components(every), "groups")
-    if level == 0:
-        roots = keep(components(found[0].unionAll(found[1])), "groups")
+        roots = joined(roots, links(some, full, roots))
     # a document whose rows have several texts stands for each of them
     name = rows.filter("id is not null").join(sets.select("key", "v"), "key", "left").select("id", F.coalesce("v", "id").alias("v")).filter("v <> id").distinct()
     several = rows.filter("id is not null and n > 0").select("id", "key").distinct().groupBy("id").count().filter("count > 1").select("id")
     bridged = name.join(several, "id", "left_semi")
     if not bridged.isEmpty():
-        roots = keep(components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(bridged.select(F.col("id").alias("a"), F.col("v").alias("b")))), "groups")
+        roots = joined(roots, bridged.select(F.col("id").alias("a"), F.col("v").alias("b")))
     out = rows.join(sets.select("key", "v"), "key", "left").withColumn("v", F.when(F.col("id").isNotNull(), F.coalesce("v", "id")))
     out = out.join(roots.withColumnRenamed("root", "_root"), "v", "left").withColumn("component_id", F.coalesce("_root", "v"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), "component_id",
