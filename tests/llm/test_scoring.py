@@ -192,3 +192,27 @@ def test_forest_recall_in_slices(spark):
     want = brute_nearest(rows, range(0, 3000, 20), 10)
     hits = sum(r.vec_id in want[r.query_id] for r in got)
     assert hits >= 0.9 * 10 * 150
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_forest_recall_holds_as_rows_grow(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+    got = hash_forest.nearest(df, df.filter("vec_id % 100 = 0"), k=10, trees=8, candidates=8 * 50, slice_rows=1500).collect()
+    score = x[::100].astype(float) @ x.T.astype(float)
+    score[np.arange(n // 100), np.arange(0, n, 100)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :10]
+    assert sum(r.vec_id in want[r.query_id // 100] for r in got) >= 0.9 * want.size
+
+
+def test_forest_stops_deep_where_neighbours_share_prefixes(spark):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(100, 24)), 20, axis=0) + r.normal(size=(2000, 24)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "rep bigint, x array<float>")
+    planes = spark.sparkContext.broadcast(hash_forest.fit_planes(df, 24, 8, 20, 500))
+    assert hash_forest.stop_level(df, df.filter("rep % 20 = 0"), planes, 10, 50, 0.95) >= 5
+    df = df.withColumnsRenamed({"rep": "vec_id", "x": "embedding"})
+    got = hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, trees=8, candidates=8 * 25).collect()
+    assert sum(q.vec_id // 20 == q.query_id // 20 for q in got) >= 0.9 * 10 * 100

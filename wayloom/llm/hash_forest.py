@@ -2,7 +2,8 @@
 
 Each tree gives every vector a long string of bits, one for each random hyperplane. A tree is the sorted list of strings,
 so the vectors that share a prefix with a query lie side by side. Per query, all trees descend to their longest matches and
-then ascend level by level together until enough candidates are met; these are compared exactly.
+then ascend level by level together until enough candidates are met; these are compared exactly. No query stops below the
+level at which the trees keep the wanted share of true neighbours; each run measures it with exact answers of some queries.
 
 On a cluster a tree is dealt out by the first ``shallow`` bits (a block), crowded blocks in slices of bounded size, and the
 queries go to the blocks of their own prefix. Ascending stops at the block, so ``shallow`` is chosen from the row count.
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,13 +69,56 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, most: int) -
     return first.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
 
 
+def stop_level(found: DataFrame, seekers: DataFrame, planes: Broadcast, k: int, probes: int, share: float) -> int:
+    """The longest prefix that at least ``share`` of the ``k`` true neighbours have in common with their query in one of the
+    trees; 0 if every prefix loses more. The true neighbours are those of at most ``probes`` queries, compared with all rows."""
+    some = seekers.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(probes).collect()
+    if not some:
+        return 0
+    dims = len(some[0].x)
+    asked = found.sparkSession.sparkContext.broadcast((np.array([r.rep for r in some]), np.array([r.x for r in some], np.float32).astype(np.float64)))
+
+    def run(batches):
+        """The best rows of a partition for each probe; ``apart`` is the least difference of their strings over all trees."""
+        p, (reps, q) = planes.value, asked.value
+        score, near, x = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, dims))
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                v = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+                rep = part.column("rep").to_numpy()
+                rough = np.where(reps[:, None] == rep, -np.inf, q @ v.T)
+                top = np.argpartition(-rough, min(k, len(v)) - 1, axis=1)[:, :k]
+                score = np.hstack([score, np.take_along_axis(rough, top, 1)])
+                near, x = np.hstack([near, rep[top]]), np.concatenate([x, v[top]], axis=1)
+                best = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
+                score, near, x = (np.take_along_axis(score, best, 1), np.take_along_axis(near, best, 1),
+                                  np.take_along_axis(x, best[:, :, None], 1))
+        if score.shape[1]:
+            at = p.keys(q, True)
+            for i in range(len(q)):
+                apart = (at[i] ^ p.keys(x[i], False)).min(1)
+                good = np.isfinite(score[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(good.sum(), reps[i])), pa.array(near[i][good]), pa.array(score[i][good]), pa.array(apart[good])],
+                                                 ["rep", "near", "score", "apart"])
+
+    exact = found.select("rep", "x").mapInArrow(run, "rep bigint, near bigint, score double, apart bigint")
+    best = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
+    rows = exact.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= k).select("apart").collect()
+    bits = planes.value.bits
+    common = sorted((bits - int(r.apart).bit_length() for r in rows), reverse=True)
+    return common[math.ceil(share * len(common)) - 1] if common else 0
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24, candidates: int = 24 * 3072, slice_rows: int = 16_384,
-            sample: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+            sample: int = 8192, probes: int = 200, share: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found of each query by inner product: ``query_id``, ``rank`` (from 1), the id column and ``score``.
 
     ``queries`` are rows of ``vectors``; a query's own id is left out. Ties go to the smaller id. ``candidates`` is the number
-    of prefix matches over all trees at which ascending stops; a table of fewer rows is compared whole. ``sample`` bounds the
-    rows that the cut points are taken from; every row is in the index.
+    of prefix matches over all trees at which ascending may stop; a table of fewer rows is compared whole. Ascending goes on to
+    the level at which ``share`` of the true neighbours of ``probes`` queries are met (``stop_level``), whatever the row count;
+    where the trees would then meet as many rows as there are, every row is compared once. ``sample`` bounds the rows that the
+    cut points are taken from; every row is in the index.
 
     Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components, take no part; nor do
     vectors of another length than most. Equal vectors are searched once. Rows repeated in full count once. An empty table
@@ -94,6 +139,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
     wanted = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).cast("array<float>").alias("x")).filter("query_id is not null")
     asked = keep(wanted.distinct().join(found.select("x", "rep"), "x").select("query_id", "rep"), "asked")
     seekers = found.join(asked.select("rep").distinct(), "rep", "left_semi")
+    deepest = stop_level(found, seekers, planes, k, probes, share)
+    if trees >= 1 << deepest:  # prefixes that short meet every row, most of them more than once
+        deepest, trees = 0, 1
+    shallow = min(shallow, deepest)
 
     def strings(df: DataFrame, query: bool, whole: bool) -> DataFrame:
         """A row for each vector and tree."""
@@ -102,7 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
             for b in batches:
                 x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
                 key = p.keys(x.astype(np.float64), query)
-                for t in range(p.trees):
+                for t in range(trees):
                     cols = [pa.array(np.full(len(x), t), pa.int32()), pa.array(key[:, t] >> (p.bits - shallow)), pa.array(key[:, t]), b.column("rep")]
                     names = ["tree", "block", "key", "rep"]
                     if whole:
@@ -152,7 +201,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
     total = met.groupBy("rep").agg(F.array(*[F.sum(F.col("met")[u]) for u in range(depth)]).alias("met"))
     # the longest common level at which the trees together have met enough; the block itself if none has
     level = F.coalesce(F.array_position(F.transform("met", lambda v: v >= candidates), True), F.lit(0))
-    levels = keep(total.select("rep", F.when(level == 0, depth - 1).otherwise(level - 1).cast("int").alias("level")), "levels")
+    level = F.greatest(F.when(level == 0, depth - 1).otherwise(level - 1), F.lit(bits - deepest))
+    levels = keep(total.select("rep", level.cast("int").alias("level")), "levels")
 
     def search(t: pa.Table):
         have, ask, cut = ranges(t)
