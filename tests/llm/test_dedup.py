@@ -86,6 +86,15 @@ def test_signature_estimates_similarity():
     assert 0.6 < (a == b).mean() < 0.98
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_limit_of_signatures_loses_few_links(percent):
+    import math
+
+    s, least = percent / 100, near_dedup.least_equal(percent)
+    assert sum(math.comb(64, k) * s**k * (1 - s) ** (64 - k) for k in range(least)) <= 2e-7
+    assert percent != 85 or least == 38
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
