@@ -37,8 +37,8 @@ def first_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-copies."""
-    return near_dedup.without_near_duplicates(docs).select(*COLUMNS)
+    """One document of each group of near-copies: five-word shingles, a similarity of 0.80 or more."""
+    return near_dedup.without_near_duplicates(docs, percent=80, trees=6).select(*COLUMNS)
 
 
 def clean_of_tests(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

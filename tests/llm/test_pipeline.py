@@ -75,3 +75,30 @@ def test_odd_rows_go_through(spark, docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
+
+
+def brute_groups(rows, percent):
+    """First ids of the groups of links of ``percent``, from all pairs."""
+    from test_dedup import word_sets
+
+    sets = {i: s[0] for i, s in word_sets(rows).items()}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and root[i] != root[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return set(root.values())
+
+
+def test_near_copies_of_080_go(spark, docs):
+    words = ["g%d" % k for k in range(400)]
+    rows = [(0, " ".join(words))]
+    for k, edits in enumerate((4, 6, 7, 8, 9, 10, 14), 1):  # each changes five shingles of 396
+        w = ["h%d-%d" % (k, x) for x in range(400)] if k == 7 else list(words)
+        for e in range(edits):
+            w[20 + 30 * e if edits < 12 else 5 + 20 * e] = f"edit{k}-{e}"
+        rows.append((k, " ".join(w)))
+    want = brute_groups(rows, 80)
+    assert want != brute_groups(rows, 85)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs(rows), FOLDER).collect()} == want
