@@ -252,7 +252,7 @@ def extracted_graph(spark, d):
     from ..plans import extraction
 
     s = fx.wide_patch_scores(spark, d)
-    opt = extraction.Options(road_radius=4.0, keypoint_radius=2.0, neighbour_radius=16.0)
+    opt = extraction.Options()
     _, edges = extraction.extract_graph(s, _extraction_patches(s), near_is_linked, opt, patch_size=40.0)
     return edges.select("tile_id", "src", "dst", r6("score").alias("score"))
 
@@ -264,7 +264,7 @@ def extracted_points(spark, d):
     from ..plans import extraction
 
     masks = extraction.fused_masks(fx.wide_patch_scores(spark, d))
-    return raster.extract_points(masks, 0.248, 0.364, 2.0, 4.0, score_scale="unit")
+    return raster.extract_points(masks, 0.248, 0.364, 8.0, 16.0, score_scale="unit")
 
 
 
@@ -317,7 +317,7 @@ def image_adjacency(spark, d):
     from ..plans import extraction
 
     px, patches = _mosaic(spark, d)
-    opt = extraction.Options(road_radius=4.0, keypoint_radius=2.0, neighbour_radius=16.0)
+    opt = extraction.Options()
     out = extraction.image_graph(px, patches, bright_with_features, near_is_linked, opt, patch_size=16.0, grid=16)[2]
     return out.select("tile_id", "node", "nbrs")
 
