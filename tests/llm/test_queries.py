@@ -140,3 +140,38 @@ def test_op10(spark):
 
     problem, _, _, _ = compare(spark, duck(FOLDER), FOLDER, entry.queries()["op10_decontamination"], entry.oracle_sql()["op10_decontamination"])
     assert problem is None, problem
+
+
+def test_op11(spark, rows):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = answer(spark, "op11_merge_automaton", "doc_id")
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                                     hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_op12(spark):
+    from test_exact import whitened_directly
+
+    data = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{FOLDER}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = np.floor(64 * np.array([v for _, v in data], np.float64)).astype(np.int64) + 1_000_000
+    want, explained, deviation, n = whitened_directly(x)
+    got = {(r.vec_id, r.component): r for r in entry.queries()["op12_whitening"](spark, FOLDER).collect()}
+    assert len(got) == 16 * len(data)
+    for c in range(16):
+        mine = np.array([got[i, c + 1].whitened for i, _ in data])
+        assert np.abs(mine * np.sign((mine * want[:, c]).sum()) - want[:, c]).max() < 1e-8
+    for (i, _), d in zip(data, deviation):
+        assert all(got[i, c + 1].deviation == d and got[i, c + 1].n == n and got[i, c + 1].identity_error < 1e-4
+                   and abs(got[i, c + 1].explained / explained[c] - 1) < 1e-6 for c in range(16))
+
+
+def test_op13(spark):
+    from oracle import compare, duck
+
+    problem, n, _, _ = compare(spark, duck(FOLDER), FOLDER, entry.queries()["op13_hard_negatives"], entry.oracle_sql()["op13_hard_negatives"])
+    assert problem is None and n, problem

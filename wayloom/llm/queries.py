@@ -121,3 +121,42 @@ def suffix_dedup(spark, d):
     from .suffix_dedup import without_repeats
 
     return without_repeats(table(spark, d, "documents"), digest=True)
+
+
+@query("op11_merge_automaton")
+def merge_automaton(spark, d):
+    import public_tokenizers
+
+    from .merge_automaton import automaton_bpe_digest
+
+    return automaton_bpe_digest(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_hard_negatives", """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def hard_negatives(spark, d):
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+
+    rows = table(spark, d, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_whitening")
+def whitening(spark, d):
+    from .whitening import whiten
+
+    return whiten(table(spark, d, "embeddings"))
