@@ -20,19 +20,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import map_text
 
-#: Words and chunks that a worker remembers; a full table is emptied.
-CACHE = 1 << 19
-#: ASCII white space; chunks between such characters are encoded on their own, as the normaliser and patterns never join them.
-CHUNKS = r"[^ \t\n\r\f\v]+"
+#: Words and chunks that each half of a worker's tables remembers; when the newer half is full it becomes the older one.
+CACHE = 1 << 18
 
 
 class WordIds:
-    """The ids of texts from a tokenizers file, remembered by word; texts with added tokens in them are encoded whole."""
+    """The ids of texts from a tokenizers file, remembered by word; texts with added tokens in them are encoded whole.
+
+    Chunks between ASCII white space are encoded on their own, as the normaliser and patterns never join them."""
 
     def __init__(self, tokenizer_file: str):
         import json
@@ -54,20 +55,21 @@ class WordIds:
         listed = {k: "".join(re.escape(c) for c in plain if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}")}
         self.plain = re.compile("[\0-\x1b\x20-\u024f\u2010-\u2027]*").fullmatch  # not the separators that only Python has as spaces
         self.words = re.compile(re.sub(r"\\p\{[LN]\}", lambda m: listed[m[0]], pattern)).findall
-        self.chunks = re.compile(CHUNKS).findall
         vocab = self.tokenizer.get_vocab()
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of lowered chunks of plain texts; of others' chunks
+        self.older: list[dict[str, bytes]] = [{}, {}]
         self.of_word: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _learn_words(self, words: list[str]) -> None:
         """Remember the ids of words that are one pre-token each; in one call, cut after the tokens that end a word."""
         for lo in range(0, len(words), 2048):
             part = words[lo:lo + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cut) == len(part) and cut[-1] == 4 * len(ids):
                 raw, cut = ids.tobytes(), cut.tolist()
@@ -76,36 +78,60 @@ class WordIds:
                 self._learn(self.of_word, part)
 
     def _learn_plain(self, chunks: set[str]) -> None:
-        parts = {c: self.words(c) for c in chunks}
+        whole = [c for c in chunks if c.isalpha()]  # letters alone are one word
+        rest = [c for c in chunks if not c.isalpha()]
+        parts = list(map(self.words, rest))
         if len(self.of_word) >= CACHE:
-            self.of_word.clear()
-        self._learn_words(sorted(set(chain.from_iterable(parts.values())).difference(self.of_word)))
-        word = self.of_word.__getitem__
-        self.known[0].update((c, b"".join(map(word, w))) for c, w in parts.items())
+            self.older_words, self.of_word = self.of_word, {}
+        fresh = set(chain(whole, *parts)).difference(self.of_word)
+        again = fresh.intersection(self.older_words)
+        self.of_word.update(zip(again, map(self.older_words.__getitem__, again)))
+        self._learn_words(sorted(fresh.difference(again)))
+        word, known = self.of_word.__getitem__, self.known[0]
+        known.update(zip(whole, map(word, whole)))
+        known.update(zip(rest, [b"".join(map(word, w)) for w in parts]))
 
     def _learn(self, known: dict[str, bytes], parts: list[str]) -> None:
         known.update(zip(parts, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
 
+    def _chunk_ids(self, k: int, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts by their chunks: each different one is looked up once, and its ids are dealt to its places."""
+        known, older = self.known[k], self.older[k]
+        chunks = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts] if k == 0 else texts, pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        fresh = set(names).difference(known)
+        again = fresh.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again)))
+        if fresh := fresh.difference(again):
+            self._learn_plain(fresh) if k == 0 else self._learn(known, sorted(fresh))
+        ids = list(map(known.__getitem__, names))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[which]
+        end = np.cumsum(each)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[which] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
+        cut = np.append(0, end)[chunks.offsets.to_numpy()].tolist()
+        if len(known) >= CACHE:
+            self.older[k] = dict(known)
+            known.clear()
+        return [flat[i:j] for i, j in zip(cut, cut[1:])]
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        words, chunks = self.known
-        split: list[tuple] = []
-        new: tuple[set, set] = (set(), set())
-        for k in (0, 1):
-            if len(self.known[k]) >= CACHE:
-                self.known[k].clear()
-        for t in texts:
+        out: list = [None] * len(texts)
+        places: tuple[list, list] = ([], [])
+        for n, t in enumerate(texts):
             if not self.apart or any(a in t for a in self.added):
-                split.append((2, t))
+                out[n] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
             else:
-                split.append((0, t.lower().split()) if self.plain(t) else (1, self.chunks(t)))
-                new[split[-1][0]].update(split[-1][1])
-        self._learn_plain(new[0].difference(words))
-        if fresh := sorted(new[1].difference(chunks)):
-            self._learn(chunks, fresh)
-        get = words.__getitem__, chunks.__getitem__
-        return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4") if k == 2 else
-                np.frombuffer(b"".join(map(get[k], p)), "<u4") for k, p in split]
+                places[0 if self.plain(t) else 1].append(n)
+        for k, at in enumerate(places):
+            if at:
+                for n, got in zip(at, self._chunk_ids(k, [texts[n] for n in at])):
+                    out[n] = got
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -122,8 +148,9 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, id_col: str, text_col
     """A Zstandard dictionary from the id arrays of ``sample`` documents with the smallest hashes; empty if too few."""
     import zstandard
 
-    picked = docs.filter(F.length(text_col) > 0).select(id_col, text_col).orderBy(
-        F.xxhash64(id_col), id_col, text_col).limit(sample)
+    places = docs.filter(F.length(text_col) > 0).select(F.xxhash64(id_col, text_col).alias("place"))
+    last = places.orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    picked = docs.filter((F.length(text_col) > 0) & (F.xxhash64(id_col, text_col) <= F.lit(last))).select(id_col, text_col).limit(2 * sample)
 
     def run(ids, texts):
         return {"raw": [a.astype(f"<u{width}").tobytes() for a in word_ids(tokenizer_file).many(texts)]}
@@ -179,7 +206,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                 "null_ids": sum(i is None for i in ids), "index": index.tobytes(), "data": b"".join(frames)}], schema)
 
         for b in batches:
-            step = max(1, int(2_000_000 * b.num_rows / max(1, b.nbytes)))
+            step = max(1, int(4_000_000 * b.num_rows / max(1, b.nbytes)))
             for lo in range(0, b.num_rows, step):
                 some = b.slice(lo, step)
                 for i, tokens in zip(some.column(0).to_pylist(), coder.many([t or "" for t in some.column(1).to_pylist()])):
