@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wayloom.operators import paths, raster, sampling, spatial
+from wayloom.operators.select import greedy_keep, suppress_near
 from wayloom.plans import apls
 from wayloom.sources import graphs
 
@@ -77,3 +78,18 @@ def test_forest_refuses_ids_that_would_clash(frame):
     assert graphs.load_forest(good)[0].count() == 2
     with pytest.raises(PySparkException, match="seven digits"):
         graphs.load_forest(frame([(1, 0, 0.0, 0.0, 0, -1, -1, 0), (1, 10_000_000, 1.0, 1.0, 0, -1, -1, 0)], schema))[0].collect()
+
+
+def test_points_without_a_place_end_the_suppression(spark, frame):
+    nan = float("nan")
+    rows = [(1, 0.0, 0.0, 0.9), (2, 1.0, 0.0, 0.8), (3, None, 0.0, 0.7), (4, 50.0, nan, 0.6), (5, 60.0, 0.0, None), (None, 70.0, 0.0, 0.5), (6, 90.0, 0.0, 0.1)]
+    points = frame(rows, "pid bigint, x double, y double, score double")
+    assert sorted(r.pid for r in suppress_near(points, 5.0).collect()) == [1, 6]
+    assert suppress_near(points.withColumn("tile_id", F.lit(None).cast("bigint")), 5.0).count() == 0
+
+
+def test_conflicts_in_a_circle_raise(spark, frame):
+    items = frame([(1, False), (2, False), (None, False)], "id bigint, always boolean")
+    with pytest.raises(RuntimeError):
+        greedy_keep(items, frame([(1, 2), (2, 1)], "first bigint, second bigint"))
+    assert sorted(r.id for r in greedy_keep(items, frame([(1, 2)], "first bigint, second bigint")).collect()) == [1]

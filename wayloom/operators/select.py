@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import tie_hash
-from ..session import keep, keep_counted
+from ..session import keep, keep_counted, must_fall
 from .scoring import in_ranges
 from .spatial import KEY, radius_join, sliced_join
 
@@ -19,7 +19,8 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
     """Non-maximum suppression: in order of falling score a kept point removes the others within ``radius``.
 
     ``points``: (tile_id, id, x, y, score, …). Scores above ``forced_above`` are always kept. Equal scores are
-    ordered by a hash of the position and then by id, so long runs of equal scores settle in few rounds.
+    ordered by a hash of the position and then by id, so long runs of equal scores settle in few rounds. Points without
+    a tile, an id, a score or a place (null or not a number) are never kept and remove nothing.
 
     Points of one grid cell of diagonal ``radius`` exclude each other, so per round only the best undecided point
     of each cell can be kept, and pairs are formed only between those and the points around them.
@@ -29,7 +30,8 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
         *KEY, F.col(id_col).alias("_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
         F.struct((-F.col("score")).cast("double").alias("s"), tie_hash(F.col("x"), F.col("y")).alias("h"), F.col(id_col).alias("i")).alias("rank"),
         (F.col("score") > forced_above).alias("forced"))
-    base = keep(base, "points")
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*KEY, "_id", "x", "y", "forced")])
+    base = keep(base.filter(whole & ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("rank.s")), "points")
     forced = base.filter("forced")
     # of several points at one place only the first can survive
     loose = base.filter("not forced").groupBy(*KEY, "x", "y").agg(F.min("rank").alias("rank"))
@@ -60,7 +62,9 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
                 *KEY, "rank2", "x2", "y2", F.floor(F.col("x2") / side).alias("_cx"), F.floor(F.col("y2") / side).alias("_cy")), "kept")
         won.append(kept.select(*KEY, F.col("rank2.i").alias("_id")))
         gone = around(kept).select(*KEY, "x", "y").distinct()
+        before = n["n"]
         undecided, n = keep_counted(undecided.join(gone, [*KEY, "x", "y"], "left_anti"), "open", n=F.count(F.lit(1)))
+        must_fall(before, n["n"], "suppress_near")
     ids = reduce(DataFrame.unionByName, won).withColumnRenamed("_id", id_col)
     return points.join(ids, [*KEY, id_col], "left_semi").select(*cols)
 
@@ -74,8 +78,9 @@ def random_scores(points: DataFrame, override: Column, seed: int) -> DataFrame:
 
 def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Ids kept by a greedy scan: (tile_id, id). ``items``: (tile_id, id, always); ``conflicts``: (tile_id, first,
-    second), meaning that a kept ``first``, which comes earlier, drops ``second`` unless that is ``always`` kept."""
-    items = keep(items, "items")
+    second), meaning that a kept ``first``, which comes earlier, drops ``second`` unless that is ``always`` kept.
+    Items without a tile or an id are never kept; conflicts in a circle, which no order has, raise RuntimeError."""
+    items = keep(items.dropna(subset=[*KEY, "id"]), "items")
     sure = items.filter("always").select(*KEY, "id")
     pairs = conflicts.select(*KEY, "first", "second").filter("first <> second").distinct()
     pairs = pairs.join(sure.withColumnRenamed("id", "second"), [*KEY, "second"], "left_anti")
@@ -94,8 +99,10 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
         kept = keep(state.join(blocked, [*KEY, "id"], "left_anti"), "kept")
         won.append(kept)
         lost = pairs.join(kept.withColumnRenamed("id", "first"), [*KEY, "first"], "left_semi").select(*KEY, F.col("second").alias("id")).distinct()
+        before = n["n"]
         state, n = keep_counted(
             state.join(kept, [*KEY, "id"], "left_anti").join(lost, [*KEY, "id"], "left_anti"), "open", n=F.count(F.lit(1)))
+        must_fall(before, n["n"], "greedy_keep")
     return reduce(DataFrame.unionByName, won)
 
 

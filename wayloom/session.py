@@ -37,6 +37,12 @@ def state_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def must_fall(before: int, after: int, what: str) -> None:
+    """Raise when a round of a loop has settled nothing, as no later one would."""
+    if after >= before:
+        raise RuntimeError(f"{what}: a round settled none of {after} rows")
+
+
 def keep(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a short plan that survives lost executors."""
     path = f"{state_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
