@@ -216,3 +216,20 @@ def test_forest_stops_deep_where_neighbours_share_prefixes(spark):
     df = df.withColumnsRenamed({"rep": "vec_id", "x": "embedding"})
     got = hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, trees=8, candidates=8 * 25).collect()
     assert sum(q.vec_id // 20 == q.query_id // 20 for q in got) >= 0.9 * 10 * 100
+
+
+def test_ties_between_different_vectors(spark):
+    from wayloom.llm.hash_forest import nearest
+
+    rows = [(0, [1.0, 0.0, 0.0])] + [(k, [0.0, float(k % 13 + 1), float(k)]) for k in range(1, 169)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(df, df.filter("vec_id = 0")).collect())
+    assert got == [(k, k, 0.0) for k in range(1, 21)]
+
+
+def test_scores_of_doubles(spark):
+    from wayloom.llm.hash_forest import nearest
+
+    df = spark.createDataFrame([(1, [0.1, 0.7]), (2, [0.3, 0.1]), (3, [1e-9 + 1, 0.0])], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(df, df).collect()}
+    assert got[1, 2] == 0.1 * 0.3 + 0.7 * 0.1 and got[2, 3] == 0.3 * (1e-9 + 1) and len(got) == 6

@@ -25,9 +25,6 @@ from .batches import by_group, hash_part
 
 #: Levels below ``shallow`` that trees tell apart.
 LEVELS = 20
-#: Distinct vectors kept for a query in each slice and after merging, beyond the wanted number, so that rounding of the fast
-#: product cannot push one out.
-SPARE = 4
 
 
 @dataclass
@@ -60,9 +57,14 @@ def fit_planes(vectors: DataFrame, dims: int, trees: int, bits: int, sample: int
     return planes
 
 
+def number_kind(vectors: DataFrame, vec_col: str) -> str:
+    """``float`` for vectors of such numbers, else ``double``."""
+    return "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, most: int) -> DataFrame:
     """``x``, ``ids`` (its ``most`` smallest ids, ascending) and ``rep`` (the first) of each different vector that takes part."""
-    fit = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("x")).filter(
+    fit = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{number_kind(vectors, vec_col)}>").alias("x")).filter(
         "id is not null and x is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < float('inf'))"
         " and exists(x, v -> v != 0)")
     first = fit.distinct().withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("id"))).filter(F.col("k") <= most)
@@ -76,7 +78,7 @@ def stop_level(found: DataFrame, seekers: DataFrame, planes: Broadcast, k: int,
     if not some:
         return 0
     dims = len(some[0].x)
-    asked = found.sparkSession.sparkContext.broadcast((np.array([r.rep for r in some]), np.array([r.x for r in some], np.float32).astype(np.float64)))
+    asked = found.sparkSession.sparkContext.broadcast((np.array([r.rep for r in some]), np.array([r.x for r in some], np.float64)))
 
     def run(batches):
         """The best rows of a partition for each probe; ``apart`` is the least difference of their strings over all trees."""
@@ -130,13 +132,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
     sizes = found.groupBy(F.size("x").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if sizes is None:
         return spark.createDataFrame([], shape)
-    dims, rows = sizes.dims, sizes["count"]
+    dims, rows, real = sizes.dims, sizes["count"], np.dtype("<f4" if number_kind(vectors, vec_col) == "float" else "<f8")
     found = found.filter(F.size("x") == dims)
     shallow = max(0, int(math.log2(max(1, rows * trees / (4 * candidates)))))
     bits = min(62, shallow + LEVELS)
     planes = spark.sparkContext.broadcast(fit_planes(found, dims, trees, bits, sample))
 
-    wanted = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).cast("array<float>").alias("x")).filter("query_id is not null")
+    wanted = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).cast(f"array<{number_kind(vectors, vec_col)}>").alias("x")).filter("query_id is not null")
     asked = keep(wanted.distinct().join(found.select("x", "rep"), "x").select("query_id", "rep"), "asked")
     seekers = found.join(asked.select("rep").distinct(), "rep", "left_semi")
     deepest = stop_level(found, seekers, planes, k, probes, share)
@@ -149,7 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
         def run(batches):
             p = planes.value
             for b in batches:
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(real).reshape(-1, dims)
                 key = p.keys(x.astype(np.float64), query)
                 for t in range(trees):
                     cols = [pa.array(np.full(len(x), t), pa.int32()), pa.array(key[:, t] >> (p.bits - shallow)), pa.array(key[:, t]), b.column("rep")]
@@ -208,7 +210,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
         have, ask, cut = ranges(t)
         if not len(have) or not len(ask):
             return None
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
+        x = np.frombuffer(b"".join(t.column("x").to_pylist()), real).reshape(-1, dims).astype(np.float64)
+        size, slack = np.sqrt((x * x).sum(1)), 4 * dims * np.finfo(np.float64).eps
         rep, up = t.column("rep").to_numpy(), t.column("level").to_numpy()[cut:].astype(np.int64)
         low = ask >> up << up
         lo, hi = np.searchsorted(have, low), np.searchsorted(have, low + (np.int64(1) << up))
@@ -220,17 +223,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 24
             who = np.flatnonzero(member.ravel() == s)
             for part in np.array_split(who, max(1, len(who) * (b - a) // 4_000_000)):
                 rough = x[cut + part] @ x[a:b].T
-                n = min(k + 1 + SPARE, b - a)
-                best = np.argpartition(-rough, n - 1, axis=1)[:, :n] + a
-                score = (x[cut + part][:, None, :] * x[best]).sum(-1)  # one order of adding for all
-                out["rep"] += np.repeat(rep[cut + part], n).tolist()
-                out["near"] += rep[best].ravel().tolist()
-                out["score"] += score.ravel().tolist()
+                n = min(k + 1, b - a)
+                # all rows that rounding may have put below the n-th, then in exact order, ties by id
+                least = np.partition(rough, b - a - n, axis=1)[:, b - a - n] - slack * size[cut + part] * size[a:b].max()
+                who_, near_ = np.nonzero(rough >= least[:, None])
+                for lo in range(0, len(who_), 1 << 18):
+                    lo_hi = slice(lo, lo + (1 << 18))
+                    rough[who_[lo_hi], near_[lo_hi]] = (x[cut + part[who_[lo_hi]]] * x[a + near_[lo_hi]]).sum(-1)  # one order of adding for all
+                score = rough[who_, near_]
+                order = np.lexsort((rep[a + near_], -score, who_))
+                place = np.arange(len(order)) - np.searchsorted(who_[order], who_[order])
+                order = order[place < n]
+                out["rep"] += rep[cut + part[who_[order]]].tolist()
+                out["near"] += rep[a + near_[order]].tolist()
+                out["score"] += score[order].tolist()
         return out
 
     pairs = by_group(dealt(True, levels), unit, ["ask", "key", "rep"], search, "rep bigint, near bigint, score double").distinct()
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
-    kept = pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= k + 1 + SPARE).drop("k")
+    kept = pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= k + 1).drop("k")
     members = kept.join(found.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", F.explode("ids").alias(id_col))
     full = asked.join(members, "rep").filter(F.col("query_id") != F.col(id_col))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
