@@ -254,3 +254,24 @@ def test_longest_previous(rows, least):
 
     want = [max([lcp(t, u) for u, j in rows if j < k] or [0]) for t, k in rows]
     assert suffix_dedup.longest_previous(s, d, least).tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_columns_of_the_caller(spark):
+    from wayloom.llm.decontaminate import without_contaminated
+    from wayloom.llm.line_dedup import without_repeated_lines
+    from wayloom.llm.near_dedup import without_near_duplicates
+
+    words = " ".join(f"w{k}" for k in range(40))
+    names = ["_left", "_id", "_gone", "_drop", "_bad", "row", "id", "gone", "left", "drop", "v", "lines_removed"]
+    rows = [(1, words), (2, words), (3, f"alone {words[::-1]}"), (None, "item " + words), (None, "free of all that")]
+    docs = spark.createDataFrame([(*r, *[f"{n}-{k}" for n in names]) for k, r in enumerate(rows)],
+                                 "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(7, "item " + words)], "item_id bigint, text string")
+    lines = without_repeated_lines(docs)
+    assert lines.columns == [c for c in docs.columns if c != "lines_removed"] + ["lines_removed"]
+    assert {r._left: (r.text, r.lines_removed) for r in lines.collect()} == {
+        "_left-0": (words, 0), "_left-1": ("", 1), "_left-2": (rows[2][1], 0), "_left-3": (rows[3][1], 0), "_left-4": (rows[4][1], 0)}
+    near = without_near_duplicates(docs)
+    assert near.columns == docs.columns and {r._drop for r in near.collect()} == {"_drop-0", "_drop-2", "_drop-3", "_drop-4"}
+    clean = without_contaminated(docs, items)  # the item and what holds most of it; a clean row without an id stays
+    assert clean.columns == docs.columns and {r._bad for r in clean.collect()} == {"_bad-2", "_bad-4"}

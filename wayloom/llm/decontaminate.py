@@ -82,6 +82,9 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 80, id_col:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of ``docs`` whose document holds no test item."""
-    bad = contained_items(docs, items, percent, id_col, text_col, **names).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` whose document holds no test item; rows without an id are judged by their own text, each for
+    itself. Columns stay as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(
+        F.col(id_col).alias("i"), F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).alias("t")).alias("id"), F.col(text_col).alias("text"))
+    bad = contained_items(rows, items, percent, "id", "text", **names).select(F.col("id").alias("bad")).distinct()
+    return rows.join(bad, F.col("id") == F.col("bad"), "left_anti").select("row.*")

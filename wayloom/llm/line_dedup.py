@@ -173,7 +173,7 @@ def line_marks(docs: DataFrame, errors: int, least: int, id_col: str, text_col:
     first = keep(lines.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first")), "first-lines")
 
     def entries(batches):
-        met: set[int] = set()
+        met: set[str] = set()
 
         def flush(held):
             e = segment_keys(held, errors, least)
@@ -184,14 +184,14 @@ def line_marks(docs: DataFrame, errors: int, least: int, id_col: str, text_col:
         for b in batches:
             for t in b.column(0).to_pylist():
                 for s in t.split("\n"):
-                    if len(s) >= least and (h := hash(s)) not in met:  # seen lines need no second entry; a clash only costs one
-                        met.add(h)
+                    if len(s) >= least and s not in met:  # lines seen before need no second entry
+                        met.add(s)
                         held.append(s)
                         n += len(s)
                         if n >= 2_000_000:
                             yield flush(held)
                             held, n = [], 0
-                            if len(met) > 1 << 20:
+                            if len(met) > 1 << 18:
                                 met.clear()
         if held:
             yield flush(held)
@@ -253,13 +253,12 @@ def without_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 20, id
     columns are those of ``docs`` and the number; a column ``lines_removed`` of ``docs`` is replaced.
     """
     marks = line_marks(docs, errors, least, id_col, text_col)
-    marks = marks.select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
     names = [c for c in docs.columns if c != "lines_removed"]
-    whole = docs.select(*names).join(marks, docs[id_col].cast("bigint") == F.col("_id"), "left")
-    split = F.split(F.col(text_col), "\n", -1)
+    whole = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left")
+    split = F.split("text", "\n", -1)
     numbered = F.transform(split, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-    stay = F.filter(numbered, lambda x: ~F.array_contains("_gone", x.k) | (F.char_length(x.s) < least))
-    left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda x: x.s), "\n"))
-    out = whole.withColumn("_left", left).withColumn("lines_removed", F.when(
-        F.col("_gone").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size(stay)).cast("bigint"))
-    return out.select(*[F.col("_left").alias(c) if c == text_col else c for c in names], "lines_removed")
+    stay = F.filter(numbered, lambda x: ~F.array_contains("gone", x.k) | (F.char_length(x.s) < least))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x.s), "\n"))
+    out = whole.select("row", "gone", "text", left.alias("left"), F.when(
+        F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(split) - F.size(stay)).cast("bigint").alias("lines_removed"))
+    return out.select(*[F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names], "lines_removed")

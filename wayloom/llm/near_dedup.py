@@ -256,5 +256,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its group, and rows without an id."""
-    drop = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("not kept").select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    drop = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("not kept").select(F.col(id_col).alias("drop")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    return rows.join(drop, F.col("id") == F.col("drop"), "left_anti").select("row.*")
