@@ -426,3 +426,40 @@ def test_thinned_points_are_apart_and_cover(frame):
     near = lambda a, b: (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 49
     assert not any(near(a, b) for a, b in itertools.combinations(kept, 2))
     assert all(any(near(i, k) for k in kept) for i in at)
+
+
+def test_hubs_give_the_distances_of_the_plain_search(frame):
+    """Rings, bridges between dense parts, dead ends, parts without a way between them, two tiles."""
+    rnd = random.Random(12)
+    links = [(1, k, (k + 1) % 9, rnd.randint(1, 9)) for k in range(9)]  # a ring
+    links += [(1, 20 + a, 20 + b, rnd.randint(1, 30)) for a, b in itertools.combinations(range(7), 2)]  # a dense part
+    links += [(1, 3, 20, 5), (1, 25, 40, 4), (1, 40, 41, 0), (1, 41, 42, 7)]  # a bridge and a dead end
+    links += [(1, 60, 61, 2), (2, 60, 61, 3), (2, 61, 62, 4), (2, 60, 62, 9)]
+    links += [(3, a, b, rnd.randint(1, 50)) for a in range(40) for b in rnd.sample(range(40), 2) if a != b]
+    both_ways = {}
+    for t, a, b, w in links:
+        for k in ((t, a, b), (t, b, a)):
+            both_ways[k] = min(w, both_ways.get(k, w))
+    df = frame([(*k, w) for k, w in both_ways.items()], "tile_id bigint, u bigint, v bigint, w bigint")
+    nodes = frame(sorted({k[:2] for k in both_ways}), "tile_id bigint, node_id bigint")
+    legs = nodes.select("tile_id", "node_id", F.col("node_id").alias("node"), F.lit(0).cast("bigint").alias("d"))
+    got = {(r.tile_id, r.source, r.target): r.d for r in paths.hub_distances(legs, nodes, nodes, paths.hierarchy(df)).collect()}
+    seeds = legs.select("tile_id", F.col("node_id").alias("source"), "node", "d")
+    want = {(r.tile_id, r.source, r.node): r.d for r in paths.spread(seeds, df, pinned=False).collect()}
+    assert got == want
+
+
+def test_hub_tables_grow_with_the_junctions(frame):
+    per = []
+    for side in (8, 16):
+        rnd = random.Random(side)
+        edges = [(r * side + c, q) for r in range(side) for c in range(side) for q, ok in ((r * side + c + 1, c + 1 < side), (r * side + c + side, r + 1 < side)) if ok]
+        rows = [(a, b, w) for u, v in edges for w in [rnd.randint(50, 150)] for a, b in ((u, v), (v, u))]
+        hubs = paths.hierarchy(frame(rows, "u bigint, v bigint, w bigint"))
+        per.append((hubs.up.count() + hubs.core.count()) / side ** 2)
+    assert max(per) < 2 * paths.CORE_ROWS, per
+
+
+def test_negative_lengths_raise(frame):
+    with pytest.raises(Exception, match="negative length"):
+        paths.spread(frame([(1, 1, 0)], "source bigint, node bigint, d bigint"), frame([(1, 2, -1), (2, 1, -1)], "u bigint, v bigint, w bigint")).count()
