@@ -55,9 +55,9 @@ def topo_starting_points(spark, d):
 
 @query("topo_tiles")
 def topo_tiles(spark, d):
-    """Marble-and-hole comparison per tile, with a short reach and a coarse step for the small grid."""
+    """Marble-and-hole comparison per tile."""
     t, p, region = _graphs(spark, d)
-    tiles = topo.compare_graphs(t, p, region, step=0.0001, reach=0.0015)[2]
+    tiles = topo.compare_graphs(t, p, region)[2]
     return tiles.select("tile_id", "starts", "kept", *[r6(c).alias(c) for c in ("precision", "recall", "coverage", "overall_recall")])
 
 
@@ -71,7 +71,7 @@ def apls_tiles(spark, d):
 def topo_dataset(spark, d):
     """Both forms of the data-set figure over all tiles."""
     t, p, region = _graphs(spark, d)
-    tiles = topo.compare_graphs(t, p, region, step=0.0001, reach=0.0015)[2]
+    tiles = topo.compare_graphs(t, p, region)[2]
     a = topo.dataset_summary(tiles).withColumn("form", F.lit("mean of F1"))
     b = topo.dataset_summary(tiles, mean_of_f1=False).withColumn("form", F.lit("F1 of means"))
     return a.unionByName(b).select("form", *[r6(c).alias(c) for c in ("topo", "precision", "recall")])
@@ -176,27 +176,53 @@ def node_matches(spark, d):
     return topo.match_nodes(*p, *t).select("tile_id", "node_id", "other_id")
 
 
-@query("walk_from_nodes")
+def _walk(name: str, nodes: str, both: str, starts: str) -> str:
+    """SQL of all points that a walk over ``both`` drops, a step of 0.00005 and a reach of 0.003 degrees from ``starts``
+    (tile_id, start, node_id)."""
+    return f"""{name}_r AS MATERIALIZED (SELECT e.tile_id, e.src AS u, e.dst AS v, p.lat AS ulat, p.lon AS ulon, q.lat AS vlat, q.lon AS vlon, cast(round(sqrt((p.lat-q.lat)*(p.lat-q.lat)
+   +((p.lon-q.lon)*cos(radians(CASE WHEN e.src<e.dst THEN p.lat ELSE q.lat END)))*((p.lon-q.lon)*cos(radians(CASE WHEN e.src<e.dst THEN p.lat ELSE q.lat END))))*1e12::double) as bigint) AS w
+ FROM {both} e JOIN {nodes} p ON p.tile_id=e.tile_id AND p.node_id=e.src JOIN {nodes} q ON q.tile_id=e.tile_id AND q.node_id=e.dst),
+{name}_way(tile_id, source, node, d) AS (SELECT DISTINCT tile_id, node_id, node_id, 0::bigint FROM {starts}
+ UNION SELECT s.tile_id, s.source, r.v, s.d+r.w FROM {name}_way s JOIN {name}_r r ON r.tile_id=s.tile_id AND r.u=s.node WHERE s.d+r.w<=3000000000 AND r.v<>s.source),
+{name}_d AS MATERIALIZED (SELECT tile_id, source, node, min(d) AS d FROM {name}_way GROUP BY ALL),
+{name}_on AS (SELECT r.*, a.source, a.d AS du, CASE WHEN u=a.source OR b.d IS NULL THEN w-1 ELSE greatest(b.d+w-a.d-(CASE WHEN u<v THEN 0 ELSE 1 END), 0)//2 END AS meet
+ FROM {name}_d a JOIN {name}_r r ON r.tile_id=a.tile_id AND r.u=a.node AND r.v<>a.source LEFT JOIN {name}_d b ON b.tile_id=a.tile_id AND b.source=a.source AND b.node=r.v),
+{name}_at AS (SELECT *, unnest(range((du+49999999)//50000000*50000000-du, least(meet, w-1, 3000000000-du)+1, 50000000)) AS o FROM {name}_on),
+{name} AS MATERIALIZED (SELECT s.tile_id, s.start, u, v, o, vlat*(o/w::double)+ulat*(1-o/w::double) AS lat, vlon*(o/w::double)+ulon*(1-o/w::double) AS lon
+ FROM {name}_at p JOIN {starts} s ON s.tile_id=p.tile_id AND s.node_id=p.source)"""
+
+
+@query("walk_from_nodes", sql("gt both", "SELECT tile_id, start, u, v, o, round(lat,9) AS lat, round(lon,9) AS lon FROM w", """
+gl AS MATERIALIZED (SELECT tile_id, node_id, 41.0::double-y/111111.0::double AS lat, -71.0::double+x/111111.0::double/cos(radians(41.0::double)) AS lon FROM fx_gt_nodes),
+every AS MATERIALIZED (SELECT tile_id, node_id AS start, node_id FROM fx_gt_nodes)""", _walk("w", "gl", "fx_both", "every")))
 def walk_from_nodes(spark, d):
     t, _, _ = _graphs(spark, d)
     s = t[0].select("tile_id", F.col("node_id").alias("start"), "node_id")
-    w = topo.walk_from_nodes(*t, s, 0.0002, 0.0012)
+    w = topo.walk_from_nodes(*t, s, 0.00005, 0.003)
     return w.select("tile_id", "start", "u", "v", "o", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query("topo_from_nodes")
+@query("topo_from_nodes", sql("gt both pred", """
+SELECT tile_id, node_id, other_id, round(coalesce(mm,0)/marbles::double,6) AS precision, round(coalesce(hh,0)/holes::double,6) AS recall FROM pairs
+JOIN (SELECT tile_id, start, count(*) AS marbles FROM mw GROUP BY ALL) USING (tile_id, start) JOIN (SELECT tile_id, start, count(*) AS holes FROM hw GROUP BY ALL) USING (tile_id, start)
+LEFT JOIN (SELECT tile_id, start, count(DISTINCT (m.u, m.v, m.o)) AS mm, count(DISTINCT (h.u, h.v, h.o)) AS hh FROM mw m JOIN hw h USING (tile_id, start)
+ WHERE (m.lat-h.lat)*(m.lat-h.lat)+((m.lon-h.lon)*cos(radians(m.lat)))*((m.lon-h.lon)*cos(radians(m.lat)))<0.00015::double*0.00015::double GROUP BY ALL) USING (tile_id, start)""",
+    NODE_MATCH, """one AS MATERIALIZED (SELECT tile_id, node_id, other_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, other_id ORDER BY d, node_id) AS j FROM best) WHERE j=1),
+pairs AS MATERIALIZED (SELECT *, node_id*1000000+other_id AS start FROM one),
+mine AS MATERIALIZED (SELECT tile_id, start, node_id FROM pairs), theirs AS MATERIALIZED (SELECT tile_id, start, other_id AS node_id FROM pairs)""",
+    _walk("mw", "pl", "pb", "mine"), _walk("hw", "ll", "fx_both", "theirs")))
 def topo_from_nodes(spark, d):
     """Node starts given by direction-checked node matches."""
     t, p, _ = _graphs(spark, d)
-    s = topo.compare_from_nodes(t, p, topo.match_nodes(*p, *t), 0.0001, 0.0012)
+    s = topo.compare_from_nodes(t, p, topo.match_nodes(*p, *t))
     return s.select("tile_id", "start.node_id", "start.other_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
 @query("topo_from_random_nodes")
 def topo_from_random_nodes(spark, d):
     t, p, _ = _graphs(spark, d)
-    draws = topo.random_node_pairs(t[0], *p, 20, 0.0002, seed=4)
-    s = topo.compare_from_nodes(t, p, draws.select("tile_id", "node_id", "other_id").distinct(), 0.0001, 0.0012, 0.0002, longer_holes=True)
+    draws = topo.random_node_pairs(t[0], *p, 1000, 0.0002, seed=4)
+    s = topo.compare_from_nodes(t, p, draws.select("tile_id", "node_id", "other_id").distinct(), threshold=0.0002, longer_holes=True)
     per = draws.join(s.select("tile_id", "start.node_id", "start.other_id", "precision", "recall"), ["tile_id", "node_id", "other_id"])
     return per.groupBy("tile_id").agg(r6(F.avg("precision")).alias("precision"), r6(F.avg("recall")).alias("recall"))
 
@@ -205,7 +231,7 @@ def topo_from_random_nodes(spark, d):
 def soft_topo(spark, d):
     t, p, region = _graphs(spark, d)
     s = topo.starting_points(*t, region)
-    out = topo.soft_scores(t, p, s, topo.match_edges(s, t[0], *p), 0.0001, 0.0012)
+    out = topo.soft_scores(t, p, s, topo.match_edges(s, t[0], *p))
     return topo.soft_summary(out).select("tile_id", F.round("score", 9).alias("score"), r6("f").alias("f"), "holes")
 
 
