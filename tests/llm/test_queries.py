@@ -175,3 +175,18 @@ def test_op13(spark):
 
     problem, n, _, _ = compare(spark, duck(FOLDER), FOLDER, entry.queries()["op13_hard_negatives"], entry.oracle_sql()["op13_hard_negatives"])
     assert problem is None and n, problem
+
+
+def test_densities_without_article_elements():
+    """Without the elements and with other class names, length, links, stop words and neighbours have to find the text."""
+    from collections import Counter
+
+    from wayloom.llm.html_main import main_text
+
+    right = extra = missed = 0
+    for (page,) in duckdb.connect().execute(f"SELECT html FROM '{FOLDER}/pages.parquet'").fetchall():
+        bare = re.sub(r'(class|id)="[^"]*"', r'\1="x1"', re.sub(r"</?article[^>]*>", "", page))
+        want, got = (Counter(t.split("\n") if t else []) for t in (main_text(page), main_text(bare)))
+        size = lambda blocks: sum(len(t) * n for t, n in blocks.items())
+        right, extra, missed = right + size(want & got), extra + size(got - want), missed + size(want - got)
+    assert right / (right + extra) > 0.98 and right / (right + missed) > 0.75

@@ -107,57 +107,58 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def first_pass(text: str, linked: int, never: bool, article: int) -> str:
-    """``good``, ``bad``, ``near`` (reads like text but is not long) or ``short`` (says nothing), from the block alone."""
+def first_pass(text: str, linked: int, never: bool) -> str:
+    """``good`` (long and dense in stop words), ``bad`` (links, a section that is never text, or long without stop words), or
+    ambiguous: ``near`` (reads like text but is not long), ``sparse`` (does not, but is not long either), ``short``."""
     n = len(text)
     if never or linked > LINKED * n or text.startswith("©") and n < LONG:
         return "bad"
-    words = WORD.findall(text)
-    stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0
     if n < SHORT:
         return "short"
-    if stops >= DENSE:
-        return "good" if n >= LONG or article else "near"
-    if stops >= SPARSE or article:
-        return "near"
-    return "bad"
+    words = WORD.findall(text)
+    stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0
+    if n >= LONG:
+        return "good" if stops >= DENSE else "near" if stops >= SPARSE else "bad"
+    return "near" if stops >= SPARSE else "sparse"
+
+
+def _neighbours(labels: list[str], section: list[int], never: list[bool]) -> list[tuple]:
+    """The nearest decided blocks (place, label) before and after each undecided one in its section; what is never text
+    does not count inside an article."""
+    out: list[list] = [[None, None] for _ in labels]
+    for side, way in ((0, range(len(labels))), (1, range(len(labels) - 1, -1, -1))):
+        last: dict[int, tuple[int, str]] = {}
+        for k in way:
+            if labels[k] in ("good", "bad"):
+                last[0 if never[k] else section[k]] = (k, labels[k])
+            else:
+                out[k][side] = last.get(section[k])
+    return out
 
 
 def main_text(page: str) -> str:
     """The article's blocks, one to a line.
 
-    First pass: each block alone. Second pass: ambiguous blocks take the label of the nearest decided block before or after
-    them within their own article (else within the page); ``near`` ones are good if either of the two is, ``short`` ones
-    need the nearer one to be. Where an article has no decided block, its ambiguous blocks are good. If a page has
-    articles, blocks outside them are not text.
+    First pass: each block alone. Second pass: ``near`` blocks are good if the nearest decided block before or after them
+    is; then ``short`` and ``sparse`` ones take the label of the nearer of the two (of two as near, the one after).
+
+    Elements that hold an article say more than densities can, as articles may hold blocks of any kind: where a page has
+    them, blocks outside are not text, a long block without stop words inside is ambiguous and not bad, neighbours are looked
+    for in the same element, and what has none there is good.
     """
     got = blocks(page)
-    inside = any(a for _, _, never, a in got if not never)
-    labels = [first_pass(t, link, never or inside and not a, a) for t, link, never, a in got]
-    final = list(labels)
-    n = len(got)
-    before, after = [None] * n, [None] * n
-    for found, way in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last: dict[int, tuple[int, str]] = {}
-        for k in way:
-            if labels[k] in ("good", "bad"):
-                last[0 if got[k][2] else got[k][3]] = (k, labels[k])  # what is never text does not count inside an article
-            else:
-                found[k] = last.get(got[k][3])
-    for k, label in enumerate(labels):
-        if label in ("good", "bad"):
-            continue
-        a, b = before[k], after[k]
-        if a is None and b is None:
-            good = bool(got[k][3]) or label == "near"
-        elif label == "near" or got[k][3]:
-            good = any(x and x[1] == "good" for x in (a, b)) or label == "near" and bool(got[k][3])
-        elif a and b:
-            good = (a if k - a[0] <= b[0] - k else b)[1] == "good"
-        else:
-            good = (a or b)[1] == "good"
-        final[k] = "good" if good else "bad"
-    return "\n".join(t for (t, *_), label in zip(got, final) if label == "good")
+    never, section = [b[2] for b in got], [b[3] for b in got]
+    labels = [first_pass(t, link, out) for t, link, out, _ in got]
+    if inside := any(a and not out for a, out in zip(section, never)):
+        sure = [out or link > LINKED * len(t) or t.startswith("©") for t, link, out, _ in got]
+        labels = ["bad" if not a else "sparse" if x == "bad" and not s else x for x, a, s in zip(labels, section, sure)]
+    for k, (a, b) in enumerate(_neighbours(list(labels), section, never)):
+        if labels[k] == "near":
+            labels[k] = "good" if a is None and b is None or "good" in (a and a[1], b and b[1]) or inside else "bad"
+    for k, (a, b) in enumerate(_neighbours(list(labels), section, never)):
+        if labels[k] not in ("good", "bad"):
+            labels[k] = ("good" if inside else "bad") if a is None and b is None else (b if a is None or b and b[0] - k <= k - a[0] else a)[1]
+    return "\n".join(t for (t, *_), label in zip(got, labels) if label == "good")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
