@@ -179,6 +179,19 @@ def test_lines_equal_all_pairs(docs, seed, monkeypatch):
     assert sum(r.lines_removed for r in got) > 20
 
 
+@pytest.mark.parametrize("turns", [0, 2])
+def test_lines_of_a_template(docs, turns, monkeypatch):
+    """Crowded keys: lines with a near line, and lines that share the template alone."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    monkeypatch.setattr(line_dedup, "TURNS", turns)
+    r = random.Random(turns)
+    lines = [f"line number {r.randrange(10**6):06d} of the long file" for _ in range(60)] + [f"copyright {r.randrange(16**12):012x} by nobody" for _ in range(40)]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i::7])) for i in range(7)]
+    got = line_dedup.without_repeated_lines(docs(rows)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(brute_lines(rows))
+
+
 def test_lines_odd_rows(docs):
     line = "a line of some length here"
     rows = [(1, line), (1, line), (2, f"{line}\nshort\n{line}s"), (3, "short\nshort")]

@@ -184,7 +184,7 @@ def test_densities_without_article_elements():
     from wayloom.llm.html_main import main_text
 
     right = extra = missed = 0
-    for (page,) in duckdb.connect().execute(f"SELECT html FROM '{FOLDER}/pages.parquet'").fetchall():
+    for (page,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
         bare = re.sub(r'(class|id)="[^"]*"', r'\1="x1"', re.sub(r"</?article[^>]*>", "", page))
         want, got = (Counter(t.split("\n") if t else []) for t in (main_text(page), main_text(bare)))
         size = lambda blocks: sum(len(t) * n for t, n in blocks.items())

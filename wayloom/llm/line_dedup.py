@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep, keep_counted
 from .batches import Rolling, by_group, hash_part, map_text, mix64
 from .dealing import bucket_count, drop_spent, packed, unpacked
 
 #: Lines of a segment group that one task compares with as many others; larger groups are dealt in blocks.
 BLOCK = 400
+#: Times that a crowded group is dealt anew before what is left is compared with all of it.
+TURNS = 3
 ENTRY = np.dtype([("key", "<i8"), ("line", "<i8")])
 _rolling = Rolling(77)
 
@@ -134,26 +136,54 @@ def _plain(a: str, b: str) -> int:
 
 
 def _near_earlier(t: pa.Table, errors: int) -> dict | None:
-    """Lines of a group within the distance of an earlier one. Rows come in order of first appearance."""
-    line = t.column("line").to_numpy()
-    text, own, block = t.column("text").to_pylist(), t.column("own").to_pylist(), t.column("block").to_numpy()
-    n = len(line)
+    """Open lines of a group within the distance of an earlier one. Rows come in order of first appearance."""
+    line, judged = t.column("line").to_numpy(), np.array(t.column("open").to_pylist(), bool)
+    if not judged.any() or len(line) < 2:
+        return None
+    text, own = t.column("text").to_pylist(), np.array(t.column("own").to_pylist(), bool)
     size = np.array([len(s) for s in text])
-    counts = np.zeros((n, 64), np.int32)
+    counts = np.zeros((len(line), 64), np.int32)
     for i, s in enumerate(text):
         raw = np.frombuffer(s.encode("utf-8"), np.uint8)
         counts[i] = np.bincount(raw & 63, minlength=64)
-    own = np.array(own)
     out = []
-    for j in range(1, n):
+    for j in np.flatnonzero(judged):
         near = np.flatnonzero((abs(size[:j] - size[j]) <= errors) & (own[:j] | own[j]) & (line[:j] != line[j]))
         if len(near):  # an edit changes the byte counts by 8 at most
-            near = near[abs(counts[near] - counts[j]).sum(1) <= 8 * errors]
+            apart = abs(counts[near] - counts[j]).sum(1)
+            near = near[np.argsort(apart, kind="stable")[:np.count_nonzero(apart <= 8 * errors)]]  # the likeliest first
         if any(edit_distance_within(text[i], text[j], errors) for i in near):
             out.append(int(line[j]))
     return {"line": out} if out else None
 
 
+def _near_lines(met: DataFrame, texts: DataFrame, errors: int) -> DataFrame:
+    """The lines of ``met`` (key, line, own) that are near an earlier line of one of their keys.
+
+    One earlier line settles a line, so a key that very many lines share (of a template) is first gone through in small
+    groups, dealt anew each time; only lines that found none are then compared with all lines of the key, block by block.
+    """
+    sizes = keep(met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "key-sizes")
+    rows = keep(met.join(sizes, "key").join(texts, "line"), "key-lines")
+    judge = lambda df, unit: by_group(df, unit, ["id", "no"], lambda t: _near_earlier(t, errors), "line bigint").distinct()
+    near = keep(judge(rows.withColumns({"a": hash_part("line", F.col("n")).cast("int"), "open": F.lit(True)}), ["key", "a"]), "near-lines")
+    crowded, n = keep_counted(rows.filter("n > 1"), "crowded-lines", n=F.count(F.lit(1)))
+    if not n["n"]:
+        return near
+    opened = lambda found: crowded.join(found.withColumn("near", F.lit(True)), "line", "left").withColumn("open", F.col("near").isNull()).drop("near")
+    for turn in range(TURNS):
+        part = F.pmod(F.xxhash64("line", F.lit(turn)), F.col("n")).cast("int")
+        more = judge(opened(near).withColumn("a", part), ["key", "a"])
+        near = keep(near.unionAll(more).distinct(), "near-lines")
+    left = opened(near)
+    still = keep(left.filter("open").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "open-keys")
+    left = left.join(still, "key")
+    witness = left.withColumns({"a": hash_part("line", F.col("n")).cast("int"), "open": F.lit(False)}).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    asking = left.filter("open").withColumn("b", hash_part("line", F.col("m")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    last = judge(witness.unionByName(asking), ["key", "a", "b"])
+    return keep(near.unionAll(last).distinct(), "near-lines")
+
+
 def line_marks(docs: DataFrame, errors: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``copy`` (number of the row among those of its id and text) and the line numbers ``gone`` of the documents that lose lines."""
     spark = docs.sparkSession
@@ -233,12 +263,7 @@ def line_marks(docs: DataFrame, errors: int, least: int, id_col: str, text_col:
     texts = rows.join(wanted, "id").select(F.struct("id", "want").alias("k"), "text")
     texts = keep(map_text(texts, "k", "text", fetch, "line bigint, id bigint, no int, text string").dropDuplicates(["line"]), "line-texts")
     drop_spent(spark)
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocks = met.join(sizes, "key").withColumn("i", hash_part("line", F.col("n")).cast("int")).withColumn("block", F.col("i"))
-    blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "key", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "line", "own", "block")
-    near = by_group(blocks.join(texts, "line"), ["key", "a", "b"], ["id", "no"], lambda t: _near_earlier(t, errors), "line bigint").distinct()
-    near = keep(near.withColumn("near", F.lit(True)), "near-lines")
+    near = _near_lines(met, texts, errors).withColumn("near", F.lit(True))
     marks = lines.join(first.join(near, "line", "left"), "line").filter("near or id <> first.id or no <> first.no")
     return marks.groupBy("id").agg(F.collect_set("no").alias("gone"))
 
