@@ -45,9 +45,16 @@ class Planes:
         return on.astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
 
 
+def picked(vectors: DataFrame, seed: int, n: int) -> DataFrame:
+    """``n`` rows by a hash of ``rep``; the vectors themselves are read only of these."""
+    place = F.xxhash64("rep", F.lit(seed))
+    last = vectors.select(place.alias("place")).orderBy("place").limit(n).agg(F.max("place")).first()[0]
+    return vectors.filter(place <= F.lit(last)).orderBy("rep")
+
+
 def fit_planes(vectors: DataFrame, dims: int, trees: int, bits: int, sample: int, seed: int = 11) -> Planes:
     """Random hyperplanes, cut at the medians of at most ``sample`` rows so that bits halve the rows."""
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("x").collect()
+    rows = picked(vectors, 42, sample).select("x").collect()
     x = np.array([r.x for r in rows], np.float64).reshape(-1, dims)
     top = vectors.agg(F.max(F.expr("aggregate(x, 0D, (a, v) -> a + cast(v as double) * v)"))).first()[0] or 0.0
     planes = Planes(np.random.default_rng(seed).normal(size=(dims + 1, trees * bits)), np.zeros(trees * bits), trees, bits, top)
@@ -74,7 +81,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, most: int) -
 def stop_level(found: DataFrame, seekers: DataFrame, planes: Broadcast, k: int, probes: int, share: float) -> int:
     """The longest prefix that at least ``share`` of the ``k`` true neighbours have in common with their query in one of the
     trees; 0 if every prefix loses more. The true neighbours are those of at most ``probes`` queries, compared with all rows."""
-    some = seekers.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(probes).collect()
+    some = picked(seekers, 5, probes).collect()
     if not some:
         return 0
     dims = len(some[0].x)
