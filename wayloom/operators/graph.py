@@ -165,7 +165,7 @@ def subdivide(nodes: DataFrame, edges: DataFrame, resolution: float) -> tuple[Da
     n = F.greatest(F.lit(1), (F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2) / resolution).cast("int"))
     cut = with_ends(edges, nodes).withColumn("_n", n)
     base = nodes.groupBy(*KEY).agg((F.max("node_id") + 1).alias("_base"))
-    cut = sliced_join(running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off", id_chunk("src", 4096)), base, KEY)
+    cut = sliced_join(running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off", id_chunk("src", 4096)), base, KEY, both=False)
     piece = cut.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     first = F.col("_base") + F.col("_off") - 1
     t = F.col("_i") / F.col("_n")
@@ -232,9 +232,9 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = state.unionByName(state.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*KEY, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = sliced_join(both.filter("b > a"), low, [*KEY, "a"], rows=seen["n"]).select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sliced_join(both.filter("b > a"), low, [*KEY, "a"], rows=seen["n"], both=False).select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy(*KEY, "a").agg(F.min("b").alias("m"))
-        moved = sliced_join(large, low2, [*KEY, "a"], rows=seen["n"])
+        moved = sliced_join(large, low2, [*KEY, "a"], rows=seen["n"], both=False)
         small = moved.filter("b <> m").select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low2.select(*KEY, "a", F.col("m").alias("b"))).distinct()
         state, seen = keep_counted(
@@ -257,7 +257,7 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, distance: float) -> tuple[Da
         *KEY, "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
         F.floor(F.col("x") / side).alias("_gx"), F.floor(F.col("y") / side).alias("_gy"))
     heads = inside.groupBy(*KEY, "_gx", "_gy").agg(F.min("node_id").alias("head"))
-    inside = keep(sliced_join(inside, heads, [*KEY, "_gx", "_gy"]).drop("_gx", "_gy"), "cells")
+    inside = keep(sliced_join(inside, heads, [*KEY, "_gx", "_gy"], both=False).drop("_gx", "_gy"), "cells")
     places = inside.select(*KEY, "x", "y", "head").distinct()
     other = places.select(*KEY, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("head").alias("head2"))
     touch = radius_join(places, other, distance).filter("head < head2").select(

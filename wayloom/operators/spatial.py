@@ -1,7 +1,8 @@
 """Spatial joins: grid cells turn distance and box predicates into equi-joins.
 
-A cell that holds very many rows is cut into slices: its left rows are dealt over the slices by a hash and the
-right rows are copied to each slice, so one crowded place never ends up in one task and no pair is lost.
+A cell that holds very many rows, on either side, is cut into blocks: the rows of both sides are dealt by number and
+each part of one side meets each part of the other, so one crowded place never ends up in one task and no pair is lost.
+Boxes of very different sizes lie in grids of several levels, so a long box fills no more cells than a short one.
 """
 
 from __future__ import annotations
@@ -15,49 +16,99 @@ KEY = ("tile_id",)
 ROWS_PER_SLICE = 200_000
 
 
-def slice_hot_keys(left, right, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE):
-    """Add a ``_slice`` column to both sides so that (keys, _slice) joins to the same pairs as ``keys``.
+def _dealt(df: DataFrame, parts: Column, own: str) -> DataFrame:
+    """Number the rows of crowded keys and deal them over ``parts``.
 
-    All hot keys are in the list that is broadcast. It has one row for more than ``rows_per_slice`` rows of data, so
-    its size is bounded: some megabytes for a thousand million rows.
+    Equal rows get numbers of their own. Rows are ordered by two hashes inside their partition first, so a task that runs
+    again deals the same rows to the same parts whatever the order in which it fetched them. Other rows are not ordered.
     """
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_slice)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
-    )
-    slices = F.coalesce("_slices", F.lit(1))
-    deal = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), slices).cast("int")
-    left = left.join(F.broadcast(hot), list(keys), "left").withColumn("_slice", deal).drop("_slices")
-    right = (
-        right.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
+    crowded = parts > 1
+    values = [F.col(c) for c in df.columns if not c.startswith("_parts")]
+    return (
+        df.sortWithinPartitions(F.when(crowded, F.xxhash64(*values)), F.when(crowded, F.hash(*values)))
+        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn(own, F.pmod("_row", parts).cast("int"))
+        .drop("_row")
     )
-    return left, right
+
+
+def slice_hot_keys(left, right, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE, both: bool = True):
+    """Add a ``_slice`` column to both sides so that (keys, _slice) joins to the same pairs as ``keys``.
+
+    A key with L rows on the left and R on the right gets a = L / rows_per_slice by b = R / rows_per_slice blocks; a left
+    row goes to the b blocks of its part, a right row to its a, and each pair meets in one block. ``both=False``, for a right side
+    with few rows a key or a join that keeps rows of the left without partners, counts and cuts the left side alone.
+
+    Both sides are counted in one pass with partial counts. All crowded keys are in the list that is broadcast. It has
+    one row for more than ``rows_per_slice`` rows of data, so its size is bounded: some megabytes for a thousand million
+    rows. Maps cannot be hashed and are refused by Spark.
+    """
+    side = lambda df, l, r: df.select(*keys, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    counted = side(left, 1, 0).unionByName(side(right, 0, 1)) if both else side(left, 1, 0)
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / rows_per_slice)).cast("int")
+    hot = F.broadcast(
+        counted.groupBy(*keys).agg(parts("_l").alias("_parts_l"), parts("_r").alias("_parts_r"))
+        .filter("_parts_l > 1 or _parts_r > 1"))
+    a, b = F.coalesce("_parts_l", F.lit(1)), F.coalesce("_parts_r", F.lit(1))
+    left = _dealt(left.join(hot, list(keys), "left"), a, "_a")
+    left = left.withColumn("_b", F.explode(F.sequence(F.lit(0), b - 1)))
+    right = right.join(hot, list(keys), "left")
+    right = _dealt(right, b, "_b") if both else right.withColumn("_b", F.lit(0))
+    right = right.withColumn("_a", F.explode(F.sequence(F.lit(0), a - 1)))
+    block = (F.col("_a") * b + F.col("_b")).alias("_slice")
+    done = lambda df: df.select(*[c for c in df.columns if c not in ("_a", "_b", "_parts_l", "_parts_r")], block)
+    return done(left), done(right)
 
 
 def sliced_join(
-    left, right, keys: Sequence[str], how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None
+    left, right, keys: Sequence[str], how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None,
+    both: bool = True,
 ) -> DataFrame:
-    """Equi-join in which keys crowded on the left are dealt over several tasks.
+    """Equi-join in which keys crowded on either side are dealt over several tasks (see ``slice_hot_keys``).
 
+    Joins other than inner ones cut the left side alone; those that keep rows of the right without partners are refused.
     ``rows`` is the known number of left rows, if any: no more than one slice's worth cannot crowd a key.
     """
+    if how.replace("outer", "").strip("_") in ("right", "full", ""):
+        raise ValueError(f"{how}: turn the sides round, or join without slices")
     if rows is not None and rows <= rows_per_slice:
         return left.join(right, list(keys), how)
-    left, right = slice_hot_keys(left, right, keys, rows_per_slice)
+    left, right = slice_hot_keys(left, right, keys, rows_per_slice, both and how == "inner")
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
 
 
-def _cells(df, name: str, low: Column, high: Column | None, size: float) -> DataFrame:
+def _cells(df, name: str, low: Column, high: Column | None, size: Column) -> DataFrame:
     first = F.floor(low / size).cast("bigint")
     if high is None:
         return df.withColumn(name, first)
     return df.withColumn(name, F.explode(F.sequence(first, F.floor(high / size).cast("bigint"))))
 
 
+def _level(box: Sequence[Column], cell: float) -> Column:
+    """The lowest level whose cells, ``cell`` times a power of two, are at least as long as the box."""
+    longest = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(float(cell)))
+    return F.ceil(F.log2(longest / cell)).cast("int")
+
+
+def _levels(df: DataFrame) -> Column:
+    """All levels in use, as one value: at most some sixty numbers."""
+    return df.select(F.sort_array(F.collect_set("_level"))).scalar()
+
+
+def _meetings(df: DataFrame, box: Sequence[Column], cell: float, other_levels: Column, left: bool) -> DataFrame:
+    """Each box in the cells of its own level and of the higher levels of the other side: at most four a level.
+
+    ``_kind`` keeps apart who meets whom on a level: 0 for two boxes of that level, 1 for a left box of that level and a
+    smaller right one, 2 the other way round. Two smaller ones never meet there.
+    """
+    own, up = (1, 2) if left else (2, 1)
+    at = df.select("*", F.posexplode(F.concat(F.array("_level"), other_levels)).alias("_pos", "_at")).filter("_pos = 0 or _at > _level")
+    kinds = F.when(F.col("_pos") == 0, F.array(F.lit(0), F.lit(own))).otherwise(F.array(F.lit(up)))
+    at = at.withColumn("_kind", F.explode(kinds)).withColumn("_level", F.col("_at")).drop("_pos", "_at")
+    size = cell * F.pow(F.lit(2.0), F.col("_level"))
+    return _cells(_cells(at, "_cx", box[0], box[2], size), "_cy", box[1], box[3], size)
+
+
 def box_join(
     left: DataFrame,
     right: DataFrame,
@@ -66,25 +117,47 @@ def box_join(
     cell: float,
     by: Sequence[str] = KEY,
     rows_per_slice: int = ROWS_PER_SLICE,
+    levels: bool = True,
 ) -> DataFrame:
     """Candidate pairs of rows whose boxes share a grid cell, each pair once.
 
     A box is (x0, y0, x1, y1), or (x, y) for a point on the left. Apart from ``by`` the two sides must have
-    different column names. The caller applies its exact predicate to the result.
+    different column names. The caller applies its exact predicate to the result. A row with a null in its box meets
+    nothing.
+
+    Each box lies on the level whose cells are at least as long as itself and is looked for on every level in use, so it
+    fills at most four cells a level however long it is. ``levels=False`` is for boxes known to be no longer than a few
+    cells: one grid, and no look at the sizes.
     """
     point = len(left_box) == 2
     lx, ly = left_box[0], left_box[1]
-    l = _cells(left, "_cx", lx, None if point else left_box[2], cell)
-    l = _cells(l, "_cy", ly, None if point else left_box[3], cell)
-    r = _cells(right, "_cx", right_box[0], right_box[2], cell)
-    r = _cells(r, "_cy", right_box[1], right_box[3], cell)
-    pairs = sliced_join(l, r, [*by, "_cx", "_cy"], rows_per_slice=rows_per_slice)
+    size = F.lit(float(cell))
+    on = [*by, "_cx", "_cy"]
+    if not levels:
+        l = _cells(left, "_cx", lx, None if point else left_box[2], size)
+        l = _cells(l, "_cy", ly, None if point else left_box[3], size)
+        r = _cells(right, "_cx", right_box[0], right_box[2], size)
+        r = _cells(r, "_cy", right_box[1], right_box[3], size)
+    else:
+        size = cell * F.pow(F.lit(2.0), F.col("_level"))
+        r = right.withColumn("_level", _level(right_box, cell))
+        on.append("_level")
+        if point:
+            l = left.withColumn("_level", F.explode(_levels(r)))
+            l = _cells(_cells(l, "_cx", lx, None, size), "_cy", ly, None, size)
+            r = _cells(_cells(r, "_cx", right_box[0], right_box[2], size), "_cy", right_box[1], right_box[3], size)
+        else:
+            l = left.withColumn("_level", _level(left_box, cell))
+            of_l, of_r = _levels(l), _levels(r)
+            l, r = _meetings(l, left_box, cell, of_r, True), _meetings(r, right_box, cell, of_l, False)
+            on.append("_kind")
+    pairs = sliced_join(l, r, on, rows_per_slice=rows_per_slice)
     if not point:
         # boxes that share several cells meet in the one that holds the corner of their overlap
-        corner_x = F.floor(F.greatest(lx, right_box[0]) / cell).cast("bigint")
-        corner_y = F.floor(F.greatest(ly, right_box[1]) / cell).cast("bigint")
+        corner_x = F.floor(F.greatest(lx, right_box[0]) / size).cast("bigint")
+        corner_y = F.floor(F.greatest(ly, right_box[1]) / size).cast("bigint")
         pairs = pairs.filter((F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
-    return pairs.drop("_cx", "_cy")
+    return pairs.drop("_cx", "_cy", "_level", "_kind")
 
 
 def radius_join(
@@ -101,7 +174,7 @@ def radius_join(
     lx, ly, rx, ry = F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])
     pad = radius * (1 + 1e-9)
     d2 = (lx - rx) * (lx - rx) + (ly - ry) * (ly - ry)
-    near = box_join(left, right, (lx, ly), (rx - pad, ry - pad, rx + pad, ry + pad), cell or 2 * radius, by)
+    near = box_join(left, right, (lx, ly), (rx - pad, ry - pad, rx + pad, ry + pad), cell or 2 * radius, by, levels=False)
     near = near.withColumn("d2", d2.cast("double"))
     limit = F.lit(float(radius) * float(radius))
     return near.filter(F.col("d2") < limit if strict else F.col("d2") <= limit)
@@ -149,7 +222,7 @@ def nearest_neighbours(
     own = src.select(*by, "x", "y", F.col(id_col).alias("src"))
     mine = F.slice(F.filter("_near", lambda e: e["dst"] != F.col("src")), 1, k)
     return (
-        sliced_join(own, lists, [*by, "x", "y"])
+        sliced_join(own, lists, [*by, "x", "y"], both=False)
         .select(*by, "src", F.posexplode(mine).alias("_pos", "_e"))
         .select(
             *by, "src", F.col("_e.dst").alias("dst"), (F.col("_pos") + 1).cast("bigint").alias("rank"),

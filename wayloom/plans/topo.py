@@ -77,7 +77,7 @@ def starting_points(
     if region is None:
         return out
     box = [F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]
-    placed = sliced_join(out, region.select(*KEY, "min_lat", "min_lon", "max_lat", "max_lon"), KEY)
+    placed = sliced_join(out, region.select(*KEY, "min_lat", "min_lon", "max_lat", "max_lon"), KEY, both=False)
     if mask is None:
         return placed.filter(inside_margin(F.col("lat"), F.col("lon"), *box, margin)).select(*out.columns)
     pixels, rows, cols = mask
@@ -170,7 +170,7 @@ def match_nodes(
         r, c = latlon_to_pixel(F.col("lat2"), F.col("lon2"), *[F.col(k) for k in ("min_lat", "min_lon", "max_lat", "max_lon")], rows, cols)
         lit = pixels.select(*KEY, F.col("r").cast("int").alias("_r"), F.col("c").cast("int").alias("_c"))
         lit = lit.filter(f"_r > 0 and _r < {rows} and _c > 0 and _c < {cols}")
-        targets = sliced_join(targets, region, KEY).withColumns({"_r": r, "_c": c}).join(lit, [*KEY, "_r", "_c"], "left_semi").select(
+        targets = sliced_join(targets, region, KEY, both=False).withColumns({"_r": r, "_c": c}).join(lit, [*KEY, "_r", "_c"], "left_semi").select(
             *KEY, "other_id", "lat2", "lon2")
 
     def directions(n, e, key, name):
@@ -181,7 +181,7 @@ def match_nodes(
         return d.groupBy(*KEY, key).agg(F.collect_set(F.struct("u", "v")).alias(name))  # one node's links
 
     box = (F.col("lat2") - threshold, F.col("lon2") - threshold, F.col("lat2") + threshold, F.col("lon2") + threshold)
-    near = box_join(cand, targets, (F.col("lat"), F.col("lon")), box, 4 * threshold)
+    near = box_join(cand, targets, (F.col("lat"), F.col("lon")), box, 4 * threshold, levels=False)
     d = degree_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     near = near.withColumn("distance", d).filter(F.col("distance") <= threshold)
     near = near.join(directions(nodes, edges, "node_id", "da"), [*KEY, "node_id"]).join(
@@ -299,7 +299,7 @@ def point_pairs(marbles: DataFrame, holes: DataFrame, threshold: float, gap_limi
     h = holes.select(*KEY, "start", F.col("n").alias("h"), "twin", "tunnel", "lat", "lon", "dlat", "dlon")
     rr = threshold * 1.8 + 0.00001
     box = (F.col("lat") - rr, F.col("lon") - rr, F.col("lat") + rr, F.col("lon") + rr)
-    near = box_join(m, h, (F.col("mlat"), F.col("mlon")), box, 2 * rr, by=(*KEY, "start"))
+    near = box_join(m, h, (F.col("mlat"), F.col("mlon")), box, 2 * rr, by=(*KEY, "start"), levels=False)
     near = near.filter((F.abs(F.col("mlat") - F.col("lat")) <= rr) & (F.abs(F.col("mlon") - F.col("lon")) <= rr))
     d = degree_distance(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon"))
     gap = angle_gap(unit_direction(F.col("ma"), F.col("mb")), unit_direction(F.col("dlat"), F.col("dlon")))
@@ -505,7 +505,7 @@ def compare_from_nodes(
     h = holes.select(*KEY, "start", F.col("n").alias("h"), "lat", "lon")
     rr = threshold * 1.4
     box = (F.col("lat") - rr, F.col("lon") - rr, F.col("lat") + rr, F.col("lon") + rr)
-    near = box_join(m, h, (F.col("mlat"), F.col("mlon")), box, 2 * rr, by=(*KEY, "start")).filter(
+    near = box_join(m, h, (F.col("mlat"), F.col("mlon")), box, 2 * rr, by=(*KEY, "start"), levels=False).filter(
         degree_distance(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon")) < threshold)
     hit = near.groupBy(*KEY, "start").agg(F.count_distinct("m").alias("mm"), F.count_distinct("h").alias("hh"))
     nm = marbles.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("marbles"))
@@ -522,7 +522,7 @@ def random_node_pairs(truth_nodes: DataFrame, nodes: DataFrame, edges: DataFrame
     cand = nodes.join(ends, [*KEY, "node_id"], "left_semi").select(*KEY, "node_id", "lat", "lon")
     t = truth_nodes.select(*KEY, F.col("node_id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     box = (F.col("lat2") - threshold, F.col("lon2") - threshold, F.col("lat2") + threshold, F.col("lon2") + threshold)
-    near = box_join(cand, t, (F.col("lat"), F.col("lon")), box, 4 * threshold)
+    near = box_join(cand, t, (F.col("lat"), F.col("lon")), box, 4 * threshold, levels=False)
     near = near.withColumn("d", degree_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("d") <= threshold)
     best = near.groupBy(*KEY, "node_id").agg(F.min(F.struct("d", "other_id")).alias("_m")).select(*KEY, "node_id", F.col("_m.other_id").alias("other_id"))
     listed = keep(dense_ids(best, ["node_id"], "_k", id_chunk("node_id")), "listed")

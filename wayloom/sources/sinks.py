@@ -38,7 +38,7 @@ def graph_json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         *KEY, F.lit(0).alias("part"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"),
         F.concat(at, F.format_string("[%.9f, %.9f]", lat, lon)).alias("line"))
     lead = e.groupBy(*KEY).agg(F.min(F.struct("src", "dst")).alias("_m"))
-    first = sliced_join(e, lead, KEY).withColumn("_f", F.struct("src", "dst") == F.col("_m"))
+    first = sliced_join(e, lead, KEY, both=False).withColumn("_f", F.struct("src", "dst") == F.col("_m"))
     links = first.select(
         *KEY, F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"),
         F.concat(F.when(F.col("_f"), F.lit("")).otherwise(F.lit(",")), F.format_string("[%d, %d]", "src", "dst")).alias("line"))
