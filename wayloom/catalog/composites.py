@@ -283,6 +283,15 @@ def extracted_graph(spark, d):
     return edges.select("tile_id", "src", "dst", r6("score").alias("score"))
 
 
+@query("extracted_nodes")
+def extracted_nodes(spark, d):
+    """The nodes of ``extracted_graph``."""
+    from ..plans import extraction
+
+    s = fx.wide_patch_scores(spark, d)
+    return extraction.extract_graph(s, _extraction_patches(s), near_is_linked, extraction.Options(), patch_size=40.0)[0]
+
+
 @query("extracted_points")
 def extracted_points(spark, d):
     """Graph points with scores brought to 0..1, so that each thinning step takes part."""
@@ -361,6 +370,17 @@ def label_samples(spark, d):
     """Pairs with their connected flag for patches that cover each tile."""
     from ..plans import labels
 
-    opt = labels.Options(samples=32)
+    opt = labels.Options()
     n, e, p = _label_patches(spark, d, opt)
     return labels.patch_samples(n, e, p, 17, opt)[1]
+
+
+@query("label_batches")
+def label_batches(spark, d):
+    """The same samples at one shape in batches of 16 patches, with places in point lists; patches reach beyond the roads."""
+    from ..plans import labels
+
+    opt = labels.Options()
+    n, e, p = _label_patches(spark, d, opt)
+    beyond = p.filter("patch_id % 4294967296 = 0").selectExpr("tile_id", "-1 - patch_id AS patch_id", "x0", "y0 - 512 AS y0", "x1", "y1 - 512 AS y1", "turns")
+    return labels.training_batches(n, e, p.unionByName(beyond), 17, 16, opt)[1]

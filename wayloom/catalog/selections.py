@@ -123,6 +123,42 @@ def empty_patch_samples(spark, d):
     return out.select("tile_id", "patch_id", "sample_id", "src", F.exists("valid", lambda v: v).alias("any_valid"), F.size("valid").alias("width"))
 
 
+PATCHES7 = """patches AS (SELECT *, row_number() OVER (ORDER BY tile_id, patch_id)-1 AS n
+ FROM (SELECT DISTINCT tile_id FROM fx_points), range(8) r(patch_id)),
+spots AS (SELECT tile_id, pid%7 AS patch_id, pid, x, y, row_number() OVER (PARTITION BY tile_id, pid%7 ORDER BY pid)-1 AS at FROM fx_points),
+near AS (SELECT * FROM (SELECT a.tile_id, a.patch_id, a.pid AS src, b.pid AS dst, a.at AS src_at, b.at AS dst_at,
+  row_number() OVER (PARTITION BY a.tile_id, a.pid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.pid) AS rank
+ FROM spots a JOIN spots b ON a.tile_id=b.tile_id AND a.patch_id=b.patch_id AND a.pid<>b.pid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<48*48) WHERE rank<=6)"""
+
+
+def _exported(spark, d):
+    p = fx.points(spark, d).withColumn("patch_id", F.col("pid") % 7)
+    near = spatial.nearest_neighbours(p, 6, 48.0, by=("tile_id", "patch_id"))
+    all_ = p.select("tile_id", "patch_id", F.col("pid").alias("sample_id"), F.col("pid").alias("src")).join(near, ["tile_id", "patch_id", "src"], "left")
+    patches = p.select("tile_id").distinct().withColumn("patch_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
+    points = p.select("tile_id", "patch_id", "pid", F.col("x").alias("px"), F.col("y").alias("py"))
+    return sampling.export_samples(points, all_.withColumn("connected", (F.col("src") + F.col("dst")) % 2 == 0), patches, 3, 6, 5)
+
+
+@query("exported_points", sql("points", """
+SELECT tile_id, patch_id, n//5 AS batch, n%5 AS slot, coalesce(pids, []) AS pids,
+ list_concat(coalesce(xy, []), [[0.0::double, 0.0::double] FOR i IN range(greatest(1, max(coalesce(len(xy),0)) OVER (PARTITION BY n//5)) - coalesce(len(xy),0))]) AS points
+FROM patches LEFT JOIN (SELECT tile_id, patch_id, list(pid ORDER BY pid) AS pids, list([x::double, y::double] ORDER BY pid) AS xy FROM spots GROUP BY ALL) USING (tile_id, patch_id)""", PATCHES7))
+def exported_points(spark, d):
+    """Point lists of patches in batches of five, an empty patch in each tile."""
+    return _exported(spark, d)[0]
+
+
+@query("exported_samples", sql("points", """
+SELECT p.tile_id, p.patch_id, p.n//5 AS batch, p.n%5 AS slot, s.pid AS sample_id, list([s.at, coalesce(k.dst_at, s.at)] ORDER BY r.i) AS pairs,
+ list(coalesce((k.src+k.dst)%2=0, false) ORDER BY r.i) AS connected, list(k.dst IS NOT NULL ORDER BY r.i) AS valid
+FROM patches p JOIN spots s USING (tile_id, patch_id), range(1,7) r(i) LEFT JOIN near k ON k.tile_id=p.tile_id AND k.src=s.pid AND k.rank=r.i GROUP BY ALL
+UNION ALL SELECT tile_id, patch_id, n//5, n%5, i, [[0,0] FOR x IN range(6)], [false FOR x IN range(6)], [false FOR x IN range(6)] FROM patches, range(3) t(i) WHERE patch_id=7""", PATCHES7))
+def exported_samples(spark, d):
+    """Samples of the same batches, their pairs by places in the point lists."""
+    return _exported(spark, d)[1]
+
+
 @query("random_patches")
 def random_patches(spark, d):
     """One random patch per order: its number grows with the data."""

@@ -137,18 +137,78 @@ def pad_samples(pairs: DataFrame, width: int, group: Sequence[str] = ("tile_id",
         F.transform("_l", lambda x: x["connected"]).alias("connected"), F.transform("_l", lambda x: x["valid"]).alias("valid"))
 
 
-def pad_points(points: DataFrame, patches: DataFrame, group: Sequence[str] = ("tile_id", "patch_id")) -> DataFrame:
+def in_batches(patches: DataFrame, size: int, seed: int | None = None, group: Sequence[str] = ("tile_id", "patch_id")) -> DataFrame:
+    """Deal patches to batches of ``size``, the last one maybe smaller: (group, batch, slot).
+
+    With a seed the order is drawn, else it is that of the keys. Repeated patches count once.
+    """
+    ids = patches.select(*group).distinct().withColumn("_all", F.lit(0))
+    order, chunk = list(group), [F.col(group[0])]
+    if seed is not None:
+        ids = ids.withColumn("_h", F.xxhash64(F.lit(seed), *group))
+        order, chunk = ["_h", *group], [F.shiftright("_h", 48)]
+    numbered = dense_ids(ids, order, "_n", chunk, by=("_all",))
+    return numbered.select(*group, F.expr(f"_n div {size}").alias("batch"), F.expr(f"_n % {size}").alias("slot"))
+
+
+def pad_points(
+    points: DataFrame, patches: DataFrame, group: Sequence[str] = ("tile_id", "patch_id"), batches: DataFrame | None = None
+) -> DataFrame:
     """Point list of each patch, filled with (0, 0) up to the longest list; an empty patch gets one such point.
 
-    Patch-local numbers exist only here: the k-th entry is the k-th point by id.
+    Patch-local numbers exist only here: the k-th entry is the k-th point by id. With ``batches`` (see ``in_batches``)
+    lists are only as long as the longest of their batch, and the columns ``batch`` and ``slot`` are added.
     """
+    group = list(group)
     lists = points.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pid", "px", "py"))).alias("_l"))
-    all_ = patches.select(*group).distinct().join(lists, list(group), "left").withColumn("_l", F.coalesce("_l", F.array().cast(lists.schema["_l"].dataType)))
-    longest = max(1, all_.agg(F.max(F.size("_l"))).first()[0] or 0)
+    all_ = patches.select(*group).distinct()
+    if batches is not None:
+        many = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        wide = batches.join(many, group, "left").groupBy("batch").agg(F.greatest(F.max(F.coalesce("_n", F.lit(0))), F.lit(1)).cast("int").alias("_w"))
+        all_ = all_.join(batches, group).join(wide, "batch")
+    all_ = all_.join(lists, group, "left").withColumn("_l", F.coalesce("_l", F.array().cast(lists.schema["_l"].dataType)))
+    if batches is None:
+        longest = F.lit(max(1, all_.agg(F.max(F.size("_l"))).first()[0] or 0))
+    else:
+        longest = F.col("_w")
     zero = F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), longest)
     xy = F.transform("_l", lambda e: F.array(e["px"].cast("double"), e["py"].cast("double")))
     return all_.select(
-        *group, F.transform("_l", lambda e: e["pid"]).alias("pids"), F.slice(F.concat(xy, zero), 1, longest).alias("points"))
+        *group, *(["batch", "slot"] if batches is not None else []),
+        F.transform("_l", lambda e: e["pid"]).alias("pids"), F.slice(F.concat(xy, zero), F.lit(1), longest).alias("points"))
+
+
+def with_local_ids(samples: DataFrame, points: DataFrame, group: Sequence[str] = ("tile_id", "patch_id")) -> DataFrame:
+    """``src`` and ``dst`` as places in the point list of their patch, as ``pad_points`` orders it. An end that is no
+    point of the patch fails the query."""
+    group = list(group)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("pid")) - 1  # a patch's points, bounded by thinning
+    at = points.select(*group, "pid", place.cast("bigint").alias("_at"))
+    out = samples
+    for end in ("src", "dst"):
+        known = F.when(F.col(end).isNotNull(), F.coalesce("_at", F.raise_error(F.lit("a sample's end is no point of its patch")).cast("bigint")))
+        out = out.join(at.withColumnRenamed("pid", end), [*group, end], "left").withColumn(end, known).drop("_at")
+    return out
+
+
+def export_samples(
+    points: DataFrame, samples: DataFrame, patches: DataFrame, n: int, width: int, batch: int, seed: int | None = None,
+    group: Sequence[str] = ("tile_id", "patch_id"),
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal shape for training, as two tables that (batch, slot) links.
+
+    Points: (group, batch, slot, pids, points), lists as long as the longest of the batch. Samples: (group, batch, slot,
+    sample_id, pairs, connected, valid), ``width`` pairs (source, target) of places in the point list; filled up with
+    (source, source), neither connected nor valid. A patch without points has one point (0, 0) and ``n`` samples of
+    pairs (0, 0). ``samples``: (group, sample_id, src, rank, dst, connected), dst null for a source without targets.
+    """
+    group = list(group)
+    batches = in_batches(patches, batch, seed, group)
+    local = pad_samples(with_local_ids(samples, points, group), width, (*group, "sample_id", "src"))
+    full = empty_patch_samples(patches, local, n, width, group)
+    pairs = F.transform("targets", lambda t: F.array(F.col("src"), t)).alias("pairs")
+    return pad_points(points, patches, group, batches), full.join(batches, group).select(
+        *group, "batch", "slot", "sample_id", pairs, "connected", "valid")
 
 
 def empty_patch_samples(patches: DataFrame, samples: DataFrame, n: int, width: int, group: Sequence[str] = ("tile_id", "patch_id")) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import rotate_in_patch
 from ..operators.graph import crossovers, degrees, reach, subdivide, undirected
-from ..operators.sampling import jitter, weighted_draws
+from ..operators.sampling import export_samples, jitter, weighted_draws
 from ..operators.select import random_scores, suppress_near
 from ..operators.spatial import KEY, nearest_neighbours, point_in_box_join, radius_join, without_near
 from ..session import keep
@@ -84,3 +84,12 @@ def patch_samples(nodes: DataFrame, edges: DataFrame, patches: DataFrame, seed:
     px, py = rotate_in_patch(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), options.patch, F.col("turns"))
     turned = thin.select(*PATCH, "pid", px.alias("px"), py.alias("py"))
     return jitter(turned, seed + 2), samples
+
+
+def training_batches(
+    nodes: DataFrame, edges: DataFrame, patches: DataFrame, seed: int, batch: int, options: Options = Options()
+) -> tuple[DataFrame, DataFrame]:
+    """``patch_samples`` brought to equal shapes in drawn batches of ``batch`` patches, empty patches included: points and
+    samples as ``export_samples`` returns them, with ``options.samples`` samples a patch and ``options.neighbours`` pairs each."""
+    points, samples = patch_samples(nodes, edges, patches, seed, options)
+    return export_samples(points, samples, patches, options.samples, options.neighbours, batch, seed + 3, PATCH)
