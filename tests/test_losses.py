@@ -72,12 +72,16 @@ def test_all_hot_keys_are_sliced(spark):
     assert spatial.sliced_join(left, right, ["k"], rows_per_slice=5).distinct().count() == 600 * 3 == spatial.sliced_join(left, right, ["k"], rows_per_slice=5).count()
 
 
-def test_forest_refuses_ids_that_would_clash(frame):
+def test_forest_ids_of_any_length_stay_apart(frame):
     schema = "tree_id bigint, id bigint, lat double, lon double, parent bigint, similar_tree bigint, similar_id bigint, out_region bigint"
     good = frame([(1, 0, 0.0, 0.0, 0, -1, -1, 0), (1, 9_999_999, 1.0, 1.0, 0, -1, -1, 0)], schema)
     assert graphs.load_forest(good)[0].count() == 2
-    with pytest.raises(PySparkException, match="seven digits"):
-        graphs.load_forest(frame([(1, 0, 0.0, 0.0, 0, -1, -1, 0), (1, 10_000_000, 1.0, 1.0, 0, -1, -1, 0)], schema))[0].collect()
+    # packed as tree * 10,000,000 + id, the second of these would be called like the third
+    long = frame([(1, 0, 0.0, 0.0, 0, -1, -1, 0), (1, 10_000_000, 1.0, 1.0, 0, -1, -1, 0), (2, 0, 5.0, 5.0, 0, -1, -1, 1)], schema)
+    n, e, t = graphs.load_forest(long)
+    assert {(tuple(r.node_id), r.lat) for r in n.collect()} == {((1, 0), 0.0), ((1, 10_000_000), 1.0), ((2, 0), 5.0)}
+    assert {(tuple(r.src), tuple(r.dst)) for r in e.collect()} == {((1, 0), (1, 0)), ((1, 0), (1, 10_000_000)), ((2, 0), (2, 0))}
+    assert [tuple(r.node_id) for r in t.collect()] == [(2, 0)]
 
 
 def test_points_without_a_place_end_the_suppression(spark, frame):

@@ -161,6 +161,11 @@ def _forest(spark, d):
         "cast(0 as bigint) AS similar_id", "CASE WHEN l_partkey%13=0 THEN 1 ELSE 0 END AS out_region").join(first, "tree_id")
 
 
+def _packed(name):
+    """The number by which the SQL calls a node; ids in these trees have one digit."""
+    return F.col(f"{name}.tree_id") * 10_000_000 + F.col(f"{name}.id")
+
+
 FOREST = """li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL),
 forest AS (SELECT f.tile_id, l_orderkey AS tree_id, l_linenumber-1 AS id, l_partkey::double AS lat, l_suppkey::double AS lon,
   greatest(l_linenumber-2,0) AS parent, CASE WHEN l_partkey%11=0 THEN l_orderkey ELSE -1 END AS similar_tree, 0 AS similar_id,
@@ -180,7 +185,8 @@ LEFT JOIN (SELECT DISTINCT tile_id, src FROM fe WHERE out_region=1) t ON t.tile_
 def forest_edges(spark, d):
     _, e, t = src.load_forest(_forest(spark, d), (10.0, -1e9, 1800.0, 1e9))
     mark = t.select("tile_id", F.col("node_id").alias("src"), F.lit(True).alias("terminal"))
-    return e.join(mark, ["tile_id", "src"], "left").select("tile_id", "src", "dst", F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    return e.join(mark, ["tile_id", "src"], "left").select(
+        "tile_id", _packed("src").alias("src"), _packed("dst").alias("dst"), F.coalesce("terminal", F.lit(False)).alias("terminal"))
 
 
 @query("forest_nodes", sql("", "WITH " + FOREST + """
@@ -188,7 +194,8 @@ SELECT tile_id, node_id, m.lat AS lat, m.lon AS lon FROM (
  SELECT tile_id, node_id, min({'lat': lat, 'lon': lon}) AS m FROM (SELECT tile_id, src AS node_id, plat AS lat, plon AS lon FROM fe
  UNION ALL SELECT tile_id, dst, lat, lon FROM fe) GROUP BY ALL)"""))
 def forest_nodes(spark, d):
-    return src.load_forest(_forest(spark, d), (10.0, -1e9, 1800.0, 1e9))[0]
+    n = src.load_forest(_forest(spark, d), (10.0, -1e9, 1800.0, 1e9))[0]
+    return n.withColumn("node_id", _packed("node_id"))
 
 
 @query("undirected_edges", sql("pairs", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import metre_distance
 from ..functions.geometry import crossing_point, point_segment_distance, segment_box
-from ..session import keep, keep_counted
+from ..session import forget, keep, keep_counted
 from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_start, sliced_join, spread_out
 
 
@@ -85,7 +85,7 @@ def with_ends(edges: DataFrame, nodes: DataFrame, cols: tuple[str, str] = ("x",
 
 def renumber(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Number the nodes 0, 1, 2, … by id and carry the edges along; edges that lost an end are dropped."""
-    numbered = dense_ids(nodes, ["node_id"], "_new", id_chunk("node_id"))
+    numbered = dense_ids(nodes, ["node_id"], "_new")
     ids = numbered.select(*KEY, "node_id", "_new")
     new_edges = (
         edges.join(ids.select(*KEY, F.col("node_id").alias("src"), F.col("_new").alias("_s")), [*KEY, "src"])
@@ -165,7 +165,7 @@ def subdivide(nodes: DataFrame, edges: DataFrame, resolution: float) -> tuple[Da
     n = F.greatest(F.lit(1), (F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2) / resolution).cast("int"))
     cut = with_ends(edges, nodes).withColumn("_n", n)
     base = nodes.groupBy(*KEY).agg((F.max("node_id") + 1).alias("_base"))
-    cut = sliced_join(running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off", id_chunk("src", 4096)), base, KEY, both=False)
+    cut = sliced_join(running_start(cut, ["src", "dst"], F.col("_n") - 1, "_off"), base, KEY, both=False)
     piece = cut.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     first = F.col("_base") + F.col("_off") - 1
     t = F.col("_i") / F.col("_n")
@@ -237,8 +237,10 @@ def components(pairs: DataFrame) -> DataFrame:
         moved = sliced_join(large, low2, [*KEY, "a"], rows=seen["n"], both=False)
         small = moved.filter("b <> m").select(*KEY, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low2.select(*KEY, "a", F.col("m").alias("b"))).distinct()
+        spent = state
         state, seen = keep_counted(
             small, "stars", n=F.count(F.lit(1)), h=F.bit_xor(F.xxhash64(*small.columns)))
+        forget(spent)
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
@@ -265,8 +267,7 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, distance: float) -> tuple[Da
     label = components(touch).withColumnRenamed("node", "head")
     placed = inside.join(label, [*KEY, "head"], "left").withColumn("label", F.coalesce("label", "head"))
     centres = placed.groupBy(*KEY, F.col("label").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    ids = dense_ids(centres, ["node_id"], "_new", id_chunk("node_id"))
-    ids = keep(ids, "clusters")
+    ids = dense_ids(centres, ["node_id"], "_new")
     to_new = keep(placed.select(*KEY, "node_id", "label").join(
         ids.select(*KEY, F.col("node_id").alias("label"), "_new"), [*KEY, "label"]).select(*KEY, "node_id", "_new"), "relabel")
     moved = (

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,32 +268,38 @@ def connected_over_pixels(points: DataFrame, walk_cost: DataFrame, radius: float
     """Pairs of points within ``radius`` joined by a way of fewer than ``radius`` steps over unblocked pixels
     (cost > 0; discs around both ends are free), steps going to all eight neighbours: (tile_id, src, dst).
 
-    The search runs from every point at once and stays inside the square around it.
+    The search runs once for each source and not for each pair, over unblocked pixels and the source's own disc. A way
+    enters the target's disc once: from any pixel of a disc the way to its middle stays inside, and no other is shorter than
+    its longer side. So targets ask for the fronts in and around their discs, in a join at the end. A step back leads to one
+    of the last two fronts, so a step is held against these alone. Points without an id or a place meet nothing.
     """
     pts = points.select(*KEY, "pid", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
     other = pts.select(*KEY, F.col("pid").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = keep(radius_join(pts.withColumnRenamed("pid", "src"), other, radius).filter("src < dst").drop("d2"), "pairs")
-    free = keep(walk_cost.filter("cost > 0").select(*KEY, "y", "x"), "free")
-    keys = [*KEY, "src", "dst", "y", "x"]
-    front = keep(pairs.select(*KEY, "src", "dst", "x2", "y2", F.col("x").alias("sx"), F.col("y").alias("sy"), "x", "y"), "front")
-    seen, hits = front.select(*keys), []
+    free = keep(walk_cost.filter("cost > 0").select(*KEY, "y", "x").distinct(), "free")
+    at = [*KEY, "src", "sx", "sy", "y", "x"]
+    steps = math.ceil(radius) - 1
+    front = keep(pairs.select(*KEY, "src", F.col("x").alias("sx"), F.col("y").alias("sy"), "y", "x").distinct(), "front")
+    fronts = [front]
     ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    near = lambda u, v: (F.col("x") - F.col(u)) ** 2 + (F.col("y") - F.col(v)) ** 2 <= free_radius ** 2
-    hits.append(front.filter("x = x2 and y = y2").select(*KEY, "src", "dst"))
-    for _ in range(1, math.ceil(radius)):  # the start is no step
-        step = front.withColumn("_o", F.explode(ring)).withColumns({"x": F.col("x") + F.col("_o.i"), "y": F.col("y") + F.col("_o.j")}).drop("_o")
-        step = step.distinct().join(seen, keys, "left_anti")
-        open_ = step.join(free, [*KEY, "y", "x"], "left_semi")
-        own = step.filter(near("sx", "sy") | near("x2", "y2"))
-        nxt = open_.unionByName(own).distinct()
-        front, n = keep_counted(nxt.select(*front.columns), "front", n=F.count(F.lit(1)))
+    in_disc = lambda u, v: (F.col("x") - F.col(u)) ** 2 + (F.col("y") - F.col(v)) ** 2 <= free_radius ** 2
+    for _ in range(steps):
+        step = front.withColumn("_o", F.explode(ring)).withColumns({"x": F.col("x") + F.col("_o.i"), "y": F.col("y") + F.col("_o.j")}).drop("_o").distinct()
+        for known in fronts[-2:]:
+            step = step.join(known, at, "left_anti")
+        step = step.join(free.withColumn("_free", F.lit(True)), [*KEY, "y", "x"], "left")
+        front, n = keep_counted(step.filter(in_disc("sx", "sy") | F.col("_free")).select(*at), "front", n=F.count(F.lit(1)))
         if not n["n"]:
             break
-        arrived = front.filter("x = x2 and y = y2").select(*KEY, "src", "dst")
-        hits.append(arrived)
-        seen = keep(seen.unionByName(front.select(*keys)), "seen")
-        front = front.join(arrived, [*KEY, "src", "dst"], "left_anti")
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out.distinct()
+        fronts.append(front)
+    found = reduce(DataFrame.unionByName, [f.select(*KEY, "src", "y", "x", F.lit(k).alias("k")) for k, f in enumerate(fronts)])
+    wide = free_radius + 1
+    target = pairs.select(*KEY, "src", "dst", "x2", "y2")
+    box = (F.col("x2") - wide, F.col("y2") - wide, F.col("x2") + wide, F.col("y2") + wide)
+    near = box_join(found, target, (F.col("x"), F.col("y")), box, 2 * wide + 1, by=(*KEY, "src"), levels=False)
+    # of a pixel beside the disc, the neighbour inside that lies nearest to the middle
+    dx, dy = F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))
+    inner = lambda c: F.greatest(c - 1, F.lit(0))
+    beside = inner(dx) ** 2 + inner(dy) ** 2 <= free_radius ** 2
+    rest = F.when(in_disc("x2", "y2"), F.greatest(dx, dy)).when(beside, 1 + F.greatest(inner(dx), inner(dy)))
+    return near.filter(F.col("k") + rest <= steps).select(*KEY, "src", "dst").distinct()

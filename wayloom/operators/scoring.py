@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from .spatial import in_ranges
 
 # Fixed values of the focal loss.
 FOCAL_ALPHA, FOCAL_GAMMA = 0.25, 2.0
@@ -30,11 +30,6 @@ def f1(scored: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> Dat
     return scored.filter("valid").groupBy(*by).agg(_share(2 * hit, made + real).alias("f1"))
 
 
-def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with the number ``_band`` of their range of ``order``; written down, as ranges are drawn by a sample."""
-    return keep(rows.repartitionByRange(*order).withColumn("_band", F.spark_partition_id()), "ranges")
-
-
 def precision_recall_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score: precision and recall of the rows at or above it.
 

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import tie_hash
-from ..session import keep, keep_counted, must_fall
-from .scoring import in_ranges
-from .spatial import KEY, radius_join, sliced_join
+from ..session import forget, keep, keep_counted, must_fall
+from .spatial import KEY, in_ranges, radius_join, running_start, sliced_join
 
 
 def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_above: float = 1.0) -> DataFrame:
@@ -62,8 +61,9 @@ def suppress_near(points: DataFrame, radius: float, id_col: str = "pid", forced_
                 *KEY, "rank2", "x2", "y2", F.floor(F.col("x2") / side).alias("_cx"), F.floor(F.col("y2") / side).alias("_cy")), "kept")
         won.append(kept.select(*KEY, F.col("rank2.i").alias("_id")))
         gone = around(kept).select(*KEY, "x", "y").distinct()
-        before = n["n"]
+        before, spent = n["n"], undecided
         undecided, n = keep_counted(undecided.join(gone, [*KEY, "x", "y"], "left_anti"), "open", n=F.count(F.lit(1)))
+        forget(spent)
         must_fall(before, n["n"], "suppress_near")
     ids = reduce(DataFrame.unionByName, won).withColumnRenamed("_id", id_col)
     return points.join(ids, [*KEY, id_col], "left_semi").select(*cols)
@@ -94,6 +94,7 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
             break
         live = pairs.join(state.withColumnRenamed("id", "first"), [*KEY, "first"], "left_semi").join(
             state.withColumnRenamed("id", "second"), [*KEY, "second"], "left_semi")
+        spent = [pairs, state]
         pairs = keep(live, "conflicts")
         blocked = pairs.select(*KEY, F.col("second").alias("id")).distinct()
         kept = keep(state.join(blocked, [*KEY, "id"], "left_anti"), "kept")
@@ -102,6 +103,7 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
         before = n["n"]
         state, n = keep_counted(
             state.join(kept, [*KEY, "id"], "left_anti").join(lost, [*KEY, "id"], "left_anti"), "open", n=F.count(F.lit(1)))
+        forget(*spent)
         must_fall(before, n["n"], "greedy_keep")
     return reduce(DataFrame.unionByName, won)
 
@@ -125,8 +127,9 @@ def cheapest_matching(pairs: DataFrame) -> DataFrame:
         if not n["n"]:
             break
         taken.append(got)
-        left = left.join(got.select(*KEY, "a"), [*KEY, "a"], "left_anti").join(got.select(*KEY, "b"), [*KEY, "b"], "left_anti")
-        left = keep(left.select(*KEY, "a", "b", "cost"), "pairs")
+        rest = left.join(got.select(*KEY, "a"), [*KEY, "a"], "left_anti").join(got.select(*KEY, "b"), [*KEY, "b"], "left_anti")
+        spent, left = left, keep(rest.select(*KEY, "a", "b", "cost"), "pairs")
+        forget(spent)
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
@@ -150,6 +153,7 @@ def worst_share(rows: DataFrame, score: str, share: float, id_col: str) -> DataF
     """The worst ``share`` of all rows by falling score, ties by id: int(n * share) of them.
 
     Scores are counted first and the limit is read from the running counts, so the rows themselves are not sorted.
+    Rows of the score at the limit, however many they are, are parted by ranges of their ids and numbered across them.
     """
     per = in_ranges(rows.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")), ["_s"]).withColumnRenamed("_band", "_c")
     above = Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
@@ -162,7 +166,7 @@ def worst_share(rows: DataFrame, score: str, share: float, id_col: str) -> DataF
     near = rows.join(before, rows[score] == before["_s"])
     sure = near.filter("_before + _n <= _want")
     edge = near.filter("_before + _n > _want")
-    cut = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(id_col))).filter("_before + _r <= _want")
+    cut = running_start(edge.withColumnRenamed("_before", "_above"), [id_col], F.lit(1), "_r", by=("_s",)).filter("_above + _r < _want")
     return sure.select(*rows.columns).unionByName(cut.select(*rows.columns))
 
 

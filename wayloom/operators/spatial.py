@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 KEY = ("tile_id",)
 ROWS_PER_SLICE = 200_000
 
@@ -238,15 +240,28 @@ def without_near(points: DataFrame, others: DataFrame, radius: float, id_col: st
     return points.join(hit, [*by, id_col], "left_anti")
 
 
-def running_start(df: DataFrame, order: Sequence[str], value, name: str, chunk: Sequence[Column], by: Sequence[str] = KEY):
+def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with the number ``_band`` of their range of ``order``; written down, as ranges are drawn by a sample."""
+    return keep(rows.repartitionByRange(*order).withColumn("_band", F.spark_partition_id()), "ranges")
+
+
+def running_start(
+    df: DataFrame, order: Sequence[str], value, name: str, chunk: Sequence[Column] | None = None, by: Sequence[str] = KEY
+) -> DataFrame:
     """Sum of ``value`` over the rows before this one, per ``by`` group in ``order``, without sorting a whole
     group in one task.
 
-    ``chunk`` must be coarse values that rise with ``order``: values are summed per chunk, those sums are run up
-    over the short list of chunks, and rows are only ordered inside a chunk.
+    Values are summed per chunk, those sums are run up over the short list of chunks, and rows are only ordered inside a
+    chunk. The chunks are the ranges of (``by``, ``order``) into which Spark parts the rows: about equally full whatever the
+    values are like, so a group has no more chunks than there are partitions. ``chunk`` saves writing the ranges down where
+    coarse values that rise with ``order`` are known to hold neither very many rows nor hardly any.
     """
-    parts = [f"_k{i}" for i in range(len(chunk))]
-    marked = df.select("*", value.cast("bigint").alias("_v"), *[c.alias(p) for c, p in zip(chunk, parts)])
+    if chunk is None:
+        df = in_ranges(df.withColumn("_v", value.cast("bigint")), [*by, *order])
+        parts, marked = ["_band"], df
+    else:
+        parts = [f"_k{i}" for i in range(len(chunk))]
+        marked = df.select("*", value.cast("bigint").alias("_v"), *[c.alias(p) for c, p in zip(chunk, parts)])
     earlier = Window.partitionBy(*by).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         marked.groupBy(*by, *parts)
@@ -262,7 +277,7 @@ def running_start(df: DataFrame, order: Sequence[str], value, name: str, chunk:
     )
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], name: str, chunk: Sequence[Column], by: Sequence[str] = KEY) -> DataFrame:
+def dense_ids(df: DataFrame, order: Sequence[str], name: str, chunk: Sequence[Column] | None = None, by: Sequence[str] = KEY) -> DataFrame:
     """Ids 0, 1, 2, ... per ``by`` group in ``order`` (see ``running_start``)."""
     return running_start(df, order, F.lit(1), name, chunk, by)
 

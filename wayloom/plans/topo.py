@@ -18,7 +18,7 @@ from ..operators.graph import symmetric, with_ends
 from ..operators.paths import position_distances, spread
 from ..operators.sampling import uniform
 from ..operators.select import cheapest_matching, greedy_keep
-from ..operators.spatial import KEY, box_join, dense_ids, id_chunk, sliced_join
+from ..operators.spatial import KEY, box_join, dense_ids, sliced_join
 from ..session import keep
 
 PICO = 1e12
@@ -525,7 +525,7 @@ def random_node_pairs(truth_nodes: DataFrame, nodes: DataFrame, edges: DataFrame
     near = box_join(cand, t, (F.col("lat"), F.col("lon")), box, 4 * threshold, levels=False)
     near = near.withColumn("d", degree_distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("d") <= threshold)
     best = near.groupBy(*KEY, "node_id").agg(F.min(F.struct("d", "other_id")).alias("_m")).select(*KEY, "node_id", F.col("_m.other_id").alias("other_id"))
-    listed = keep(dense_ids(best, ["node_id"], "_k", id_chunk("node_id")), "listed")
+    listed = dense_ids(best, ["node_id"], "_k")
     total = listed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     draws = total.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.withColumn("_k", F.floor(uniform(seed, *KEY, "draw") * F.col("_n")).cast("bigint"))

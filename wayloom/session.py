@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -43,11 +44,28 @@ def must_fall(before: int, after: int, what: str) -> None:
         raise RuntimeError(f"{what}: a round settled none of {after} rows")
 
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def keep(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a short plan that survives lost executors."""
     path = f"{state_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[kept] = path
+    return kept
+
+
+def forget(*spent: DataFrame) -> None:
+    """Delete the folders of tables that ``keep`` has written, once nothing is going to read them any more.
+
+    Loops call it for the state of an earlier round when the next one has been written. Other DataFrames are left alone.
+    """
+    for df in spent:
+        path = _PLACES.pop(df, None)
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def keep_counted(df: DataFrame, name: str = "state", **counts: Column) -> tuple[DataFrame, dict[str, int]]:

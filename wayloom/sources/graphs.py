@@ -17,16 +17,44 @@ GRAPH_JSON = "array<array<array<double>>>"
 def read_graph_json(spark: SparkSession, path: str, tile: str = r"([^/]+)\.json$") -> tuple[DataFrame, DataFrame]:
     """Files with one graph each, [[[lat, lon], …], [[i, j], …]]; the tile name is taken from the file name.
 
-    What ``write_graph_json`` has written, a folder per tile whose part files make up the document, is read as well.
+    What ``write_graph_json`` has written, a folder per tile whose part files make up the document, is read as well, line by
+    line, so that no tile has to fit in a row.
     """
     files = spark.read.text(path, wholetext=True)
     if "tile_id" in files.columns:
-        named = files.withColumn("_file", F.input_file_name())
-        parts = named.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_file", "value"))).alias("_p"))
-        return parse_graph_json(parts.select(*KEY, F.array_join(F.transform("_p", lambda p: p["value"]), "").alias("doc")))
+        return _read_graph_lines(spark.read.text(path))
     return parse_graph_json(files.select(F.regexp_extract(F.input_file_name(), tile, 1).alias("tile_id"), F.col("value").alias("doc")))
 
 
+def _read_graph_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of documents, one node or edge each. A node's number is the count of node lines before its own in the
+    files of its tile: they are counted per piece of a file, and only the counts are run up over the pieces."""
+    pair = F.from_json(F.regexp_extract("value", r"\[[^\[\]]+\]", 0), "array<double>")
+    rows = lines.select(
+        *KEY, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value").contains(".").alias("_node"), pair.alias("_p"))
+    rows = rows.filter("_p is not null")
+    places = rows.filter("_node").select(*KEY, "_file", "_from", "_line", F.col("_p")[0].alias("lat"), F.col("_p")[1].alias("lon"))
+    nodes = dense_ids(places, ["_file", "_from", "_line"], "node_id", [F.col("_file"), F.col("_from")])
+    edges = rows.filter("not _node").select(*KEY, F.col("_p")[0].cast("bigint").alias("src"), F.col("_p")[1].cast("bigint").alias("dst"))
+    return _located(nodes.select(*KEY, "node_id", "lat", "lon")), edges
+
+
+def _located(nodes: DataFrame) -> DataFrame:
+    nodes = nodes.withColumn("loc_key", location_key(F.col("lat"), F.col("lon")))
+    first = nodes.groupBy(*KEY, "loc_key").agg(F.min("node_id").alias("first_id"))
+    return nodes.join(first, [*KEY, "loc_key"]).select(*KEY, "node_id", "lat", "lon", "loc_key", "first_id")
+
+
+def read_graph_shelves(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all tiles that ``write_graph_shelves`` has written."""
+    rows = spark.read.json(path, schema="tile_id string, part int, a bigint, b bigint, line string")
+    pair = F.from_json(F.regexp_extract("line", r"\[[^\[\]]+\]", 0), "array<double>")
+    nodes = rows.filter("part = 0").withColumn("_p", pair).select(
+        *KEY, F.col("a").alias("node_id"), F.col("_p")[0].alias("lat"), F.col("_p")[1].alias("lon"))
+    return _located(nodes), rows.filter("part = 2").select(*KEY, F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def parse_graph_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tile_id, doc) to nodes (tile_id, node_id, lat, lon, loc_key, first_id) and edges.
 
@@ -35,12 +63,9 @@ def parse_graph_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = docs.select(*KEY, F.from_json("doc", GRAPH_JSON).alias("g"))
     nodes = g.select(*KEY, F.posexplode(F.col("g")[0]).alias("i", "p")).select(
         *KEY, F.col("i").cast("bigint").alias("node_id"), F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))
-    nodes = nodes.withColumn("loc_key", location_key(F.col("lat"), F.col("lon")))
-    first = nodes.groupBy(*KEY, "loc_key").agg(F.min("node_id").alias("first_id"))
-    nodes = nodes.join(first, [*KEY, "loc_key"])
     edges = g.select(*KEY, F.explode(F.col("g")[1]).alias("e")).select(
         *KEY, F.col("e")[0].cast("bigint").alias("src"), F.col("e")[1].cast("bigint").alias("dst"))
-    return nodes.select(*KEY, "node_id", "lat", "lon", "loc_key", "first_id"), edges
+    return _located(nodes), edges
 
 
 def adjacency_table(nodes: DataFrame, edges: DataFrame, cols: tuple[str, str] = ("r", "c")) -> DataFrame:
@@ -111,12 +136,11 @@ def with_prediction(truth: DataFrame, prediction: DataFrame) -> DataFrame:
 def load_forest(forest: DataFrame, box: tuple[float, float, float, float] | None = None):
     """Forest dump to (nodes, edges, terminals).
 
-    ``forest``: (tile_id, tree_id, id, lat, lon, parent, similar_tree, similar_id, out_region); a node is named
-    tree_id * 10000000 + id (longer ids fail). A row with an alias (similar_tree <> -1) takes the alias's name and place; rows
+    ``forest``: (tile_id, tree_id, id, lat, lon, parent, similar_tree, similar_id, out_region); a node is named by the
+    struct (tree_id, id), so that ids of any length stay apart. A row with an alias (similar_tree <> -1) takes the alias's name and place; rows
     outside ``box`` (min_lat, min_lon, max_lat, max_lon) are skipped; ``out_region`` marks the parent terminal.
     """
-    fits = lambda i: F.when((F.col(i) >= 0) & (F.col(i) < 10_000_000), F.col(i)).otherwise(F.raise_error(F.lit("an id in a tree has more than seven digits")))
-    name = lambda t, i: F.col(t) * 10_000_000 + fits(i)
+    name = lambda t, i: F.struct(F.col(t).cast("bigint").alias("tree_id"), F.col(i).cast("bigint").alias("id"))
     spot = forest.select(*KEY, "tree_id", F.col("id").alias("_i"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     rows = forest
     if box is not None:
@@ -138,6 +162,6 @@ def load_forest(forest: DataFrame, box: tuple[float, float, float, float] | None
 
 
 __all__ = [
-    "read_graph_json", "parse_graph_json", "adjacency_table", "from_adjacency", "crop_adjacency", "road_graph", "non_empty",
+    "read_graph_json", "read_graph_shelves", "parse_graph_json", "adjacency_table", "from_adjacency", "crop_adjacency", "road_graph", "non_empty",
     "with_prediction", "load_forest",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import to_latlon
@@ -56,11 +56,28 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, partitions:
     spread.sortWithinPartitions(*order).select(*KEY, "line").write.partitionBy(*KEY).text(path)
 
 
-def write_masks(masks: DataFrame, path: str) -> None:
-    """Fused masks as pixel rows, one folder per tile and band."""
+def _shelf(shelves: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(shelves)).cast("int").alias("shelf")
+
+
+def write_graph_shelves(nodes: DataFrame, edges: DataFrame, path: str, shelves: int = 256) -> None:
+    """All tiles in ``shelves`` folders by a hash of the tile, for many tiles: the lines of their documents as JSON rows
+    (tile_id, part, a, b, line) in order, a tile of any size running on from file to file. ``read_graph_shelves`` reads
+    them back; a tile's document is the concatenation of its ``line`` values."""
+    order = ["shelf", *KEY, "part", "a", "b"]
+    lines = graph_json_lines(nodes, edges).select("*", _shelf(shelves))
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shelf").json(path)
+
+
+def write_masks(masks: DataFrame, path: str, shelves: int | None = None) -> None:
+    """Fused masks as pixel rows, one folder per tile and band; with ``shelves`` that many folders by a hash of the tile
+    in place of one for each tile."""
     flat = masks.select(*KEY, "y", "x", F.explode(F.create_map(
         F.lit("keypoint"), F.col("keypoint").cast("double"), F.lit("road"), F.col("road").cast("double"))).alias("band", "value"))
-    flat.write.partitionBy(*KEY, "band").parquet(path)
+    if shelves:
+        flat.select("*", _shelf(shelves)).write.partitionBy("shelf", "band").parquet(path)
+    else:
+        flat.write.partitionBy(*KEY, "band").parquet(path)
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -68,5 +85,10 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.json(path)
 
 
-def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    rounded_adjacency(nodes, edges).write.partitionBy(*KEY).parquet(path)
+def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str, shelves: int | None = None) -> None:
+    """Rounded adjacency, one folder per tile or, with ``shelves``, that many folders by a hash of the tile."""
+    rows = rounded_adjacency(nodes, edges)
+    if shelves:
+        rows.select("*", _shelf(shelves)).write.partitionBy("shelf").parquet(path)
+    else:
+        rows.write.partitionBy(*KEY).parquet(path)
