@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 FOLDER = f"{DATA}/sf0.001"
 # covered on small graphs in test_brute.py; these take up to a minute each
 LONG = {"topo_dataset", "topo_tiles", "apls_tiles", "soft_topo", "topo_from_nodes", "topo_from_random_nodes", "label_samples",
-        "control_points", "large_graph", "graph_search_over_pixels"}
+        "control_points", "large_graph"}
 LLM = {n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)}  # have tests of their own in tests/llm
 if os.environ.get("WAYLOOM_ALL"):
     LONG = set()

@@ -35,6 +35,17 @@ def wide_patch_scores(spark, d):
         F.when(F.col("band") == "road", F.col("score")).alias("road"))
 
 
+def marked_pixels(spark, d):
+    """Points strewn over the pixels of every tile."""
+    return patch_scores(spark, d).filter("(x*13+y*29+tile_id)%61=0").selectExpr("tile_id", "y*64+x AS pid", "x", "y").distinct()
+
+
+def patch_points(spark, d):
+    """Points at places (px, py) in every patch of 256 by 256."""
+    return patch_scores(spark, d).filter("(x+y)%3<>0").selectExpr(
+        "tile_id", "patch_id", "y*64+x AS pid", "x*4+y%4 AS px", "y*5+x%5 AS py").distinct()
+
+
 def pair_scores(spark, d):
     return table(spark, d, "lineitem").selectExpr(
         "cast(floor(l_orderkey/65536) as bigint)*8 + l_orderkey%8 AS tile_id", "l_orderkey AS patch_id", "l_partkey%40 AS src", "100+l_suppkey%25 AS dst",
@@ -79,6 +90,9 @@ PARTS = {
   cast(floor(event_id/64) as bigint)%48 AS y, event_id%64 AS x,
   CASE WHEN event_type IN ('signup','error') THEN 'keypoint' ELSE 'road' END AS band,
   least(value/100.0, 1.0) AS score FROM events)""",
+    "marked": "fx_marked AS (SELECT DISTINCT tile_id, y*64+x AS pid, x, y FROM fx_patch WHERE (x*13+y*29+tile_id)%61=0)",
+    "places": """fx_places AS (SELECT DISTINCT tile_id, patch_id, y*64+x AS pid, x*4+y%4 AS px, y*5+x%5 AS py
+  FROM fx_patch WHERE (x+y)%3<>0)""",
     "pairs": """fx_pairs AS (SELECT cast(floor(l_orderkey/65536) as bigint)*8 + l_orderkey%8 AS tile_id, l_orderkey AS patch_id, l_partkey%40 AS src,
   100+l_suppkey%25 AS dst, l_discount*10 AS score FROM lineitem)""",
     "gt": """fx_gt_nodes AS MATERIALIZED (SELECT tile_id, node_id, 60+(k%16)*120+((node_id*37)%11) AS x,

@@ -136,35 +136,31 @@ def drawing_difference(spark, d):
     return raster.drawing_difference(unit(fx.pred(spark, d)), unit(fx.gt(spark, d)), 4096)
 
 
-@query("line_of_sight", sql("points patch", """
+@query("line_of_sight", sql("patch marked", """
 SELECT tile_id, src, dst, max(CASE WHEN (px-ax)*(px-ax)+(py-ay)*(py-ay)<=16 OR (px-bx)*(px-bx)+(py-b_y)*(py-b_y)<=16 THEN 0 ELSE coalesce(cost,0) END)<255 AS connected
 FROM (SELECT *, cast(floor(ax+CASE WHEN n=0 THEN 0 ELSE i*1.0::double/n END*(bx-ax)+0.5) as bigint) AS px, cast(floor(ay+CASE WHEN n=0 THEN 0 ELSE i*1.0::double/n END*(b_y-ay)+0.5) as bigint) AS py
   FROM (SELECT *, unnest(range(0, n+1)) AS i FROM (SELECT *, greatest(abs(bx-ax), abs(b_y-ay)) AS n FROM
-   (SELECT a.tile_id%3 AS tile_id, a.pid AS src, b.pid AS dst, a.x%64 AS ax, a.y%48 AS ay, b.x%64 AS bx, b.y%48 AS b_y FROM fx_points a JOIN fx_points b
+   (SELECT a.tile_id, a.pid AS src, b.pid AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM fx_marked a JOIN fx_marked b
     ON a.tile_id=b.tile_id AND a.pid<b.pid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=256))))
 LEFT JOIN (SELECT tile_id AS t2, y AS y2, x AS x2, greatest(CASE WHEN d.px IS NULL THEN 0 ELSE 255 END, 255-road) AS cost FROM
    (SELECT tile_id, y, x, coalesce(cast(floor(round(avg(CASE WHEN band='road' THEN score END),9)*255) as integer),0) AS road FROM fx_patch GROUP BY ALL) m
-   LEFT JOIN (SELECT DISTINCT tile_id%3 AS t, x%64+i AS px, y%48+j AS py FROM fx_points, range(-4,5) a(i), range(-4,5) b(j) WHERE i*i+j*j<=16) d
+   LEFT JOIN (SELECT DISTINCT tile_id AS t, x+i AS px, y+j AS py FROM fx_marked, range(-4,5) a(i), range(-4,5) b(j) WHERE i*i+j*j<=16) d
    ON d.t=m.tile_id AND d.px=m.x AND d.py=m.y) ON t2=tile_id AND y2=py AND x2=px GROUP BY ALL"""))
 def line_of_sight(spark, d):
     from .scalars import byte_masks
 
-    near = radius_pairs(spark, d)
-    at = fx.points(spark, d).select("tile_id", "pid", (F.col("x") % 64).alias("x"), (F.col("y") % 48).alias("y"))
-    p = near.join(at.selectExpr("tile_id", "pid AS a", "x AS ax", "y AS ay"), ["tile_id", "a"]).join(
-        at.selectExpr("tile_id", "pid AS b", "x AS bx", "y AS `by`"), ["tile_id", "b"])
-    p = p.withColumn("tile_id", F.col("tile_id") % 3).withColumnsRenamed({"a": "src", "b": "dst"})
+    at = fx.marked_pixels(spark, d)
+    b = at.select("tile_id", F.col("pid").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    p = spatial.radius_join(at, b, 16.0, right_xy=("bx", "by")).filter("pid < dst").select(
+        "tile_id", F.col("pid").alias("src"), "dst", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
     m = byte_masks(spark, d).withColumn("road", F.coalesce("road", F.lit(0)))
-    cost = raster.cost_field(m, at.withColumn("tile_id", F.col("tile_id") % 3))
-    return raster.line_of_sight(p, cost)
+    return raster.line_of_sight(p, raster.cost_field(m, at))
 
 
-
-
-@query("feature_sampling", sql("points patch", """
+@query("feature_sampling", sql("patch places", """
 SELECT p.tile_id, p.patch_id, p.pid, round(sum(w*v1),12) AS v1, round(sum(w*v2),12) AS v2 FROM (
  SELECT tile_id, patch_id, pid, floor(gx)+i AS fx, floor(gy)+j AS fy, (1-abs(gx-(floor(gx)+i)))*(1-abs(gy-(floor(gy)+j))) AS w FROM (
-  SELECT tile_id%3 AS tile_id, pid%4 AS patch_id, pid, (x%256)/256.0::double*16-0.5 AS gx, (y%256)/256.0::double*16-0.5 AS gy FROM fx_points), range(2) a(i), range(2) b(j)) p
+  SELECT tile_id, patch_id, pid, px/256.0::double*16-0.5 AS gx, py/256.0::double*16-0.5 AS gy FROM fx_places), range(2) a(i), range(2) b(j)) p
 LEFT JOIN (SELECT tile_id, patch_id, x%16 AS fx, y%16 AS fy, max(score) AS v1, min(score) AS v2 FROM fx_patch GROUP BY ALL) f
  ON f.tile_id=p.tile_id AND f.patch_id=p.patch_id AND f.fx=p.fx AND f.fy=p.fy GROUP BY ALL"""))
 def feature_sampling(spark, d):
@@ -173,23 +169,18 @@ def feature_sampling(spark, d):
     return v.select("tile_id", "patch_id", "pid", F.round(F.col("vec")[0], 12).alias("v1"), F.round(F.col("vec")[1], 12).alias("v2"))
 
 
-def _local_points(spark, d):
-    return fx.points(spark, d).selectExpr("tile_id%3 AS tile_id", "pid%4 AS patch_id", "pid", "x%256 AS px", "y%256 AS py")
-
-
 def _sampled(spark, d):
     f = fx.patch_scores(spark, d).groupBy("tile_id", "patch_id", (F.col("x") % 16).cast("int").alias("fx"), (F.col("y") % 16).cast("int").alias("fy")).agg(
         F.array(F.max("score"), F.min("score")).alias("vec"))
-    return raster.sample_features(_local_points(spark, d), f, 256.0, 16)
+    return raster.sample_features(fx.patch_points(spark, d), f, 256.0, 16)
 
 
-@query("pair_features", sql("points", """
+@query("pair_features", sql("patch places", """
 SELECT a.tile_id, a.patch_id, a.pid AS src, b.pid AS dst, [a.px/256.0::double, a.py/256.0::double, b.px/256.0::double, b.py/256.0::double, (b.px-a.px)::double, (b.py-a.py)::double] AS full_vec,
  [a.px/256.0::double, a.py/256.0::double, 0.0::double, 0.0::double, (b.px-a.px)::double, (b.py-a.py)::double] AS no_target
-FROM loc a JOIN loc b ON a.tile_id=b.tile_id AND a.patch_id=b.patch_id AND a.pid<>b.pid AND (a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)<=256""",
-    "loc AS (SELECT tile_id%3 AS tile_id, pid%4 AS patch_id, pid, x%256 AS px, y%256 AS py FROM fx_points)"))
+FROM fx_places a JOIN fx_places b ON a.tile_id=b.tile_id AND a.patch_id=b.patch_id AND a.pid<>b.pid AND (a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)<=256"""))
 def pair_features(spark, d):
-    p = _local_points(spark, d)
+    p = fx.patch_points(spark, d)
     o = p.select("tile_id", "patch_id", F.col("pid").alias("dst"), F.col("px").alias("x2"), F.col("py").alias("y2"))
     pairs = spatial.radius_join(p.withColumnsRenamed({"px": "x", "py": "y"}), o, 16.0, by=("tile_id", "patch_id")).filter("pid <> dst").select(
         "tile_id", "patch_id", F.col("pid").alias("src"), "dst")
