@@ -176,6 +176,61 @@ def node_matches(spark, d):
     return topo.match_nodes(*p, *t).select("tile_id", "node_id", "other_id")
 
 
+NODE_OPTIONS = """ll AS MATERIALIZED (SELECT tile_id, node_id, 41.0::double-y/111111.0::double AS lat, -71.0::double+x/111111.0::double/cos(radians(41.0::double)) AS lon FROM fx_gt_nodes),
+pl AS MATERIALIZED (SELECT tile_id, node_id, 41.0::double-y/111111.0::double AS lat, -71.0::double+x/111111.0::double/cos(radians(41.0::double)) AS lon FROM fx_pred_nodes),
+px AS (SELECT tile_id, node_id, cast(512-trunc((lat-40.98)/((41.0-40.98)/512)) as integer) AS r, cast(trunc((lon-(-71.0))/((-70.97-(-71.0))/640)) as integer) AS c FROM ll),
+lit AS (SELECT DISTINCT tile_id, r, c FROM px WHERE node_id%3<>0 AND r>0 AND r<512 AND c>0 AND c<640),
+tl AS (SELECT ll.* FROM ll JOIN px USING (tile_id, node_id) JOIN lit USING (tile_id, r, c)),
+good AS (SELECT * FROM fx_pred_edges WHERE (src+dst)%5>=1 AND src%7>=1 AND dst%7>=1 AND src%11<>0 AND dst%11<>0),
+da AS (SELECT e.tile_id, e.src AS id, (b.lat-a.lat)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS u, (b.lon-a.lon)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS v FROM fx_pred_edges e
+ JOIN pl a ON a.tile_id=e.tile_id AND a.node_id=e.src JOIN pl b ON b.tile_id=e.tile_id AND b.node_id=e.dst),
+db AS (SELECT e.tile_id, e.src AS id, (b.lat-a.lat)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS u, (b.lon-a.lon)/sqrt((b.lat-a.lat)^2+(b.lon-a.lon)^2) AS v FROM fx_gt_edges e
+ JOIN ll a ON a.tile_id=e.tile_id AND a.node_id=e.src JOIN ll b ON b.tile_id=e.tile_id AND b.node_id=e.dst),
+near AS (SELECT p.tile_id, p.node_id, g.node_id AS other_id, sqrt((p.lat-g.lat)^2+((p.lon-g.lon)*cos(radians(p.lat)))^2) AS d FROM pl p JOIN tl g ON p.tile_id=g.tile_id
+ AND abs(p.lat-g.lat)<=0.0001 AND abs(p.lon-g.lon)<=0.0001 WHERE (p.tile_id, p.node_id) IN (SELECT (tile_id, src) FROM good UNION SELECT (tile_id, dst) FROM good)),
+ok AS (SELECT DISTINCT n.* FROM near n JOIN da ON da.tile_id=n.tile_id AND da.id=n.node_id JOIN db ON db.tile_id=n.tile_id AND db.id=n.other_id
+ WHERE d<=0.0001 AND sqrt((da.u-db.u)^2+(da.v-db.v)^2)<0.1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, node_id ORDER BY d, other_id) AS k FROM ok) WHERE k=1)"""
+
+
+@query("node_matches_with_options", sql("gt both pred", """
+SELECT tile_id, node_id, other_id, round(d,9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, other_id ORDER BY d, node_id) AS j FROM best)
+WHERE j=1""", NODE_OPTIONS))
+def node_matches_with_options(spark, d):
+    """One-way roads, scored nodes and edges, deleted nodes, and true nodes on lit pixels only."""
+    from ..functions.coords import latlon_to_pixel
+
+    tn, te = _latlon(fx.gt(spark, d)[0]), fx.gt(spark, d)[1]
+    pn, pe = _latlon(fx.pred(spark, d)[0]), fx.pred(spark, d)[1]
+    region = tn.select("tile_id").distinct().selectExpr("tile_id", "40.98D AS min_lat", "-71.0D AS min_lon", "41.0D AS max_lat", "-70.97D AS max_lon")
+    r, c = latlon_to_pixel(F.col("lat"), F.col("lon"), F.lit(40.98), F.lit(-71.0), F.lit(41.0), F.lit(-70.97), 512, 640)
+    lit = tn.filter("node_id%3<>0").select("tile_id", r.alias("r"), c.alias("c"))
+    m = topo.match_nodes(
+        pn.withColumn("node_score", F.col("node_id") % 7), pe.withColumn("edge_score", (F.col("src") + F.col("dst")) % 5), tn, te,
+        directed=True, mask=(lit, region, 512, 640), deleted=pn.filter("node_id%11=0"))
+    return m.withColumn("distance", F.round("distance", 9))
+
+
+@query("edge_matches_listed", sql("gt both pred", """
+SELECT tile_id, s0, s1, i, src AS n1, dst AS n2, cast(round(sqrt(p0*p0+p1*p1)*1e12::double) as bigint)//1000 AS d1 FROM (
+ SELECT *, row_number() OVER (PARTITION BY tile_id, s0, s1, i ORDER BY round(dist,12), src, dst) AS j FROM near WHERE dist<0.0001 AND (src+dst)%3<>0) WHERE j=1""", PLACES, MATCH))
+def edge_matches_listed(spark, d):
+    """Edges of a list alone, whatever their direction, with the way from their first end in 1e-9 degrees."""
+    t, p, region = _graphs(spark, d)
+    m = topo.match_edges(topo.starting_points(*t, region), t[0], *p, only=p[1].filter("(src+dst)%3<>0"))
+    return m.select("tile_id", "start.s0", "start.s1", "start.i", "n1", "n2", F.expr("d1 div 1000").alias("d1"))
+
+
+@query("edge_matches_first", sql("gt both pred", """
+SELECT tile_id, s0, s1, i, src AS n1, dst AS n2 FROM (
+ SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY s0, s1, i) AS j FROM hit WHERE k=1) WHERE j=1""", PLACES, MATCH))
+def edge_matches_first(spark, d):
+    """The first matched place of each tile."""
+    t, p, region = _graphs(spark, d)
+    m = topo.match_edges(topo.starting_points(*t, region), t[0], *p, single=True)
+    return m.select("tile_id", "start.s0", "start.s1", "start.i", "n1", "n2")
+
+
 def _walk(name: str, nodes: str, both: str, starts: str) -> str:
     """SQL of all points that a walk over ``both`` drops, a step of 0.00005 and a reach of 0.003 degrees from ``starts``
     (tile_id, start, node_id)."""
