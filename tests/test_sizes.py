@@ -23,3 +23,28 @@ def test_draws_are_not_broadcast(spark):
     draws = weighted_draws(keep(p), 64, 1)
     assert draws.count() == 128
     assert "Broadcast" not in planned(draws)
+
+
+def test_points_of_a_walk_are_not_sent(spark, frame):
+    from wayloom.plans import topo
+
+    n = frame([(i, 41.0 + 0.0004 * i, -71.0) for i in range(6)], "node_id bigint, lat double, lon double")
+    e = frame([(i, i + 1) for i in range(5)] + [(i + 1, i) for i in range(5)], "src bigint, dst bigint")
+    pairs = frame([(i, i) for i in range(6)], "node_id bigint, other_id bigint")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = topo.compare_from_nodes((n, e), (n, e), pairs)
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert {(r["precision"], r["recall"]) for r in out.collect()} == {(1.0, 1.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    deep = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    cuts = [i for i, line in enumerate(lines) if "Generate explode(sequence(_f" in line]
+    assert cuts
+    for i in cuts:
+        level = deep(lines[i])
+        for above in reversed(lines[:i]):
+            if deep(above) < level:
+                level = deep(above)
+                assert "Exchange" not in above

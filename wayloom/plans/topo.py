@@ -204,6 +204,7 @@ def walk_points(
     directed: bool = False,
     tunnels: DataFrame | None = None,
     where: Column | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """Points at multiples of ``step`` along all roads within ``reach`` of each start: (tile_id, start, u, v, o,
     twin, tunnel, lat, lon, dlat, dlon).
@@ -212,7 +213,8 @@ def walk_points(
     edge is sampled from its second end; paths do not come back to its ends. Where two directions meet on an
     edge, each covers its side. ``twins`` doubles points on two-way edges, moved a little, so that two points of
     the other graph can find a partner there. ``tunnel`` marks points on listed edges; ``where`` is a condition
-    on lat and lon.
+    on lat and lon. ``together`` brings a start's stretches of road to one partition before they are cut into points, for
+    callers that join or count points by start: there they meet without being sent or written.
     """
     st, lim = pico(step), pico(reach)
     size = measured(nodes, edges)
@@ -247,22 +249,28 @@ def walk_points(
         F.expr("(dv + w - du - CASE WHEN u < v THEN 0 ELSE 1 END) div 2"))
     last = F.least(meet, F.col("w") - 1, F.lit(lim) - F.col("du"))
     on = on.withColumns({"_f": first, "_l": last}).filter("_f <= _l and w > 0")
-    on = on.withColumn("o", F.explode(F.sequence("_f", "_l", F.lit(st).cast("bigint"))))
-    a = F.col("o") / F.col("w")
-    cols = ["two_way", "tunnel"]
+    cols = ["two_way", "tunnel", "w"]
+    none = F.lit(None).cast("bigint")
+    # one row for each stretch of road, from p to q
     walked = on.select(
-        *KEY, F.col("source.start").alias("start"), "u", "v", "o", *cols,
-        (F.col("vlat") * a + F.col("ulat") * (1 - a)).alias("lat"), (F.col("vlon") * a + F.col("ulon") * (1 - a)).alias("lon"),
-        (F.col("vlat") - F.col("ulat")).alias("dlat"), (F.col("vlon") - F.col("ulon")).alias("dlon"))
+        *KEY, F.col("source.start").alias("start"), "u", "v", *cols, "_f", "_l",
+        F.col("ulat").alias("plat"), F.col("ulon").alias("plon"), F.col("vlat").alias("qlat"), F.col("vlon").alias("qlon"),
+        (F.col("vlat") - F.col("ulat")).alias("dlat"), (F.col("vlon") - F.col("ulon")).alias("dlon"), none.alias("d1"), none.alias("d2"))
     own = starts.select(*KEY, "start", F.col("n1").alias("u"), F.col("n2").alias("v"), "d1", "d2").join(roads, [*KEY, "u", "v"]).filter("w > 0")
-    own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w"), F.lit(st).cast("bigint"))))
-    own = own.filter((F.col("d1") - (F.col("w") - F.col("o")) < lim) | (F.col("d2") - F.col("o") < lim))
     # the offset runs from the second end; points of tunnels on the start's own edge are not marked
     own = own.select(
-        *KEY, "start", "u", "v", "o", "two_way", F.lit(False).alias("tunnel"),
-        (F.col("ulat") * a + F.col("vlat") * (1 - a)).alias("lat"), (F.col("ulon") * a + F.col("vlon") * (1 - a)).alias("lon"),
-        (F.col("vlat") - F.col("ulat")).alias("dlat"), (F.col("vlon") - F.col("ulon")).alias("dlon"))
-    points = walked.unionByName(own)
+        *KEY, "start", "u", "v", "two_way", F.lit(False).alias("tunnel"), "w", F.lit(0).cast("bigint").alias("_f"), F.col("w").alias("_l"),
+        F.col("vlat").alias("plat"), F.col("vlon").alias("plon"), F.col("ulat").alias("qlat"), F.col("ulon").alias("qlon"),
+        (F.col("vlat") - F.col("ulat")).alias("dlat"), (F.col("vlon") - F.col("ulon")).alias("dlon"), "d1", "d2")
+    stretches = walked.unionByName(own)
+    if together:
+        stretches = keep(stretches, "stretches").repartition(*KEY, "start")
+    points = stretches.withColumn("o", F.explode(F.sequence("_f", "_l", F.lit(st).cast("bigint"))))
+    points = points.filter(F.col("d1").isNull() | (F.col("d1") - (F.col("w") - F.col("o")) < lim) | (F.col("d2") - F.col("o") < lim))
+    a = F.col("o") / F.col("w")
+    points = points.select(
+        *KEY, "start", "u", "v", "o", "two_way", "tunnel",
+        (F.col("qlat") * a + F.col("plat") * (1 - a)).alias("lat"), (F.col("qlon") * a + F.col("plon") * (1 - a)).alias("lon"), "dlat", "dlon")
     if twins:
         n = F.explode(F.when(F.col("two_way"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         points = points.withColumn("twin", n)
@@ -275,7 +283,7 @@ def walk_points(
     return points.drop("two_way")
 
 
-def walk_from_nodes(nodes, edges, starts, step, reach, directed: bool = False, scored: bool = False) -> DataFrame:
+def walk_from_nodes(nodes, edges, starts, step, reach, directed: bool = False, scored: bool = False, together: bool = False) -> DataFrame:
     """Walk from nodes (tile_id, start, node_id); ``scored`` uses only nodes and edges with a score above zero."""
     if scored:
         edges = edges.filter("edge_score > 0")
@@ -284,7 +292,7 @@ def walk_from_nodes(nodes, edges, starts, step, reach, directed: bool = False, s
         edges = enter.join(good.withColumnRenamed("node_id", "src"), [*KEY, "src"], "left_semi")
     zero = F.lit(0).cast("bigint")
     s = starts.select(*KEY, "start", F.col("node_id").alias("n1"), F.col("node_id").alias("n2"), zero.alias("d1"), zero.alias("d2"))
-    return walk_points(nodes, edges, s, step, reach, directed=directed)
+    return walk_points(nodes, edges, s, step, reach, directed=directed, together=together)
 
 
 def numbered(points: DataFrame) -> DataFrame:
@@ -498,16 +506,17 @@ def compare_from_nodes(
     one step farther.
     """
     p = pairs.select(*KEY, F.struct("node_id", "other_id").alias("start"), "node_id", "other_id")
-    marbles = keep(numbered(walk_from_nodes(*proposal, p.select(*KEY, "start", "node_id"), step, reach)), "marbles")
-    holes = keep(numbered(walk_from_nodes(
-        *truth, p.select(*KEY, "start", F.col("other_id").alias("node_id")), step, reach + (step if longer_holes else 0.0))), "holes")
-    m = marbles.select(*KEY, "start", F.col("n").alias("m"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
-    h = holes.select(*KEY, "start", F.col("n").alias("h"), "lat", "lon")
-    rr = threshold * 1.4
-    box = (F.col("lat") - rr, F.col("lon") - rr, F.col("lat") + rr, F.col("lon") + rr)
-    near = box_join(m, h, (F.col("mlat"), F.col("mlon")), box, 2 * rr, by=(*KEY, "start"), levels=False).filter(
-        degree_distance(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon")) < threshold)
-    hit = near.groupBy(*KEY, "start").agg(F.count_distinct("m").alias("mm"), F.count_distinct("h").alias("hh"))
+    marbles = walk_from_nodes(*proposal, p.select(*KEY, "start", "node_id"), step, reach, together=True)
+    holes = walk_from_nodes(
+        *truth, p.select(*KEY, "start", F.col("other_id").alias("node_id")), step, reach + (step if longer_holes else 0.0), together=True)
+    at = F.struct("u", "v", "o")
+    m = marbles.select(*KEY, "start", at.alias("m"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    h = holes.select(*KEY, "start", at.alias("h"), "lat", "lon")
+    far = degree_distance(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon"))
+    # a start's points are few: all are compared where they lie, as cells would send them anew
+    near = m.join(h, [*KEY, "start"]).filter((F.abs(F.col("mlat") - F.col("lat")) < threshold) & (far < threshold))
+    # sets of a start's points, bounded by its reach
+    hit = near.groupBy(*KEY, "start").agg(F.size(F.collect_set("m")).alias("mm"), F.size(F.collect_set("h")).alias("hh"))
     nm = marbles.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("marbles"))
     nh = holes.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("holes"))
     zero = lambda c: F.coalesce(c, F.lit(0))
