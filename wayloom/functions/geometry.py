@@ -52,5 +52,7 @@ def ray_hit(base_x, base_y, dir_x, dir_y, ax, ay, bx, by) -> Column:
     side_a, side_b = _turn(base_x, base_y, tip_x, tip_y, ax, ay), _turn(base_x, base_y, tip_x, tip_y, bx, by)
     t = away / nears
     meets = (t >= 0) & (F.least(side_a, side_b) <= 0) & (F.greatest(side_a, side_b) >= 0)
+    # one division at the end: with whole-number coordinates the place is rounded once only
+    at = lambda base, way: (base * nears + away * way) / nears
     return F.when(meets, F.struct(
-        (base_x + t * dir_x).alias("x"), (base_y + t * dir_y).alias("y"), (t * F.hypot(dir_x * 1.0, dir_y * 1.0)).alias("reach")))
+        at(base_x, dir_x).alias("x"), at(base_y, dir_y).alias("y"), (t * F.hypot(dir_x * 1.0, dir_y * 1.0)).alias("reach")))
