@@ -288,3 +288,31 @@ def test_columns_of_the_caller(spark):
     assert near.columns == docs.columns and {r._drop for r in near.collect()} == {"_drop-0", "_drop-2", "_drop-3", "_drop-4"}
     clean = without_contaminated(docs, items)  # the item and what holds most of it; a clean row without an id stays
     assert clean.columns == docs.columns and {r._bad for r in clean.collect()} == {"_bad-2", "_bad-4"}
+
+
+def test_shingles_of_documents_meet_items_where_they_lie(spark, docs, monkeypatch):
+    """Items and ids met are few: however their size is guessed, no shingle and no text of a document is sent for them."""
+    from wayloom.llm import decontaminate
+    from wayloom.session import few, keep
+
+    words = [f"w{k}" for k in range(60)]
+    table = docs([(k, " ".join(words[k:] + [f"own{k}"])) for k in range(12)] + [(20, None)])
+    items = spark.createDataFrame([(k, " ".join(words[k:k + 20])) for k in range(0, 40, 5)], "item_id bigint, text string")
+    plans = {}
+
+    def watched(df, name="state"):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(decontaminate, "keep", watched)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clean = decontaminate.without_contaminated(table, items)
+        assert "BroadcastHashJoin" in plans["met"] and "SortMergeJoin" not in plans["met"]
+        assert "SortMergeJoin" not in clean._jdf.queryExecution().sparkPlan().toString()
+        assert {r.doc_id for r in clean.collect()} == {20}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    kept = keep(spark.range(10))
+    assert "broadcast" not in few(kept, rows=9)._jdf.queryExecution().logical().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import few, keep
 
 WIDTH = 5
 
@@ -53,17 +53,18 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, id_col
 
     Null or empty texts hold nothing and are held by nothing; an item of fewer than ``width`` words is one shingle, held by
     documents of just these words. Rows with equal document ids count as one document, also those with a null id; items
-    with null ids are passed over, and repeated ones count once. Whether a side is broadcast is left to Spark's size limit.
+    with null ids are passed over, and repeated ones count once. Shingles of items and ids of documents met are broadcast as
+    long as they are ``session.FEW`` rows, so that no shingle of a document is shuffled; beyond that Spark chooses.
     """
     sets = keep(item_sets(items, item_id, item_text, width), "items")
     size_class = F.pow(2.0, F.ceil(F.log2("n"))).cast("int")
     missing = size_class - F.ceil(size_class * F.lit(percent) / 100).cast("int")
     probes = keep(sets.select("set_id", F.explode(F.slice("hs", 1, missing + 1)).alias("h")), "probes")
-    met = keep(shingle_rows(docs, id_col, text_col, width).join(probes, "h").select("id", "set_id").distinct(), "met")
+    met = keep(shingle_rows(docs, id_col, text_col, width).join(few(probes), "h").select("id", "set_id").distinct(), "met")
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    near = near.join(met.select(F.col("id").alias("_id")).distinct(), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    full = sets.select("set_id", F.explode("hs").alias("h"))
-    held = shingle_rows(near, "id", "text", width).join(full, "h").groupBy("id", "set_id").agg(F.countDistinct("h").alias("found"))
+    near = near.join(few(met, met.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    full = keep(sets.select("set_id", F.explode("hs").alias("h")), "shingles")
+    held = shingle_rows(near, "id", "text", width).join(few(full), "h").groupBy("id", "set_id").agg(F.countDistinct("h").alias("found"))
     pairs = held.join(met.withColumnRenamed("id", "_id").withColumnRenamed("set_id", "_set"),
                       F.col("id").eqNullSafe(F.col("_id")) & (F.col("set_id") == F.col("_set")), "left_semi")
     return pairs.join(sets.select("set_id", "copies", "n"), "set_id").filter(F.col("found") * 100 >= F.col("n") * percent).select(
@@ -86,5 +87,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, i
     itself. Columns stay as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(
         F.col(id_col).alias("i"), F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).alias("t")).alias("id"), F.col(text_col).alias("text"))
-    bad = contained_items(rows, items, percent, "id", "text", **names).select(F.col("id").alias("bad")).distinct()
-    return rows.join(bad, F.col("id") == F.col("bad"), "left_anti").select("row.*")
+    bad = keep(contained_items(rows, items, percent, "id", "text", **names).select(F.col("id").alias("bad")).distinct(), "bad")
+    return rows.join(few(bad), F.col("id") == F.col("bad"), "left_anti").select("row.*")
