@@ -97,3 +97,31 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert shard.count() > 4 and shard.select("dict_sha256").distinct().count() == 1
     token_files.write_token_files(docs([]), str(tmp_path / "none"), P.path("word_bpe_49k.json"), end_id=1)
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_names_of_chunks_are_taken_in_one_go(monkeypatch):
+    """The different chunks of a batch become strings without an Arrow scalar for each."""
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    import pyarrow.compute as pc
+
+    from wayloom.llm import token_files
+
+    class Names:
+        def __init__(self, names):
+            self.to_numpy = names.to_numpy
+
+        def to_pylist(self):
+            raise AssertionError("a scalar for each name")
+
+    def split(texts):
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        marked = SimpleNamespace(dictionary=Names(coded.dictionary), indices=coded.indices)
+        return SimpleNamespace(offsets=chunks.offsets, flatten=lambda: SimpleNamespace(dictionary_encode=lambda: marked))
+
+    monkeypatch.setattr(token_files, "pc", SimpleNamespace(ascii_split_whitespace=split))
+    coder = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Zw\u00f6lf Boxk\u00e4mpfer, 12 mal", "", "na\u00efve caf\u00e9s x\x00y", "\u6771\u4eac cafe\u0301", "a a a b"]
+    assert [a.tolist() for a in coder.many(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

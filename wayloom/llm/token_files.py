@@ -99,7 +99,7 @@ class WordIds:
         known, older = self.known[k], self.older[k]
         chunks = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts] if k == 0 else texts, pa.large_string()))
         coded = chunks.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes an Arrow scalar of each
         fresh = set(names).difference(known)
         again = fresh.intersection(older)
         known.update(zip(again, map(older.__getitem__, again)))
