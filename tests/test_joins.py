@@ -107,3 +107,23 @@ def test_empty_sides(frame):
     lb, rb = ([F.col(s + c) for c in ("x0", "y0", "x1", "y1")] for s in "ab")
     assert spatial.box_join(a, b, lb, rb, 4.0).count() == 0
     assert spatial.box_join(b, a, rb, lb, 4.0).count() == 0
+
+
+def test_crowded_neighbours_are_looked_for_nearby_first(spark, frame, monkeypatch):
+    from wayloom.operators import spatial
+
+    pts = [(i, float(i % 20), float(i // 20)) for i in range(400)] + [(1000, 300.0, 300.0), (1001, 330.0, 300.0), (1002, 5.0, 5.0)]
+    p = frame(pts, "pid bigint, x double, y double")
+    rows = lambda: {tuple(r) for r in spatial.nearest_neighbours(p, 4, 48.0).collect()}
+    want = rows()
+    looked = []
+    join = spatial.radius_join
+
+    def counted(left, right, radius, **more):
+        looked.append((radius, left.count()))
+        return join(left, right, radius, **more)
+
+    monkeypatch.setattr(spatial, "radius_join", counted)
+    monkeypatch.setattr(spatial, "AT_ONCE", 0)
+    assert rows() == want
+    assert dict(looked)[48.0] == 2  # the two that lie alone

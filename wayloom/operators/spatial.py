@@ -8,6 +8,7 @@ Boxes of very different sizes lie in grids of several levels, so a long box fill
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,12 @@ def point_in_box_join(points: DataFrame, boxes: DataFrame, cell: float, by: Sequ
     return pairs.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
 
 
+#: Shares of the radius at which nearest neighbours are looked for first.
+SHORT = (1 / 32, 1 / 8, 1 / 3)
+#: So few points are looked for at the radius at once.
+AT_ONCE = 20_000
+
+
 def nearest_neighbours(
     points: DataFrame,
     k: int,
@@ -200,27 +207,36 @@ def nearest_neighbours(
     """The k nearest other points less than ``radius`` away: (by, src, dst, rank, distance), ties by id.
 
     Points that share a location share their neighbours, so the search runs once per location, against at most
-    k+1 ids of each location; a big pile of copies costs no more than k+1 points.
+    k+1 ids of each location; a big pile of copies costs no more than k+1 points. Locations of many points are searched at
+    ``SHORT`` of the radius first: one that finds k+1 points there has all it needs, and only the others look as far as ``radius``. So the
+    pairs follow the points and not the square of how closely they lie.
     """
     src = sources if sources is not None else points
     here = Window.partitionBy(*by, "x", "y").orderBy(id_col)
-    targets = (
+    targets = keep(
         points.select(*by, "x", "y", id_col)
         .withColumn("_n", F.row_number().over(here))
         .filter(F.col("_n") <= k + 1)
-    )
-    places = src.select(*by, "x", "y").distinct()
-    found = radius_join(
-        places, targets.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(id_col).alias("dst")),
-        radius, by=by, strict=True,
-    )
+        .select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(id_col).alias("dst")),
+        "targets")
     order = Window.partitionBy(*by, "x", "y").orderBy("d2", "dst")
-    lists = (
-        found.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= k + 1)
-        .groupBy(*by, "x", "y")
-        .agg(F.sort_array(F.collect_list(F.struct("d2", "dst"))).alias("_near"))
-    )
+
+    def within(places: DataFrame, far: float) -> DataFrame:
+        found = radius_join(places, targets, far, by=by, strict=True)
+        return (
+            found.withColumn("_n", F.row_number().over(order))
+            .filter(F.col("_n") <= k + 1)
+            .groupBy(*by, "x", "y")
+            .agg(F.sort_array(F.collect_list(F.struct("d2", "dst"))).alias("_near"))
+        )
+
+    places = src.select(*by, "x", "y").distinct()
+    settled: list[DataFrame] = []
+    for share in SHORT if targets.count() > AT_ONCE else ():
+        got = keep(within(places, radius * share).filter(F.size("_near") > k), "near")
+        settled.append(got)
+        places = keep(places.join(got.select(*by, "x", "y"), [*by, "x", "y"], "left_anti"), "places")
+    lists = reduce(DataFrame.unionByName, [*settled, within(places, radius)])
     own = src.select(*by, "x", "y", F.col(id_col).alias("src"))
     mine = F.slice(F.filter("_near", lambda e: e["dst"] != F.col("src")), 1, k)
     return (
