@@ -1,5 +1,7 @@
 """Tables that were written down are not taken for as small as their files; steps that grow rows stay off the driver."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from wayloom.operators.sampling import weighted_draws
@@ -48,3 +50,21 @@ def test_points_of_a_walk_are_not_sent(spark, frame):
             if deep(above) < level:
                 level = deep(above)
                 assert "Exchange" not in above
+
+
+def test_pairs_of_control_points_are_not_sent(spark, frame):
+    from wayloom import catalog
+    from wayloom.plans import apls
+
+    catalog.load_all()
+    plan = catalog.QUERIES["apls_pair_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"Join (\[[^]]*\])", plan)
+    assert keys and not any("source" in k or "target" in k or "po#" in k for k in keys), keys
+
+    points = frame([(i,) for i in range(5)], "node_id bigint")
+    snapped = frame([(i, i + 10) for i in range(4)], "node_id bigint, other bigint")
+    true = frame([(i, j, 15_000 + 100 * i + j) for i in range(4) for j in range(4) if i != j], "source bigint, target bigint, d bigint")
+    other = frame([(i + 10, j + 10, 14_000 + 90 * i + j) for i in range(4) for j in range(4) if i != j and i + j != 3], "source bigint, target bigint, d bigint")
+    both = frame([(i, j, 15_000 + 100 * i + j, 14_000 + 90 * i + j if i + j != 3 else None) for i in range(4) for j in range(4) if i != j],
+                 "source bigint, target bigint, d1 bigint, d2 bigint")
+    assert apls.pair_score(points, snapped, true, other).collect() == apls.score_of_pairs(points, snapped, both).collect()
