@@ -58,3 +58,16 @@ def test_location_ids_round_halves_up(spark):
     v = [0.5, -0.5, 0.49999999999999994, -0.49999999999999994, 1.5, 2.5, -2.5, 410000000.5, 410000000.49999994, -710000000.5, -710000000.4999999, 0.0]
     df = spark.createDataFrame([(x,) for x in v], "v double")
     assert df.select(_half_up(F.col("v")).alias("a")).collect() == df.select(F.round("v").cast("bigint").alias("a")).collect()
+
+
+def test_pairs_of_paths_are_grouped_once(spark, frame):
+    from wayloom.operators import paths
+
+    e = frame([(i, i + 1, 100 + i) for i in range(8)] + [(3, 20, 70), (20, 6, 50)], "src bigint, dst bigint, len bigint")
+    ends = frame([(0, 100), (5, 101), (20, 102), (7, 103)], "node_id bigint, name bigint")
+    out = paths.shortest_paths(e, ends)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Aggregate [" in line and "source#" in line and "target#" in line for line in plan) == 1
+    plain = paths.shortest_paths(e, ends.select("tile_id", "node_id"))
+    name = {0: 100, 5: 101, 20: 102, 7: 103}
+    assert {(r.source, r.target, r.d) for r in out.collect()} == {(name[r.source], name[r.target], r.d) for r in plain.collect()}
