@@ -68,3 +68,21 @@ def test_pairs_of_control_points_are_not_sent(spark, frame):
     both = frame([(i, j, 15_000 + 100 * i + j, 14_000 + 90 * i + j if i + j != 3 else None) for i in range(4) for j in range(4) if i != j],
                  "source bigint, target bigint, d1 bigint, d2 bigint")
     assert apls.pair_score(points, snapped, true, other).collect() == apls.score_of_pairs(points, snapped, both).collect()
+
+
+def test_short_segments_meet_few_others(frame, monkeypatch):
+    from wayloom.operators import graph
+
+    met = []
+    joined = graph.box_join
+
+    def counted(*args, **kwargs):
+        out = joined(*args, **kwargs)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "box_join", counted)
+    at = [((i * 53) % 700, (i * 91) % 650) for i in range(600)]
+    n = frame([r for i, (x, y) in enumerate(at) for r in ((2 * i, x, y), (2 * i + 1, x + i % 41 - 20, y + i % 37 - 18))], "node_id bigint, x int, y int")
+    graph.crossovers(n, frame([(2 * i, 2 * i + 1) for i in range(600)], "src bigint, dst bigint"))
+    assert 0 < met[0] < 600 * 20, met
