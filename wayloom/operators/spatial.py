@@ -7,10 +7,11 @@ Boxes of very different sizes lie in grids of several levels, so a long box fill
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import keep
@@ -65,19 +66,22 @@ def slice_hot_keys(left, right, keys: Sequence[str], rows_per_slice: int = ROWS_
 
 def sliced_join(
     left, right, keys: Sequence[str], how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE, rows: int | None = None,
-    both: bool = True,
+    both: bool = True, parts: int | None = None,
 ) -> DataFrame:
     """Equi-join in which keys crowded on either side are dealt over several tasks (see ``slice_hot_keys``).
 
     Joins other than inner ones cut the left side alone; those that keep rows of the right without partners are refused.
-    ``rows`` is the known number of left rows, if any: no more than one slice's worth cannot crowd a key.
+    ``rows`` is the known number of left rows, if any: no more than one slice's worth cannot crowd a key. ``parts`` is the number
+    of tasks of a join that makes many rows of few: by the size of its input Spark would pack it into one or two.
     """
+    spread = lambda df, on: df if parts is None else df.repartition(parts, *on)
     if how.replace("outer", "").strip("_") in ("right", "full", ""):
         raise ValueError(f"{how}: turn the sides round, or join without slices")
     if rows is not None and rows <= rows_per_slice:
-        return left.join(right, list(keys), how)
+        return spread(left, keys).join(spread(right, keys), list(keys), how)
     left, right = slice_hot_keys(left, right, keys, rows_per_slice, both and how == "inner")
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
+    on = [*keys, "_slice"]
+    return spread(left, on).join(spread(right, on), on, how).drop("_slice")
 
 
 def _cells(df, name: str, low: Column, high: Column | None, size: Column) -> DataFrame:
@@ -121,6 +125,7 @@ def box_join(
     by: Sequence[str] = KEY,
     rows_per_slice: int = ROWS_PER_SLICE,
     levels: bool = True,
+    parts: int | None = None,
 ) -> DataFrame:
     """Candidate pairs of rows whose boxes share a grid cell, each pair once.
 
@@ -130,7 +135,7 @@ def box_join(
 
     Each box lies on the level whose cells are at least as long as itself and is looked for on every level in use, so it
     fills at most four cells a level however long it is. ``levels=False`` is for boxes known to be no longer than a few
-    cells: one grid, and no look at the sizes.
+    cells: one grid, and no look at the sizes. ``parts``: see ``sliced_join``.
     """
     point = len(left_box) == 2
     lx, ly = left_box[0], left_box[1]
@@ -154,7 +159,7 @@ def box_join(
             of_l, of_r = _levels(l), _levels(r)
             l, r = _meetings(l, left_box, cell, of_r, True), _meetings(r, right_box, cell, of_l, False)
             on.append("_kind")
-    pairs = sliced_join(l, r, on, rows_per_slice=rows_per_slice)
+    pairs = sliced_join(l, r, on, rows_per_slice=rows_per_slice, parts=parts)
     if not point:
         # boxes that share several cells meet in the one that holds the corner of their overlap
         corner_x = F.floor(F.greatest(lx, right_box[0]) / size).cast("bigint")
@@ -172,12 +177,14 @@ def radius_join(
     by: Sequence[str] = KEY,
     strict: bool = False,
     cell: float | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Pairs at most ``radius`` apart (less than ``radius`` when ``strict``), with their squared distance ``d2``."""
+    """Pairs at most ``radius`` apart (less than ``radius`` when ``strict``), with their squared distance ``d2``.
+    ``parts``: see ``sliced_join``."""
     lx, ly, rx, ry = F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])
     pad = radius * (1 + 1e-9)
     d2 = (lx - rx) * (lx - rx) + (ly - ry) * (ly - ry)
-    near = box_join(left, right, (lx, ly), (rx - pad, ry - pad, rx + pad, ry + pad), cell or 2 * radius, by, levels=False)
+    near = box_join(left, right, (lx, ly), (rx - pad, ry - pad, rx + pad, ry + pad), cell or 2 * radius, by, levels=False, parts=parts)
     near = near.withColumn("d2", d2.cast("double"))
     limit = F.lit(float(radius) * float(radius))
     return near.filter(F.col("d2") < limit if strict else F.col("d2") <= limit)
@@ -190,10 +197,22 @@ def point_in_box_join(points: DataFrame, boxes: DataFrame, cell: float, by: Sequ
     return pairs.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
 
 
-#: Shares of the radius at which nearest neighbours are looked for first.
-SHORT = (1 / 32, 1 / 8, 1 / 3)
 #: So few points are looked for at the radius at once.
-AT_ONCE = 20_000
+AT_ONCE = 2_000
+#: Places that one task looks around at once; they find some tens of points each.
+PLACES_A_TASK = 10_000
+
+
+def parts_of_places(spark: SparkSession, n: int) -> int:
+    """Tasks of a search around ``n`` places, so that a task holds the pairs of about as many whatever the data."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PLACES_A_TASK))
+
+
+def shares_of(n: int) -> list[float]:
+    """Shares of a radius at which ``n`` points are looked for before those who found too little look as far as the radius: each
+    the half of the next, the first such that as many points as ``AT_ONCE`` lie within it when n points fill the same ground."""
+    halvings = math.ceil(math.log(n / max(1, AT_ONCE), 4)) if n > AT_ONCE else 0
+    return [0.5 ** h for h in range(halvings, 0, -1)]
 
 
 def nearest_neighbours(
@@ -208,8 +227,9 @@ def nearest_neighbours(
 
     Points that share a location share their neighbours, so the search runs once per location, against at most
     k+1 ids of each location; a big pile of copies costs no more than k+1 points. Locations of many points are searched at
-    ``SHORT`` of the radius first: one that finds k+1 points there has all it needs, and only the others look as far as ``radius``. So the
-    pairs follow the points and not the square of how closely they lie.
+    shares of the radius first (see ``shares_of``): one that finds k+1 points there has all it needs, and only the others look
+    as far as ``radius``. Each share is the half of the next, so one that goes on meets some four times k points and the pairs
+    follow the points, not the square of how closely they lie. A task looks around about ``PLACES_A_TASK`` locations.
     """
     src = sources if sources is not None else points
     here = Window.partitionBy(*by, "x", "y").orderBy(id_col)
@@ -220,9 +240,11 @@ def nearest_neighbours(
         .select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(id_col).alias("dst")),
         "targets")
     order = Window.partitionBy(*by, "x", "y").orderBy("d2", "dst")
+    many = targets.count()
+    parts = parts_of_places(points.sparkSession, many) if many > AT_ONCE else None
 
     def within(places: DataFrame, far: float) -> DataFrame:
-        found = radius_join(places, targets, far, by=by, strict=True)
+        found = radius_join(places, targets, far, by=by, strict=True, parts=parts)
         return (
             found.withColumn("_n", F.row_number().over(order))
             .filter(F.col("_n") <= k + 1)
@@ -232,7 +254,7 @@ def nearest_neighbours(
 
     places = src.select(*by, "x", "y").distinct()
     settled: list[DataFrame] = []
-    for share in SHORT if targets.count() > AT_ONCE else ():
+    for share in shares_of(many):
         got = keep(within(places, radius * share).filter(F.size("_near") > k), "near")
         settled.append(got)
         places = keep(places.join(got.select(*by, "x", "y"), [*by, "x", "y"], "left_anti"), "places")
