@@ -50,9 +50,8 @@ scan(tile_id, n, ua, ub) AS (SELECT DISTINCT tile_id, 0::bigint, []::bigint[], [
 SELECT s.tile_id, unnest(ua) AS a, unnest(ub) AS b FROM scan s WHERE n=(SELECT max(n) FROM ranked r WHERE r.tile_id=s.tile_id)""", PAIRS16))
 def cheapest_matching(spark, d):
     p = fx.points(spark, d)
-    o = p.filter("pid % 2 = 1").select("tile_id", F.col("pid").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = spatial.radius_join(p.filter("pid % 2 = 0").withColumnRenamed("pid", "a"), o, 40.0).withColumnRenamed("d2", "cost")
-    return select.cheapest_matching(near.select("tile_id", "a", "b", "cost")).select("tile_id", "a", "b")
+    return select.nearest_matching(
+        p.filter("pid % 2 = 0").withColumnRenamed("pid", "a"), p.filter("pid % 2 = 1").withColumnRenamed("pid", "b"), 40.0).select("tile_id", "a", "b")
 
 
 @query("triage_filter", sql("triage", "SELECT img_id, round(smd,9) AS smd FROM fx_triage WHERE smd>0.05"))
