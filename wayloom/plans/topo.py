@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import angle_gap, degree_distance, direction_distance, inside_margin, latlon_to_pixel, unit_direction
-from ..functions.geometry import point_segment_distance_latlon
+from ..functions.geometry import point_segment_distance
 from ..operators.chains import chains
 from ..operators.graph import symmetric, with_ends
 from ..operators.paths import position_distances, spread
@@ -115,21 +115,30 @@ def match_edges(
     p1 = start_nodes.select(*KEY, F.col("node_id").alias("n1"), F.col("lat").alias("lat3"), F.col("lon").alias("lon3"))
     p2 = start_nodes.select(*KEY, F.col("node_id").alias("n2"), F.col("lat").alias("lat4"), F.col("lon").alias("lon4"))
     s = starts.select(*KEY, "start", "lat", "lon", "n1", "n2").join(p1, [*KEY, "n1"]).join(p2, [*KEY, "n2"]).drop("n1", "n2")
+    # what hangs on one side alone is worked out before pairs are made: angles are dear, and a cell has many pairs
+    way = unit_direction(F.col("lat4") - F.col("lat3"), F.col("lon4") - F.col("lon3"))
+    s = s.select(*KEY, "start", "lat", "lon", way[0].alias("v0"), way[1].alias("v1"))
+    k = F.cos(F.radians("ax"))
+    way = unit_direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    e = e.withColumns({"ek": k, "ex": F.col("bx") - F.col("ax"), "ey": (F.col("by") - F.col("ay")) * k, "u0": way[0], "u1": way[1]})
     pad = 2 * threshold
     box = (F.least("ax", "bx") - pad, F.least("ay", "by") - pad, F.greatest("ax", "bx") + pad, F.greatest("ay", "by") + pad)
     near = box_join(s, e, (F.col("lat"), F.col("lon")), box, max(8 * threshold, 0.0005))
-    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
-    dist = point_segment_distance_latlon(*ends, F.col("lat"), F.col("lon"))
-    near = near.withColumn("dist", dist).filter(F.col("dist") < threshold)
+    # a cell holds many edges for each one whose box has the start in it
+    near = near.filter(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
+    # the few that are left go to their start first: in one piece with the join, distances are too much code to be compiled
+    near = near.select(
+        *KEY, "start", "lat", "lon", "src", "dst", "ax", "ay", "bx", "by", "ek", "ex", "ey", "u0", "u1", "v0", "v1").repartition(*KEY, "start")
+    zero = F.lit(0.0)
+    dist = point_segment_distance(zero, zero, F.col("ex"), F.col("ey"), F.col("lat") - F.col("ax"), (F.col("lon") - F.col("ay")) * F.col("ek"))
+    fits = dist < threshold
     if only is None:
-        gap = angle_gap(
-            unit_direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")),
-            unit_direction(F.col("lat4") - F.col("lat3"), F.col("lon4") - F.col("lon3")))
-        near = near.filter(gap < EDGE_GAP)
+        fits = fits & (angle_gap((F.col("u0"), F.col("u1")), (F.col("v0"), F.col("v1"))) < EDGE_GAP)
     length = lambda u, v: F.round(degree_distance(F.col(u), F.col(v), F.col("lat"), F.col("lon")) * PICO).cast("bigint")
-    pick = near.select(*KEY, "start", F.struct(
-        F.round("dist", 12).alias("dist"), "src", "dst", "lat", "lon", length("ax", "ay").alias("d1"), length("bx", "by").alias("d2")).alias("_m"))
-    best = pick.groupBy(*KEY, "start").agg(F.min("_m").alias("_m"))
+    # a filter would be moved into the join again
+    pick = near.select(*KEY, "start", F.when(fits, F.struct(
+        F.round(dist, 12).alias("dist"), "src", "dst", "lat", "lon", length("ax", "ay").alias("d1"), length("bx", "by").alias("d2"))).alias("_m"))
+    best = pick.groupBy(*KEY, "start").agg(F.min("_m").alias("_m")).filter("_m is not null")
     best = best.select(*KEY, "start", "_m.lat", "_m.lon", F.col("_m.src").alias("n1"), F.col("_m.dst").alias("n2"), "_m.d1", "_m.d2")
     if single:
         first = best.groupBy(*KEY).agg(F.min("start").alias("start"))
