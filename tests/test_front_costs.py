@@ -66,3 +66,24 @@ def test_a_hop_does_not_read_all_stops(spark, frame, monkeypatch, listed):
         assert plans and not any("/stops-" in p for p in plans)
         fronts = [len({f.split("/front-")[1][:32] for f in p.split() if "/front-" in f}) for p in plans]
         assert max(fronts) <= 2, fronts
+
+
+def test_written_edges_are_not_written_again(frame, monkeypatch):
+    from wayloom.session import keep
+
+    names = []
+    written = graph.keep
+
+    def noted(df, name="state"):
+        names.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(graph, "keep", noted)
+    rows = [(0, 1), (1, 2), (2, 1), (2, 3), (3, 3), (1, 2), (3, 4), (1, 5)]
+    edges, start = frame(rows, "src bigint, dst bigint"), frame([(0, 0), (9, 3)], "source bigint, node bigint")
+    get = lambda e: sorted((r.source, r.node, r.depth) for r in graph.reach(e, start, 3).collect())
+    kept = keep(edges)
+    assert get(kept) == get(edges) == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 5, 2), (9, 0, 3), (9, 1, 2), (9, 2, 1), (9, 3, 0), (9, 4, 1), (9, 5, 3)]
+    assert names.count("links") == 1
+    flat = graph.undirected(edges)
+    assert sorted(map(tuple, graph.degrees(flat, once=True).collect())) == sorted(map(tuple, graph.degrees(edges).collect()))
