@@ -7,6 +7,8 @@ dst)). Lengths along roads are whole numbers of 1e-12 degree, so sums do not dep
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -295,7 +297,7 @@ def walk_points(
     return points.drop("two_way")
 
 
-def walk_from_nodes(nodes, edges, starts, step, reach, directed: bool = False, scored: bool = False, together: bool = False) -> DataFrame:
+def walk_from_nodes(nodes, edges, starts, step, reach, directed: bool = False, scored: bool = False, together: bool | int = False) -> DataFrame:
     """Walk from nodes (tile_id, start, node_id); ``scored`` uses only nodes and edges with a score above zero."""
     if scored:
         edges = edges.filter("edge_score > 0")
@@ -552,23 +554,23 @@ def compare_from_nodes(
     ``pairs``: (tile_id, node_id, other_id), a proposal node with its true node. ``longer_holes`` walks the truth
     one step farther.
     """
-    p = pairs.select(*KEY, F.struct("node_id", "other_id").alias("start"), "node_id", "other_id")
-    marbles = walk_from_nodes(*proposal, p.select(*KEY, "start", "node_id"), step, reach, together=True)
+    p = keep(pairs.select(*KEY, F.struct("node_id", "other_id").alias("start"), "node_id", "other_id").distinct(), "node-pairs")
+    parts = parts_of_starts(p)
+    marbles = walk_from_nodes(*proposal, p.select(*KEY, "start", "node_id"), step, reach, together=parts)
     holes = walk_from_nodes(
-        *truth, p.select(*KEY, "start", F.col("other_id").alias("node_id")), step, reach + (step if longer_holes else 0.0), together=True)
-    at = F.struct("u", "v", "o")
-    m = marbles.select(*KEY, "start", at.alias("m"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
-    h = holes.select(*KEY, "start", at.alias("h"), "lat", "lon")
+        *truth, p.select(*KEY, "start", F.col("other_id").alias("node_id")), step, reach + (step if longer_holes else 0.0), together=parts)
+    m = marbles.select(*KEY, "start", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    h = holes.select(*KEY, "start", "lat", "lon")
     far = degree_distance(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon"))
-    # a start's points are few: all are compared where they lie, as cells would send them anew
-    near = m.join(h, [*KEY, "start"]).filter((F.abs(F.col("mlat") - F.col("lat")) < threshold) & (far < threshold))
-    # sets of a start's points, bounded by its reach
-    hit = near.groupBy(*KEY, "start").agg(F.size(F.collect_set("m")).alias("mm"), F.size(F.collect_set("h")).alias("hh"))
-    nm = marbles.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("marbles"))
-    nh = holes.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("holes"))
+    on = [m[k] == h[k] for k in (*KEY, "start")]
+    # a start's points are few: all are compared where they lie, as cells would send them anew. A point counts once some other
+    # is near, so no pairs are made; no walk has a point twice
+    near = reduce(Column.__and__, on) & (F.abs(F.col("mlat") - F.col("lat")) < threshold) & (far < threshold)
+    count = lambda df, name: df.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias(name))
+    out = count(marbles, "marbles").join(count(holes, "holes"), [*KEY, "start"])
+    out = out.join(count(m.join(h, near, "left_semi"), "mm"), [*KEY, "start"], "left").join(count(h.join(m, near, "left_semi"), "hh"), [*KEY, "start"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return nm.join(nh, [*KEY, "start"]).join(hit, [*KEY, "start"], "left").select(
-        *KEY, "start", (zero("mm") / F.col("marbles")).alias("precision"), (zero("hh") / F.col("holes")).alias("recall"))
+    return out.select(*KEY, "start", (zero("mm") / F.col("marbles")).alias("precision"), (zero("hh") / F.col("holes")).alias("recall"))
 
 
 def random_node_pairs(truth_nodes: DataFrame, nodes: DataFrame, edges: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
