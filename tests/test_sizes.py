@@ -86,3 +86,16 @@ def test_short_segments_meet_few_others(frame, monkeypatch):
     n = frame([r for i, (x, y) in enumerate(at) for r in ((2 * i, x, y), (2 * i + 1, x + i % 41 - 20, y + i % 37 - 18))], "node_id bigint, x int, y int")
     graph.crossovers(n, frame([(2 * i, 2 * i + 1) for i in range(600)], "src bigint, dst bigint"))
     assert 0 < met[0] < 600 * 20, met
+
+
+def test_crossings_are_worked_out_beside_the_join(frame):
+    from wayloom.operators import graph
+
+    n = frame([(i, (i * 53) % 97, (i * 91) % 89) for i in range(60)], "node_id bigint, x bigint, y bigint")
+    out = graph.crossovers(n, frame([(2 * i, 2 * i + 1) for i in range(30)], "src bigint, dst bigint"))
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    above = [i for i, line in enumerate(lines) if "CollectMetrics" in line]
+    # pairs leave the join between the two, which would otherwise be one piece of code
+    assert above and above[0] < join and "CASE" not in lines[join].upper()
+    assert out.count() == len({(r.src, r.dst, r.src2, r.dst2) for r in out.collect()}) > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.coords import metre_distance
@@ -14,6 +14,9 @@ from .spatial import KEY, box_join, dense_ids, id_chunk, radius_join, running_st
 
 
 
+ENDS = ("ax", "ay", "bx", "by")
+
+
 # ---- edge sets -------------------------------------------------------------------------------------------
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -150,11 +153,13 @@ def drop_dead_ends(nodes: DataFrame, edges: DataFrame, spared: DataFrame | None
 
 def crossovers(nodes: DataFrame, edges: DataFrame, cell: float = 48.0) -> DataFrame:
     """Points where two edges of a tile properly cross: (src, dst, src2, dst2, x, y), each edge pair once."""
-    e = with_ends(undirected(edges), nodes).select(*KEY, "src", "dst", "ax", "ay", "bx", "by")
-    f = e.select(*KEY, *[F.col(c).alias(c + "2") for c in ("src", "dst", "ax", "ay", "bx", "by")])
-    box = lambda s: segment_box(*[F.col(c + s) for c in ("ax", "ay", "bx", "by")])
-    pairs = box_join(e, f, box(""), box("2"), cell)
-    pairs = pairs.filter(F.struct("src", "dst") < F.struct(F.col("src2").alias("src"), F.col("dst2").alias("dst")))
+    box = ("x0", "y0", "x1", "y1")
+    e = with_ends(undirected(edges), nodes).select(
+        *KEY, "src", "dst", *ENDS, *[v.alias(c) for c, v in zip(box, segment_box(*[F.col(c) for c in ENDS]))])
+    f = e.select(*KEY, *[F.col(c).alias(c + "2") for c in ("src", "dst", *ENDS, *box)])
+    pairs = box_join(e, f, [F.col(c) for c in box], [F.col(c + "2") for c in box], cell)
+    # taken by an observer, pairs leave the join: in one piece with it, crossings are too much code to be compiled
+    pairs = pairs.filter("src < src2 or (src = src2 and dst < dst2)").observe(Observation(), F.count(F.lit(1)).alias("pairs"))
     p = crossing_point(*[F.col(c) for c in ("ax", "ay", "bx", "by", "ax2", "ay2", "bx2", "by2")])
     return (
         pairs.withColumn("_p", p).filter("_p is not null")
@@ -200,8 +205,6 @@ def location_id(lat: Column, lon: Column) -> Column:
     return a * F.lit(4_294_967_296).cast("bigint") + b
 
 
-ENDS = ("ax", "ay", "bx", "by")
-
 
 def _cut(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges by the positions of their ends, with the number ``_n`` of pieces."""

@@ -127,7 +127,7 @@ def box_join(
     levels: bool = True,
     parts: int | None = None,
 ) -> DataFrame:
-    """Candidate pairs of rows whose boxes share a grid cell, each pair once.
+    """Candidate pairs of rows whose boxes share a grid cell, each pair once; of two boxes only those that touch.
 
     A box is (x0, y0, x1, y1), or (x, y) for a point on the left. Apart from ``by`` the two sides must have
     different column names. The caller applies its exact predicate to the result. A row with a null in its box meets
@@ -159,13 +159,17 @@ def box_join(
             of_l, of_r = _levels(l), _levels(r)
             l, r = _meetings(l, left_box, cell, of_r, True), _meetings(r, right_box, cell, of_l, False)
             on.append("_kind")
+    if not point:
+        # worked out here, as powers are dear where many pairs meet
+        l = l.withColumn("_size", size)
     pairs = sliced_join(l, r, on, rows_per_slice=rows_per_slice, parts=parts)
     if not point:
+        overlap = (lx <= right_box[2]) & (right_box[0] <= left_box[2]) & (ly <= right_box[3]) & (right_box[1] <= left_box[3])
         # boxes that share several cells meet in the one that holds the corner of their overlap
-        corner_x = F.floor(F.greatest(lx, right_box[0]) / size).cast("bigint")
-        corner_y = F.floor(F.greatest(ly, right_box[1]) / size).cast("bigint")
-        pairs = pairs.filter((F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
-    return pairs.drop("_cx", "_cy", "_level", "_kind")
+        corner_x = F.floor(F.greatest(lx, right_box[0]) / F.col("_size")).cast("bigint")
+        corner_y = F.floor(F.greatest(ly, right_box[1]) / F.col("_size")).cast("bigint")
+        pairs = pairs.filter(overlap & (F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
+    return pairs.drop("_cx", "_cy", "_level", "_kind", "_size")
 
 
 def radius_join(
