@@ -57,3 +57,38 @@ def test_points_of_matched_starts_are_not_sent(spark, frame):
                 if "Aggregate" in above:
                     break  # a row for each start from here on
                 assert "Exchange" not in above
+
+
+def test_searches_without_success_are_not_repeated():
+    def simple(left, right):
+        options, of = {}, {}
+        for a, b in zip(left, right):
+            options.setdefault(a, []).append(b)
+
+        def found(a, seen):
+            for b in options[a]:
+                if b not in seen:
+                    seen.add(b)
+                    if b not in of or found(of[b], seen):
+                        of[b] = a
+                        return True
+            return False
+
+        return sum(found(a, set()) for a in options)
+
+    rng = random.Random(9)
+    for n in range(400):
+        pairs = [(rng.randrange(12), rng.randrange(2 + n % 11)) for _ in range(rng.randrange(1, 40))]
+        left, right = [p[0] for p in pairs], [p[1] for p in pairs]
+        assert topo.matching_size(left, right) == simple(left, right)
+
+    class Counted(int):
+        looked = 0
+
+        def __hash__(self):
+            Counted.looked += 1
+            return int.__hash__(self)
+
+    pairs = [(a, Counted(b)) for a in range(200) for b in range(20)]
+    assert topo.matching_size([a for a, _ in pairs], [b for _, b in pairs]) == 20
+    assert Counted.looked < 5 * len(pairs), Counted.looked
